@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["secrets", "personal_data", "exact_dedup"]
+MODULES = ["html_extract", "secrets", "personal_data", "exact_dedup", "toxicity"]
 
 
 def _gather(name: str) -> dict:
