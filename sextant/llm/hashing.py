@@ -7,9 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-#: The inverse of BASE modulo 2**64.
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Odd multipliers; two hashes with different ones are independent.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Texts are hashed together up to this many bytes; a longer text stands alone.
 BATCH = 1 << 20
 
@@ -17,17 +16,17 @@ BATCH = 1 << 20
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i below n."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, INVERSE)):
-            p = np.full(max(n, BATCH + 1), base)
+def powers(n: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """b**i and b**-i modulo 2**64 for i below n, b the base of that number."""
+    for sign in (1, -1):
+        if len(_powers.get((base, sign), ())) < n:
+            p = np.full(max(n, 2 * BATCH), pow(BASES[base], sign, 1 << 64), np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            _powers[base, sign] = np.cumprod(p, dtype=np.uint64)
+    return _powers[base, 1][:n], _powers[base, -1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,14 +39,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Prefixes:
     """Hash of any stretch of a byte string in constant time."""
 
-    def __init__(self, raw: np.ndarray):
-        self.up, self.down = powers(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, base: int = 0):
+        self.up, self.down = powers(len(raw) + 1, base)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[: len(raw)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of all stretches of that size, in order."""
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.uint64(size))
+
 
 def batches(rows: Iterable[pa.RecordBatch], lower: bool = False) -> Iterator[tuple[list, list[bytes]]]:
     """(other columns' rows, UTF-8 texts) of about BATCH bytes; the text is the last column."""
