@@ -1,11 +1,607 @@
-"""All queries of the engine with the SQL that checks them."""
+"""All queries of the engine, over the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sextant.functions import dates, media, paths, strings
+from sextant.model import CLASSES
+from sextant.operators import diff, feeds, roots, search, status, tags
+from sextant.plans import oracle, store
+from sextant.streaming import events
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+# Searches.
+
+
+def _class_search(name: str, class_name: str | None, terms: list[str], **how) -> None:
+    QUERIES[name] = lambda s, d: search.search_class(store.elements(s, d), store.volumes(s, d), class_name, terms, **how)
+
+
+_class_search("q1_documents_fts", CLASSES[0], ["the", "and"], limit=50)
+_class_search("q1_documents_all", CLASSES[0], [], show_all=True, offset=5, limit=20)
+_class_search("q1_documents_detailed", CLASSES[0], ["that"], detailed=True, limit=30)
+_class_search("q2_videos", CLASSES[3], ["the"], limit=40)
+_class_search("q3_images_or", CLASSES[1], ["clown", "idiot", "que"], any_term=True, limit=-1)
+_class_search("q4_music", CLASSES[2], ["und"], limit=-1)
+_class_search("q8_software", CLASSES[4], ["the"], order="title", columns=("ie", "title"), limit=25)
+_class_search("q10_files", None, ["with", "from"], limit=60)
+
+
+@query("q5_artists")
+def _(s, d):
+    artists = store.table(s, d, "supplier").select(F.concat(F.lit("urn:artist:"), strings.urn_escape(F.col("s_name"))).alias("ie"), F.col("s_name").alias("title"), F.lit("nmm:Artist").alias("class"), F.col("s_name").alias("text"))
+    return search.search_class(artists, None, "nmm:Artist", ["supplier"], order="title", columns=("ie", "title"), volume_check=False)
+
+
+@query("q6_albums")
+def _(s, d):
+    p = store.table(s, d, "part")
+    urn = F.concat(F.lit("urn:album:"), strings.urn_escape(F.col("p_name")), F.lit(":"), strings.urn_escape(F.col("p_brand")))
+    albums = p.select(urn.alias("ie"), F.col("p_name").alias("title"), F.lit("nmm:MusicAlbum").alias("class"), F.col("p_type").alias("text"))
+    return search.search_class(albums, None, "nmm:MusicAlbum", ["promo"], order="title", columns=("ie", "title"), volume_check=False, limit=-1)
+
+
+@query("q7_feed_messages")
+def _(s, d):
+    m = store.messages(s, d).withColumns({"ie": F.col("urn"), "class": F.lit("mfo:FeedMessage")})
+    return search.search_class(m, None, "mfo:FeedMessage", ["the"], order="title", columns=("ie", "title"), volume_check=False, limit=-1)
+
+
+@query("q9_software_categories")
+def _(s, d):
+    c = store.table(s, d, "part").select(F.concat(F.lit("urn:software-category:"), F.split_part("p_type", F.lit(" "), F.lit(1))).alias("ie"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("title"), F.lit("nfo:SoftwareCategory").alias("class"), F.col("p_type").alias("text"))
+    return search.search_class(c, None, "nfo:SoftwareCategory", [], order="title", columns=("ie", "title"), volume_check=False)
+
+
+@query("q11_folders")
+def _(s, d):
+    v = store.volumes(s, d)
+    folders = v.select(F.concat(F.lit("urn:folder:"), F.col("urn")).alias("ie"), F.col("root_uri").alias("url"), F.lit("nfo:Folder").alias("class"), F.col("urn").alias("text"), F.col("urn").alias("data_source"))
+    return search.search_class(folders, v, "nfo:Folder", ["src1"])
+
+
+@query("q12_everything")
+def _(s, d):
+    return search.search_everything(store.elements(s, d), store.files(s, d), store.volumes(s, d), ["that"])
+
+
+@query("fts_index_and")
+def _(s, d):
+    return search.search_index(search.inverted_index(store.elements(s, d)), ["that", "with"])
+
+
+@query("fts_stop_words")
+def _(s, d):
+    words = store.elements(s, d).select(F.explode(strings.tokens(F.col("text"), stop=["the", "and", "of"])).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("n")).where("n >= 50")
+
+
+# Tags.
+
+
+@query("q13_tag_list")
+def _(s, d):
+    return tags.list_tags(store.tags(s), store.edges(s, d))
+
+
+@query("q13_tag_list_some")
+def _(s, d):
+    return tags.list_tags(store.tags(s), store.edges(s, d), ["toxic:1", "unused", "no such"])
+
+
+@query("q14_all_tags")
+def _(s, d):
+    return tags.with_all_tags(store.tags(s), store.edges(s, d), ["quality:1", "toxic:0", "no such"])
+
+
+@query("q14_all_tags_none")
+def _(s, d):
+    return tags.with_all_tags(store.tags(s), store.edges(s, d), ["no such"])
+
+
+@query("q15_files_of_tag")
+def _(s, d):
+    return tags.files_of(store.tags(s), store.edges(s, d), store.files(s, d), "toxic:1")
+
+
+@query("q16_urns_of_files")
+def _(s, d):
+    return tags.urns_of(store.files(s, d), ["file:///src0/0.txt", "file:///src1/1.txt", "file:///src4/4.txt"], store.edges(s, d), "urn:tag:toxic:0")
+
+
+@query("q17_tags_of_file")
+def _(s, d):
+    return tags.tags_of(store.tags(s), store.edges(s, d), store.files(s, d).withColumn("stored_as", F.col("subject")), "urn:fileid:0")
+
+
+@query("q18_tag_resources")
+def _(s, d):
+    new = store.elements(s, d).where(F.col("class") == CLASSES[1]).select(F.col("ie").alias("subject"))
+    return tags.tag_resources(store.edges(s, d), new, "urn:tag:unused").groupBy("tag_urn").agg(F.count("*").alias("n"))
+
+
+@query("q18_untag_resources")
+def _(s, d):
+    gone = store.elements(s, d).where("sn < 10").select(F.col("ie").alias("subject"))
+    return tags.untag_resources(store.edges(s, d), gone, "urn:tag:toxic:0").groupBy("tag_urn").agg(F.count("*").alias("n"))
+
+
+@query("q18_remove_tag")
+def _(s, d):
+    return tags.remove_tag(store.tags(s), store.edges(s, d), "toxic:0")[1].groupBy("tag_urn").agg(F.count("*").alias("n"))
+
+
+@query("k14_insert_tag_if_absent")
+def _(s, d):
+    return tags.add_tag(tags.add_tag(store.tags(s), "urn:tag:new", "new", "added"), "urn:tag:x", "unused", "again")
+
+
+# Status and details.
+
+
+def _quads(s, d):
+    e = store.elements(s, d)
+    facts = {"class": "rdf:type", "title": "nie:title", "mime": "nie:mimeType", "url": "nie:isStoredAs"}
+    files = store.files(s, d).withColumn("folder", paths.parent(F.col("uri")))
+    return status.quads_of(e, "ie", facts, "content").unionByName(status.quads_of(files, "uri", {"subject": "nie:interpretedAs", "file_name": "nfo:fileName", "folder": "nfo:belongsToContainer"}, "FileSystem"))
+
+
+@query("q19_class_statistics")
+def _(s, d):
+    return status.class_statistics(_quads(s, d))
+
+
+@query("q19_class_statistics_named")
+def _(s, d):
+    return status.class_statistics(_quads(s, d), "DOC")
+
+
+@query("q20_counts")
+def _(s, d):
+    e = store.elements(s, d)
+    there = search.available(e, store.volumes(s, d), False)
+    return e.agg(F.count("*").alias("files"), F.countDistinct("container").alias("folders")).crossJoin(there.agg(F.countDistinct("container").alias("available_folders")))
+
+
+@query("q21_eta")
+def _(s, d):
+    m = store.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity")).alias("elapsed"), F.count("*").alias("done"), F.sum((F.col("l_returnflag") == "N").cast("int")).alias("left"))
+    eta = m.select(F.col("l_suppkey").alias("miner"), dates.remaining(F.col("elapsed"), F.col("done"), F.col("left")).alias("seconds"))
+    return eta.select("miner", "seconds", strings.seconds_text(F.col("seconds")).alias("text"), F.max("seconds").over(_all()).alias("longest"))
+
+
+def _all():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(0))
+
+
+@query("q22_failures")
+def _(s, d):
+    e = store.elements(s, d).where("sn % 7 = 2").select(F.col("url").alias("uri"), F.col("text").alias("message"))
+    return status.failures(e, 24)
+
+
+@query("k20_error_report")
+def _(s, d):
+    e = store.elements(s, d)
+    errors = e.where("sn = 3").select(F.md5("url").alias("key"), F.col("url").alias("uri"), strings.truncate(F.col("text"), 40).alias("message"))
+    fixed = e.where("sn = 3 AND doc_id % 2 = 0").select(F.md5("url").alias("key"))
+    return diff.delete(errors, fixed, ["key"])
+
+
+@query("q23_describe")
+def _(s, d):
+    return status.describe(_quads(s, d), "file:///src0/0.txt")
+
+
+@query("q24_prefixes")
+def _(s, d):
+    p = store.table(s, d, "part").select(F.concat(F.element_at(F.array(F.lit("http://a.org/n#"), F.lit("http://b.org/m#"), F.lit("http://c.org/x#")), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_brand")).alias("iri")).distinct()
+    return p.select("iri", strings.shorten(F.col("iri"), {"http://a.org/n#": "a", "http://b.org/m#": "b"}).alias("short"))
+
+
+@query("q27_reset_file")
+def _(s, d):
+    left = diff.delete_under(store.files(s, d), "file:///src3", "uri", itself=True)
+    return left.groupBy("data_source").agg(F.count("*").alias("n"))
+
+
+@query("q28_turtle")
+def _(s, d):
+    return status.turtle(_quads(s, d).where("g = 'FileSystem' AND s LIKE 'file:///src7/%'"), {"http://a#": "a"})
+
+
+@query("q28_json_ld")
+def _(s, d):
+    return status.json_ld(_quads(s, d).where("s LIKE 'file:///src7/%'")).select("s", F.get_json_object("text", "$['@id']").alias("id"), F.get_json_object("text", "$.properties['nfo:fileName'][0]").alias("name"))
+
+
+@query("q28_insert_data")
+def _(s, d):
+    return status.insert_data(_quads(s, d).where("s LIKE 'file:///src7/%'"))
+
+
+@query("a11_extractor_statistics")
+def _(s, d):
+    e = store.table(s, d, "events").select(F.col("event_type").alias("module"), (F.col("value") > 50).alias("failed"), F.floor("value").alias("seconds"))
+    return status.extractor_statistics(e)
+
+
+# Store scans, work lists.
+
+
+@query("s3_content_check")
+def _(s, d):
+    e = store.elements(s, d).select(F.col("url").alias("path"))
+    return roots.poisoned(e, ["1?.txt", "7.txt"])
+
+
+@query("s6_store_scan")
+def _(s, d):
+    e, h = store.elements(s, d), store.hashed(s, d).withColumn("has_hash", F.lit(True))
+    return e.where("data_source = 'src2'").join(h, "ie", "left").join(store.volumes(s, d).select(F.col("urn").alias("data_source"), F.col("root_uri").alias("folder")), "data_source", "left").select("url", "folder", "mime", F.coalesce("has_hash", F.lit(False)).alias("has_hash")).orderBy("url")
+
+
+@query("s7_channel_scan")
+def _(s, d):
+    c = store.channels(s, d)
+    settings = c.select("urn", feeds.refresh_interval(F.col("update_interval")).alias("minutes"))
+    return feeds.scan_channels(c.select("urn", "title"), settings, ["urn:channel:1", "urn:channel:2", "urn:channel:x"])
+
+
+@query("s8_volumes")
+def _(s, d):
+    return store.volumes(s, d)
+
+
+@query("s11_sidecars")
+def _(s, d):
+    # Every third document has a sidecar of the same stem.
+    e = store.elements(s, d)
+    sidecars = e.where("doc_id % 3 = 0").select(F.concat(strings.stem(F.col("url")), F.lit(".xmp")).alias("sidecar"))
+    return e.select("url", F.concat(strings.stem(F.col("url")), F.lit(".xmp")).alias("sidecar")).join(sidecars, "sidecar", "left_semi").select("url", "sidecar")
+
+
+@query("s12_cue_lookup")
+def _(s, d):
+    e = store.elements(s, d).where(F.col("class") == CLASSES[2])
+    cues = e.where("doc_id % 2 = 0").select("container", F.concat(strings.stem(F.col("url")), F.lit(".cue")).alias("cue"))
+    other = cues.groupBy("container").agg(F.min("cue").alias("other"))
+    own = e.select("url", "container", F.concat(strings.stem(F.col("url")), F.lit(".cue")).alias("exact"))
+    return own.join(cues.select(F.col("cue").alias("exact"), F.lit(True).alias("hit")), "exact", "left").join(other, "container", "left").select("url", F.when(F.col("hit"), F.col("exact")).otherwise(F.col("other")).alias("cue"))
+
+
+RANKS = {"Documents": 0, "Audio": 1, "Video": 2}
+
+
+@query("d15_work_list")
+def _(s, d):
+    return diff.work_list(store.elements(s, d), store.hashed(s, d), RANKS)
+
+
+@query("o8_work_list_next_page")
+def _(s, d):
+    return diff.work_list(store.elements(s, d), store.hashed(s, d), RANKS, after=(0, "urn:fileid:5"), batch=50)
+
+
+@query("a6_remaining_items")
+def _(s, d):
+    return store.elements(s, d).join(store.hashed(s, d), "ie", "left_anti").groupBy("graph").agg(F.count("*").alias("n"))
+
+
+@query("a12_progress")
+def _(s, d):
+    e = store.elements(s, d).join(store.hashed(s, d).withColumn("done", F.lit(1)), "ie", "left")
+    return e.groupBy("graph").agg(F.count("done").alias("done"), F.count("*").alias("total"), (F.count("done") / F.count("*")).alias("ratio"))
+
+
+# Diff and mutations.
+
+
+@query("d1_diff")
+def _(s, d):
+    return diff.diff(store.disk(s, d), store.stored(s, d))
+
+
+@query("a9_diff_counters")
+def _(s, d):
+    return diff.diff(store.disk(s, d), store.stored(s, d)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("k1_upsert")
+def _(s, d):
+    changed = store.disk(s, d).select("uri", "mtime", "hash")
+    return diff.upsert(store.stored(s, d).select("uri", "mtime", "hash"), changed, ["uri"]).groupBy("hash").agg(F.count("*").alias("n"), F.sum("mtime").alias("mtimes"))
+
+
+@query("k4_recursive_delete")
+def _(s, d):
+    return diff.delete_under(store.elements(s, d), "file:///src1", "url").groupBy("data_source").agg(F.count("*").alias("n"))
+
+
+@query("k5_delete_files")
+def _(s, d):
+    e = store.elements(s, d).select("url", "graph")
+    return diff.delete(e, e.where("graph = 'Audio'"), ["url"]).groupBy("graph").agg(F.count("*").alias("n"))
+
+
+@query("k6_move")
+def _(s, d):
+    return diff.move(store.elements(s, d).select("doc_id", "url"), "file:///src1", "file:///new/place", "url").where("url LIKE '%new%'")
+
+
+@query("k7_invalidate")
+def _(s, d):
+    t = store.stored(s, d).select("uri", "hash")
+    return diff.invalidate(t, t.where("uri LIKE '%7'")).groupBy("hash").agg(F.count("*").alias("n"))
+
+
+@query("k8_set_attributes")
+def _(s, d):
+    t = store.stored(s, d).select("uri", "mtime", "hash")
+    return diff.set_attributes(t, store.disk(s, d), ["mtime"]).groupBy("hash").agg(F.sum("mtime").alias("mtimes"))
+
+
+@query("k9_mark_volumes")
+def _(s, d):
+    return diff.mark_volumes(store.volumes(s, d), ["src0", "src3"], False, F.lit("2024-06-01 00:00:00").cast("timestamp"))
+
+
+@query("k10_delete_of_removable")
+def _(s, d):
+    return diff.delete_of_volumes(store.files(s, d), store.volumes(s, d), F.col("is_removable") & ~F.col("is_optical")).groupBy("data_source").agg(F.count("*").alias("n"))
+
+
+@query("k11_delete_unmounted_before")
+def _(s, d):
+    return diff.delete_of_volumes(store.files(s, d), store.volumes(s, d), F.col("unmount_date") < F.lit("2024-01-12 00:00:00").cast("timestamp")).groupBy("data_source").agg(F.count("*").alias("n"))
+
+
+@query("k12_insert_hash")
+def _(s, d):
+    e = store.elements(s, d).where("graph = 'Video'").select("ie")
+    return diff.insert_absent(store.hashed(s, d), e, ["ie"]).agg(F.count("*").alias("n"))
+
+
+@query("k13_drop_content_copy")
+def _(s, d):
+    q = _quads(s, d)
+    gone = store.elements(s, d).where("sn = 4").select(F.col("ie").alias("s"), F.lit("content").alias("g"))
+    return diff.delete(q, gone, ["s", "g"]).groupBy("g", "p").agg(F.count("*").alias("n"))
+
+
+@query("d25_reconcile_mounts")
+def _(s, d):
+    v = store.volumes(s, d)
+    mounted = v.where("substring(urn, 4) % 2 = 0").select("urn").unionByName(s.createDataFrame([("fresh",)], "urn string"))
+    return roots.reconcile_mounts(v.select("urn", "available"), mounted)
+
+
+# Roots, filters, rules.
+
+
+def _roots(s, d):
+    t = store.tree(s, d)
+    nations = t.where("n_nationkey % 3 = 0").select(paths.parent(F.col("path")).alias("root"), (F.col("n_nationkey") % 2 == 0).alias("recursive"), (F.col("n_nationkey") == 9).alias("ignored")).distinct()
+    regions = t.where("r_name IN ('ASIA', 'EUROPE')").select(F.concat(F.lit("/"), F.col("r_name")).alias("root"), F.lit(True).alias("recursive"), F.lit(False).alias("ignored")).distinct()
+    return nations.unionByName(regions)
+
+
+@query("j_longest_root")
+def _(s, d):
+    return roots.longest_root(store.tree(s, d), _roots(s, d))
+
+
+@query("j_reparent")
+def _(s, d):
+    return roots.reparent(_roots(s, d))
+
+
+@query("j_dedupe_roots")
+def _(s, d):
+    return roots.dedupe_roots(_roots(s, d).select("root"))
+
+
+@query("p16_indexable")
+def _(s, d):
+    return roots.indexable(store.tree(s, d), _roots(s, d), ["*7", "Customer#0000000?1"])
+
+
+@query("p14_glob_filter")
+def _(s, d):
+    t = store.tree(s, d)
+    return t.select("path", roots.filtered(paths.base_name(F.col("path")), ["*1?", "*99*"]).alias("accept"), roots.filtered(paths.base_name(F.col("path")), ["*1?"], accept_by_default=False).alias("deny"), roots.path_filtered(F.col("path"), "/ASIA").alias("under"))
+
+
+@query("p17_parent_indexable")
+def _(s, d):
+    t = store.tree(s, d)
+    bad = roots.filtered(paths.base_name(F.col("path")), ["*5"])
+    return t.groupBy(paths.parent(F.col("path")).alias("folder")).agg((~F.bool_or(bad)).alias("indexable"), F.count_if(bad).alias("ignored"), F.count_if(~bad).alias("found"))
+
+
+@query("p20_rule_dispatch")
+def _(s, d):
+    mimes = store.table(s, d, "part").select(F.col("p_type").alias("mime"))
+    rules = [("10-a", "alpha", "PROMO *", "*BRASS"), ("11-b", "beta", "*STEEL", None), ("12-c", "gamma", "S*", None), ("90-z", "generic", "*", "LARGE*")]
+    table = s.createDataFrame([(o, m, paths.glob_regex(a), paths.glob_regex(b) if b else None) for o, m, a, b in rules], "rule_order string, module string, allow_regex string, block_regex string")
+    return roots.dispatch(mimes, table)
+
+
+@query("o7_priority_queue")
+def _(s, d):
+    c = store.changes(s, d)
+    return c.select("seq", F.when(F.col("kind") == "DELETED", 0).otherwise(1).alias("priority")).orderBy("priority", "seq").limit(100)
+
+
+# Feeds.
+
+
+@query("a10_latest_message")
+def _(s, d):
+    return feeds.latest(store.messages(s, d), "url", "published", "turn").select("url", "urn", "published")
+
+
+@query("d20_feed_reconcile")
+def _(s, d):
+    m = store.messages(s, d)
+    return feeds.reconcile(m.select("urn", (F.col("published") + F.when(F.col("role") == "user", 1).otherwise(0)).alias("published")), m.where("role != 'system' AND turn < 6"), "urn")
+
+
+@query("k16_keep_predicates")
+def _(s, d):
+    q = _quads(s, d)
+    return feeds.keep_predicates(q, q.where("s LIKE 'file:///src5/%'").select("s"), ["nie:interpretedAs"]).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("k17_orphans")
+def _(s, d):
+    return feeds.orphans(store.messages(s, d), store.channels(s, d).where("update_interval > 2")).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("k17_without_orphans")
+def _(s, d):
+    return feeds.without_orphans(store.messages(s, d).select("urn", "channel"), store.channels(s, d).where("update_interval > 2"))
+
+
+@query("q25_feed_list")
+def _(s, d):
+    return store.channels(s, d).select("urn", "url", "title", feeds.refresh_interval(F.col("update_interval")).alias("minutes"))
+
+
+@query("d21_debounce")
+def _(s, d):
+    return feeds.debounce(store.table(s, d, "events"), "user_id", "ts", "30 minutes")
+
+
+@query("d22_enclosures")
+def _(s, d):
+    m = store.messages(s, d).select(F.col("channel").alias("message"), "url", F.col("turn").alias("position"))
+    return feeds.distinct_enclosures(m)
+
+
+# Events.
+
+
+@query("d7_coalesce")
+def _(s, d):
+    return events.coalesce_batch(store.changes(s, d))
+
+
+@query("d13_collapse")
+def _(s, d):
+    kinds = F.create_map(*[F.lit(x) for kv in {"signup": "CREATED", "click": "CHANGED", "view": "ATTRIBUTE_CHANGED", "purchase": "CHANGES_DONE", "error": "DELETED"}.items() for x in kv])
+    e = store.table(s, d, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_id").alias("seq"), F.element_at(kinds, F.col("event_type")).alias("kind"))
+    return events.collapse_batch(e)
+
+
+@query("d8_purge")
+def _(s, d):
+    c = store.changes(s, d)
+    c = c.withColumn("source", F.when(F.col("seq") % 3 == 0, F.concat("source", F.lit("/x"))).otherwise(F.col("source")))
+    return events.without_purged(c).groupBy("kind").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("d6_moves")
+def _(s, d):
+    c = store.changes(s, d).where("kind = 'MOVED'")
+    return c.select("seq", events.emitted_moves(F.col("seq") % 2 == 0, F.col("seq") % 3 == 0).alias("kind")).where("kind IS NOT NULL")
+
+
+# Functions.
+
+
+@query("f_strings")
+def _(s, d):
+    t = F.col("text")
+    return store.table(s, d, "documents").select(
+        "doc_id",
+        strings.coalesce_strip(F.when(F.col("doc_id") % 2 == 0, F.lit("  ")), F.col("source")).alias("first"),
+        strings.merge("*", F.col("lang"), F.when(F.col("doc_id") % 3 == 0, F.col("source"))).alias("merged"),
+        F.md5(strings.normalize(t, 20)).alias("normal"),
+        strings.truncate(t, 30).alias("cut"),
+        strings.ellipsize(t, 12).alias("short"),
+        strings.hex_pairs(F.substring("source", 1, 4).cast("binary")).alias("pairs"),
+        strings.seconds_text(F.col("doc_id") * 977).alias("took"),
+        F.md5(strings.literal(t)).alias("literal"),
+        strings.blank(F.substring(t, 1, 1)).alias("blank"),
+    )
+
+
+@query("f_names")
+def _(s, d):
+    name = F.concat(F.translate("p_name", " ", "_"), F.element_at(F.array(F.lit(".mp3"), F.lit(".tar.gz"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return store.table(s, d, "part").select("p_partkey", strings.stem(name).alias("stem"), strings.title_of(name).alias("title"), strings.same_stem(name, F.concat(F.upper(strings.stem(name)), F.lit(".CUE"))).alias("same"), strings.extension_changed(name, F.lit("x.mp3")).alias("changed"))
+
+
+@query("f_keywords")
+def _(s, d):
+    k = F.concat(F.lit('k"'), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(";"), F.lower("p_brand"), F.lit('"'))
+    return store.table(s, d, "part").select("p_partkey", F.array_join(strings.keywords(k), "|").alias("keywords"))
+
+
+@query("f_dates")
+def _(s, d):
+    o = store.table(s, d, "orders")
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.element_at(F.array(F.lit("Z"), F.lit("+02:00"), F.lit("-0530"), F.lit(".250Z")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    p = o.select("o_orderkey", dates.parse(F.concat(at, zone)).alias("p"))
+    return p.select("o_orderkey", F.col("p.ms").cast("long").alias("ms"), F.col("p.offset").cast("long").alias("offset_s"), dates.text(F.col("p.ms")).alias("utc"), dates.local_date(F.col("p.ms"), F.col("p.offset")).alias("day"), dates.local_time(F.col("p.ms"), F.col("p.offset")).cast("long").alias("second"))
+
+
+@query("f_date_guess")
+def _(s, d):
+    o = store.table(s, d, "orders").where("o_orderkey % 20 = 1")
+    forms = ("yyyy", "yyyy-MM-dd", "yyyyMMddHHmmss", "yyyyMMddHHmmss'Z'", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.explode(F.array(*[F.date_format("o_orderdate", f) for f in forms]))
+    return o.select("o_orderkey", text.alias("text")).select("o_orderkey", "text", dates.guess(F.col("text")).alias("guess"))
+
+
+@query("f_media")
+def _(s, d):
+    x = store.table(s, d, "lineitem").where("l_orderkey % 10 = 1")
+    return x.select(
+        "l_orderkey", "l_linenumber",
+        F.round(media.gps_decimal(F.col("l_quantity"), F.col("l_linenumber"), F.lit(30.0), F.when(F.col("l_returnflag") == "R", "S").otherwise("N")), 4).alias("gps"),
+        media.rational(F.concat_ws("/", F.col("l_linenumber").cast("string"), (F.col("l_partkey") % 4).cast("string"))).alias("ratio"),
+        media.orientation(F.col("l_linenumber") + 2).alias("orientation"),
+        media.frames_to_seconds(F.col("l_partkey")).alias("seconds"),
+        media.resolution(F.col("l_quantity"), F.col("l_linenumber")).alias("dpi"),
+    )
+
+
+@query("f_urns")
+def _(s, d):
+    return store.table(s, d, "part").select("p_partkey", F.concat(F.lit("urn:equipment:"), strings.urn_escape(F.col("p_brand")), F.lit(":"), strings.urn_escape(F.col("p_name")), F.lit(":")).alias("urn"))
+
+
+@query("g_metadata_priority")
+def _(s, d):
+    o = store.table(s, d, "orders")
+    return o.select("o_orderkey", strings.coalesce_strip(F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), F.col("o_orderstatus")).alias("title"))
+
+
+def queries() -> dict[str, Query]:
+    from sextant.plans import extraction
+
+    return QUERIES | extraction.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.SQL.items() if k in queries()}
