@@ -36,7 +36,7 @@ GRAM = 32
 #: Suffix arrays are built over about this many bytes at a time, spans of one anchor together.
 BLOCK = 1 << 20
 #: An anchor with more different spans than this is dealt out over several shards.
-PART = 2048
+PART = 16384
 
 
 def anchored_spans(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
@@ -85,14 +85,15 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : n + j]
-    order = np.argsort(key, kind="stable")
-    rank = np.full(n + 1, -1, np.int64)
-    places = np.arange(n)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    rank = np.full(n + 1, -1, np.int32)
+    places = np.arange(n, dtype=np.int32)
 
     def heads(fresh: np.ndarray) -> np.ndarray:
-        return np.maximum.accumulate(np.where(fresh, places[: len(fresh)], 0))
+        return np.maximum.accumulate(np.where(fresh, places, np.int32(0)))
 
     fresh = np.concatenate(([True], key[order][1:] != key[order][:-1])) if n else np.zeros(0, bool)
+    del key
     group = heads(fresh)  # a group's number is where it begins
     rank[order] = group
     done = 8
@@ -102,7 +103,7 @@ def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
         if not len(open_):
             break
         some = order[open_]
-        pair = group[open_] * np.int64(n + 1) + rank[np.minimum(some + done, n)] + 1
+        pair = group[open_].astype(np.int64) * (n + 1) + rank[np.minimum(some + done, n)] + 1
         by = np.argsort(pair, kind="stable")
         some, pair = some[by], pair[by]
         order[open_] = some
@@ -120,11 +121,11 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, lo: np.ndarray, n: np.nd
     Kasai's walk in text order: from one window to the next at most one common
     byte is lost.  All spans (windows lo to lo + n - 1) are walked side by side.
     """
-    before = np.full(len(raw) + 1, -1, np.int64)
+    before = np.full(len(raw) + 1, -1, np.int32)
     before[order[1:]] = order[:-1]
-    place = np.full(len(raw) + 1, len(raw), np.int64)  # no window: last
+    place = np.full(len(raw) + 1, len(raw), np.int32)  # no window: last
     place[order] = np.arange(len(order))
-    found = np.zeros(len(raw) + 1, np.int64)
+    found = np.zeros(len(raw) + 1, np.int32)
     padded = np.concatenate((raw, np.zeros(length + 8, np.uint8)))
     eights = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(np.uint64)[:, 0]
     common = np.zeros(len(lo), np.int64)
@@ -253,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int, broadcast_rows: int) -> DataFra
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     spans = stage(docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema), "spans")
     shared = spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    shared = _small(stage(shared, "shared_anchors"), broadcast_rows)
+    # As many as the data have: this is a join of two large tables at any size.
     spans = stage(spans.join(shared, "anchor"), "shared_spans")
 
     place = F.struct("doc_id", "text_hash", "lo")
