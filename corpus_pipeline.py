@@ -1,26 +1,58 @@
-"""Corpus pipeline: toxicity, exact dedup, near-dedup, decontamination, piece encoding."""
+"""Corpus pipeline: five stages from raw documents to encoded ones.
+
+Each stage reads what the one before kept, written as Parquet.  All but the
+last return the columns of documents; the last returns ``doc_id``, the piece
+numbers and the n best alternatives of every document that is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import exact_dedup
+from sextant.llm import decontaminate, exact_dedup, near_dedup, pieces, toxicity
 from sextant.llm.staging import load, stage
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least 0.3 go; the model learns from labels outside the held-out quarter."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, load(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with the same text, the one with the largest doc_id stays."""
     return exact_dedup.keep_one(docs, keep="largest")
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the one with the least doc_id stays."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, load(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("piece encoding", encode),
+]
+#: A trained model, a hashed search and a best-first search decide: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; each result but the last is written and read again."""
     docs = load(spark, sf_dir, "documents")
-    for k, (name, stage_function) in enumerate(STAGES):
-        docs = stage_function(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        docs = step(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, name.replace(" ", "_"))
     return docs

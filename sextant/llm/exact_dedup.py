@@ -18,17 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import load, stage
+from .staging import load, stage, without_rows
 
 KEY = ["digest", "n_bytes", "check"]
 
 
-def digest_runs(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def digest_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document with its leaf run, key and a row number that breaks ties."""
     body = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).alias("id"),
-        *[F.col(c) for c in carry],
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
@@ -64,6 +63,25 @@ def tree_merge(rows: DataFrame, bits: int, keep_largest: bool) -> DataFrame:
     return rows.join(winners, ["run", *KEY])
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, bits: int) -> DataFrame:
+    """exact_groups() with the number of each row."""
+    if keep not in ("largest", "smallest"):
+        raise ValueError(f"keep is largest or smallest, not {keep!r}")
+    rows = stage(digest_runs(docs.select(id_col, text_col), id_col, text_col), "digests")
+    if rows.isEmpty():
+        joined = rows.withColumns({"best": F.struct(F.col("id"), (-F.col("row")).alias("first")), "size": F.lit(0).cast("long")})
+    else:
+        joined = tree_merge(rows, bits, keep == "largest")
+    return joined.select(
+        "row",
+        F.col("id").alias("doc_id"),
+        F.col("best.id").alias("keep_id"),
+        F.col("size").cast("long").alias("group_size"),
+        (F.col("best.first") == -F.col("row")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -81,26 +99,12 @@ def exact_groups(
     ``keep`` is "largest" or "smallest" (by id).  ``2**bits`` runs meet in
     each merge.
     """
-    if keep not in ("largest", "smallest"):
-        raise ValueError(f"keep is largest or smallest, not {keep!r}")
-    rows = stage(digest_runs(docs.select(id_col, text_col), id_col, text_col, []), "digests")
-    if rows.isEmpty():
-        joined = rows.withColumns({"best": F.struct(F.col("id"), (-F.col("row")).alias("first")), "size": F.lit(0).cast("long")})
-    else:
-        joined = tree_merge(rows, bits, keep == "largest")
-    return joined.select(
-        F.col("id").alias("doc_id"),
-        F.col("best.id").alias("keep_id"),
-        F.col("size").cast("long").alias("group_size"),
-        (F.col("best.first") == -F.col("row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return _groups(docs, id_col, text_col, keep, bits).drop("row")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged; ids are taken to be unique."""
-    gone = exact_groups(docs, id_col, text_col, keep).where(~F.col("kept")).select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, all columns unchanged."""
+    return without_rows(docs, _groups(docs, id_col, text_col, keep, 4).where(~F.col("kept")))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

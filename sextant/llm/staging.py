@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -38,3 +39,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast if it has at most so many rows; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose monotonically_increasing_id() is in ``gone`` (row).
+
+    Ids may repeat or be null, so rows are told apart by this number; it is the
+    same for every scan of the same files.
+    """
+    number = f"_row_{uuid.uuid4().hex}"
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
+    return numbered.join(small(stage(gone.select(F.col("row").alias(number)), "gone"), rows), number, "left_anti").select(*docs.columns)

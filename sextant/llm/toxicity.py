@@ -14,9 +14,11 @@ enough to broadcast and gather.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,6 +168,18 @@ def score_documents(
     return map_rows(docs.select(id_col, text_col), each, f"doc_id {id_type}, score double, offending array<struct<start:long,end:long,p:double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold; all columns unchanged."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [score(t or "", model, 2.0)[0] < threshold for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     scored = score_documents(docs, train(docs, load(spark, sf_dir, "labels")))
