@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.functions import dates, media, paths, strings
 from sextant.model import CLASSES
 from sextant.operators import diff, feeds, roots, search, status, tags
-from sextant.plans import oracle, store
+from sextant.plans import extraction, oracle, store
 from sextant.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,13 +182,8 @@ def _(s, d):
 def _(s, d):
     m = store.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity")).alias("elapsed"), F.count("*").alias("done"), F.sum((F.col("l_returnflag") == "N").cast("int")).alias("left"))
     eta = m.select(F.col("l_suppkey").alias("miner"), dates.remaining(F.col("elapsed"), F.col("done"), F.col("left")).alias("seconds"))
-    return eta.select("miner", "seconds", strings.seconds_text(F.col("seconds")).alias("text"), F.max("seconds").over(_all()).alias("longest"))
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    longest = eta.agg(F.max("seconds").alias("longest"))
+    return eta.crossJoin(F.broadcast(longest)).select("miner", "seconds", strings.seconds_text(F.col("seconds")).alias("text"), "longest")
 
 
 @query("q22_failures")
@@ -598,10 +593,8 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    from sextant.plans import extraction
-
     return QUERIES | extraction.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.SQL.items() if k in queries()}
+    return oracle.SQL | extraction.SQL
