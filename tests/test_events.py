@@ -1,4 +1,5 @@
 import json
+import os
 import time
 
 import pytest
@@ -43,6 +44,7 @@ def stream(spark, tmp_path, frame, rows, schema, name):
     folder.mkdir()
     for i, part in enumerate(rows):
         (folder / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in part))
+        os.utime(folder / f"{i}.json", (10**9 + i, 10**9 + i))  # files are taken by age
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
     query = frame(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
     try:
