@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import load, small, stage, without_rows
+from .staging import load, small, stage, text_hash, without_texts
 
 WORDS = 5
 BLOCKS, BITS = 8, 8
@@ -130,14 +130,14 @@ def find_leaks(
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int = 23, broadcast_rows: int = 500_000) -> DataFrame:
-    """find_leaks() for each row, with its number."""
+    """find_leaks() for each text of an id, with its hash."""
     items = stage(items_of(benchmark, item_col, item_text_col).dropDuplicates(["item_id", "hashes"]), "items")
     longest = max(GROUP, items.agg(F.max(F.size("hashes"))).first()[0] or 0)
     lengths = [r.k for r in items.select("k").distinct().orderBy("k").collect()]  # at most WORDS rows
-    hashed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("hashed"))
-    by_length = [hashed.select("row", "doc_id", F.lit(k).alias("k"), shingles(F.col("hashed"), k).alias("hashes")) for k in lengths]
+    hashed = docs.select(text_hash(F.col(text_col)).alias("text_hash"), F.col(id_col).alias("doc_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("hashed"))
+    by_length = [hashed.select("text_hash", "doc_id", F.lit(k).alias("k"), shingles(F.col("hashed"), k).alias("hashes")) for k in lengths]
     if not by_length:
-        by_length = [hashed.select("row", "doc_id", F.lit(WORDS).alias("k"), F.col("hashed").alias("hashes")).limit(0)]
+        by_length = [hashed.select("text_hash", "doc_id", F.lit(WORDS).alias("k"), F.col("hashed").alias("hashes")).limit(0)]
     shingled = by_length[0]
     for more in by_length[1:]:
         shingled = shingled.unionByName(more)
@@ -145,19 +145,20 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     # The outer forms of explode keep Spark from deriving filters that would compute the arrays again.
     # Where documents have shingles of items of each length.
     known = small(stage(items.select("k", "n", F.explode("hashes").alias("h")).distinct(), "item_shingles"), broadcast_rows)
-    hits = shingled.select("row", "k", F.posexplode_outer("hashes").alias("at", "h")).join(known, ["k", "h"])
+    hits = shingled.select("doc_id", "text_hash", "k", F.posexplode_outer("hashes").alias("at", "h")).join(known, ["k", "h"])
     reach = F.col("n") - F.col("k")
-    places = hits.groupBy("row", "k", "n").agg(F.collect_set("at").alias("at"))
+    places = hits.groupBy("doc_id", "text_hash", "k", "n").agg(F.collect_set("at").alias("at"))
     # An item has n - k + 1 shingles; a window as similar as asked for has the threshold's share of them.
     places = stage(places.where(F.size("at") >= F.ceil(F.lit(threshold) * (reach + 1) - 1e-9)), "places")
 
+    there = small(places, broadcast_rows).withColumnsRenamed({"doc_id": "id", "text_hash": "hash", "k": "size"})
     windows = (
-        shingled.join(small(places, broadcast_rows), ["row", "k"])
-        .select("row", "doc_id", "k", "n", "hashes", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - reach), p)))).alias("starts"))
+        shingled.join(there, shingled["doc_id"].eqNullSafe(there["id"]) & (shingled["text_hash"] == there["hash"]) & (shingled["k"] == there["size"]))
+        .select("doc_id", "text_hash", "k", "n", "hashes", F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(F.greatest(F.lit(0), p - reach), p)))).alias("starts"))
         .withColumn("votes", lanes(F.col("hashes")))
-        .select("row", "doc_id", "k", "n", "hashes", "votes", F.explode_outer("starts").alias("start"))
-        .select("row", "doc_id", "k", "n", "start", F.slice("hashes", F.col("start") + 1, reach + 1).alias("window"), F.slice("votes", F.col("start") + 1, reach + 1).alias("votes"))
-        .select("row", "doc_id", "k", "n", "start", "window", simhash_blocks(F.col("votes"), longest).alias("blocks"))
+        .select("doc_id", "text_hash", "k", "n", "hashes", "votes", F.explode_outer("starts").alias("start"))
+        .select("doc_id", "text_hash", "k", "n", "start", F.slice("hashes", F.col("start") + 1, reach + 1).alias("window"), F.slice("votes", F.col("start") + 1, reach + 1).alias("votes"))
+        .select("doc_id", "text_hash", "k", "n", "start", "window", simhash_blocks(F.col("votes"), longest).alias("blocks"))
     )
     # Every block value of an item within radius // BLOCKS bits.
     flips = [sum(1 << LANE * b for b in bits) for d in range(radius // BLOCKS + 1) for bits in combinations(range(BITS), d)]
@@ -176,13 +177,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     )
     near = near.where((first == F.col("block") + 1) & (bits <= radius)).withColumn("similarity", weighted_similarity(F.col("window"), F.col("item")))
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("back"), F.col("n")))
-    found = near.where(F.col("similarity") >= threshold).groupBy("row", "doc_id", "item_id").agg(best.alias("best"))
-    return found.select("row", "doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"))
+    found = near.where(F.col("similarity") >= threshold).groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best"))
+    return found.select("doc_id", "text_hash", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without any item; all columns unchanged."""
-    return without_rows(docs, _leaks(docs, benchmark, id_col, text_col).select("row").distinct())
+    return without_texts(docs, id_col, text_col, _leaks(docs, benchmark, id_col, text_col).select("doc_id", "text_hash"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import load, stage, without_rows
+from .staging import load, stage, text_hash, without_unkept
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -32,7 +32,7 @@ def digest_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2(body, 256)).alias("digest"),
         F.octet_length(body).cast("long").alias("n_bytes"),
-        F.xxhash64(body).alias("check"),
+        text_hash(body).alias("check"),
     )
 
 
@@ -64,7 +64,7 @@ def tree_merge(rows: DataFrame, bits: int, keep_largest: bool) -> DataFrame:
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, bits: int) -> DataFrame:
-    """exact_groups() with the number of each row."""
+    """exact_groups() with the hash of each text."""
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep is largest or smallest, not {keep!r}")
     rows = stage(digest_runs(docs.select(id_col, text_col), id_col, text_col), "digests")
@@ -73,7 +73,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, bits: int) -
     else:
         joined = tree_merge(rows, bits, keep == "largest")
     return joined.select(
-        "row",
+        F.col("check").alias("text_hash"),
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
         F.col("size").cast("long").alias("group_size"),
@@ -99,12 +99,12 @@ def exact_groups(
     ``keep`` is "largest" or "smallest" (by id).  ``2**bits`` runs meet in
     each merge.
     """
-    return _groups(docs, id_col, text_col, keep, bits).drop("row")
+    return _groups(docs, id_col, text_col, keep, bits).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged."""
-    return without_rows(docs, _groups(docs, id_col, text_col, keep, 4).where(~F.col("kept")))
+    return without_unkept(docs, id_col, text_col, _groups(docs, id_col, text_col, keep, 4))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

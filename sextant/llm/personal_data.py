@@ -172,7 +172,7 @@ def features(kind: str, vote: str) -> np.ndarray:
 
 def train(counts: list[tuple[str, str, int]], posterior: dict[tuple[str, str], float], ridge: float = 0.1) -> np.ndarray:
     """Weights of a logistic regression on the votes, by Newton's method."""
-    x = np.array([features(k, v) for k, v, _ in counts]).reshape(len(counts), -1)
+    x = np.array([features(k, v) for k, v, _ in counts]).reshape(len(counts), len(KINDS) * (1 + 2 * len(LABELERS)))
     y = np.array([posterior[k, v] for k, v, _ in counts])
     n = np.sqrt(np.array([c for *_, c in counts], float))  # so that rare patterns count, too
     w = np.zeros(len(KINDS) * (1 + 2 * len(LABELERS)))

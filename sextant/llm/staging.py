@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
@@ -46,12 +46,28 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows whose monotonically_increasing_id() is in ``gone`` (row).
+def text_hash(text: Column) -> Column:
+    """With the id it tells rows apart; unlike a row number it is the same however often a table is computed."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    Ids may repeat or be null, so rows are told apart by this number; it is the
-    same for every scan of the same files.
-    """
-    number = f"_row_{uuid.uuid4().hex}"
-    numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    return numbered.join(small(stage(gone.select(F.col("row").alias(number)), "gone"), rows), number, "left_anti").select(*docs.columns)
+
+def without_texts(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, repeated: DataFrame | None = None, rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows in ``gone``, and with one row of each kind in ``repeated`` (both: doc_id, text_hash)."""
+    mark, one, other = (f"_{k}_{uuid.uuid4().hex}" for k in ("hash", "id", "text"))
+    marked = docs.withColumn(mark, text_hash(F.col(text_col)))
+
+    def split(keys: DataFrame, how: str) -> DataFrame:
+        keys = small(stage(keys.select(F.col("doc_id").alias(one), F.col("text_hash").alias(other)).distinct(), "keys"), rows)
+        return marked.join(keys, marked[id_col].eqNullSafe(keys[one]) & (marked[mark] == keys[other]), how)
+
+    if repeated is None or repeated.isEmpty():
+        return split(gone, "left_anti").select(*docs.columns)
+    once = split(repeated, "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns)
+    return split(gone.unionByName(repeated), "left_anti").select(*docs.columns).unionByName(once)
+
+
+def without_unkept(docs: DataFrame, id_col: str, text_col: str, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay by ``groups`` (doc_id, text_hash, kept), one row of it for each of theirs."""
+    keys = stage(groups.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "kept")
+    keys_of = lambda which: keys.where(which).select("doc_id", "text_hash")
+    return without_texts(docs, id_col, text_col, keys_of("NOT kept"), keys_of("kept AND n > 1"))
