@@ -50,8 +50,8 @@ def insert_data(quads: DataFrame) -> DataFrame:
 def extractor_statistics(runs: DataFrame) -> DataFrame:
     """Per module: extracted, failed, seconds and share of all."""
     sums = runs.groupBy("module").agg(F.count_if(~F.col("failed")).alias("extracted"), F.count_if("failed").alias("failed"), F.sum("seconds").alias("seconds"))
-    total = runs.agg(F.count("*").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select("module", "extracted", "failed", "seconds", (100.0 * (F.col("extracted") + F.col("failed")) / F.col("total")).alias("percent"))
+    total = runs.agg(F.count("*")).scalar()
+    return sums.select("module", "extracted", "failed", "seconds", (100.0 * (F.col("extracted") + F.col("failed")) / total).alias("percent"))
 
 
 def quads_of(table: DataFrame, subject: str, columns: dict[str, str], graph: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions import dates, media, paths, strings
+from sextant.functions import dates, media, paths, strings, urns
 from sextant.model import CLASSES
-from sextant.operators import diff, feeds, roots, search, status, tags
+from sextant.operators import diff, feeds, policy, roots, search, status, tags
 from sextant.plans import extraction, oracle, store
 from sextant.streaming import events
 
@@ -174,16 +174,15 @@ def _(s, d):
 @query("q20_counts")
 def _(s, d):
     e = store.elements(s, d)
-    there = search.available(e, store.volumes(s, d), False)
-    return e.agg(F.count("*").alias("files"), F.countDistinct("container").alias("folders")).crossJoin(there.agg(F.countDistinct("container").alias("available_folders")))
+    marked = e.join(store.volumes(s, d).select(F.col("urn").alias("data_source"), "available"), "data_source", "left")
+    return marked.agg(F.count("*").alias("files"), F.countDistinct("container").alias("folders"), F.countDistinct(F.when(F.col("available"), F.col("container"))).alias("available_folders"))
 
 
 @query("q21_eta")
 def _(s, d):
     m = store.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity")).alias("elapsed"), F.count("*").alias("done"), F.sum((F.col("l_returnflag") == "N").cast("int")).alias("left"))
     eta = m.select(F.col("l_suppkey").alias("miner"), dates.remaining(F.col("elapsed"), F.col("done"), F.col("left")).alias("seconds"))
-    longest = eta.agg(F.max("seconds").alias("longest"))
-    return eta.crossJoin(F.broadcast(longest)).select("miner", "seconds", strings.seconds_text(F.col("seconds")).alias("text"), "longest")
+    return eta.select("miner", "seconds", strings.seconds_text(F.col("seconds")).alias("text"), eta.agg(F.max("seconds")).scalar().alias("longest"))
 
 
 @query("q22_failures")
@@ -592,6 +591,74 @@ def _(s, d):
     return o.select("o_orderkey", strings.coalesce_strip(F.when(F.col("o_orderkey") % 3 == 0, F.lit(" ")), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")), F.col("o_orderstatus")).alias("title"))
 
 
+@query("f_entity_urns")
+def _(s, d):
+    p = store.table(s, d, "part")
+    date = F.when(F.col("p_size") % 2 == 0, F.lit("2001-02-03T04:05:06Z"))
+    maker = F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))
+    return p.select("p_partkey", urns.album(F.col("p_name"), maker, date).alias("album"), urns.album_disc(F.col("p_name"), maker, date, F.col("p_size")).alias("disc"), urns.equipment(maker, F.col("p_brand")).alias("equipment"), urns.external(F.lit("src"), F.col("p_partkey").cast("string"), maker).alias("external"))
+
+
+# Policies.
+
+
+@query("d26_out_of_space")
+def _(s, d):
+    c = store.table(s, d, "customer")
+    return c.select("c_custkey", policy.out_of_space(F.abs("c_acctbal"), F.lit(10_000.0), F.col("c_nationkey") - 1).alias("pause"), policy.throttle(F.col("c_nationkey"), F.col("c_custkey") % 2 == 0).alias("throttle"))
+
+
+@query("d28_crawl_needed")
+def _(s, d):
+    c = store.table(s, d, "customer")
+    return c.select("c_custkey", policy.crawl_needed(F.col("c_nationkey") % 6 - 2, F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 5).alias("needed"))
+
+
+@query("d3_root_order")
+def _(s, d):
+    n = store.table(s, d, "nation")
+    return policy.order_roots(n.select(F.concat(F.lit("/"), F.col("n_name")).alias("root"), (F.col("n_regionkey") == 2).alias("priority"), F.col("n_nationkey").alias("added")))
+
+
+@query("q26_edit_roots")
+def _(s, d):
+    r = store.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+    edited = policy.edit_list(F.col("names"), ["KENYA", "ATLANTIS"], ["CHINA", "FRANCE"])
+    return r.select("n_regionkey", F.array_join(edited, ",").alias("roots"), policy.same_set(F.col("names"), edited).alias("same"))
+
+
+@query("a13_fallback_types")
+def _(s, d):
+    mimes = store.table(s, d, "part").select(F.col("p_type").alias("mime"))
+    rules = [("10-a", "PROMO *", ["A", "B"]), ("11-b", "*STEEL", []), ("12-c", "*STEEL", ["C"]), ("90-z", "*", ["Z", "A"])]
+    table = s.createDataFrame([(o, paths.glob_regex(g), t) for o, g, t in rules], "rule_order string, allow_regex string, types array<string>")
+    found = policy.fallback_types(mimes, table)
+    return found.select("mime", F.array_join("types", ",").alias("types"), F.array_join("all_types", ",").alias("all_types"))
+
+
+@query("p21_writers")
+def _(s, d):
+    e = store.elements(s, d).select(F.col("ie").alias("resource"), F.array("class", F.lit("nie:InformationElement")).alias("types"))
+    modules = s.createDataFrame([("nfo:Image", "xmp"), ("nmm:MusicPiece", "audio"), ("nfo:Video", "audio")], "type string, module string")
+    return policy.writers(e, modules).groupBy("module").agg(F.count("*").alias("n"))
+
+
+@query("d18_not_in_flight")
+def _(s, d):
+    e = store.elements(s, d).select("url", "doc_id")
+    return policy.not_in_flight(e, e.where("doc_id % 50 = 7"), "url").agg(F.count("*").alias("n"))
+
+
+@query("g_ranked_sources")
+def _(s, d):
+    o = store.table(s, d, "orders")
+    sources = {"xmp": F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")), "exif": F.when(F.col("o_orderkey") % 2 == 0, F.lit("  ")).otherwise(F.col("o_orderstatus")), "iptc": F.lit("fallback")}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("value")) for k, v in sources.items()]))
+    values = o.select(F.col("o_orderkey").alias("item"), F.when(F.col("o_orderkey") % 4 == 0, "png").otherwise("jpeg").alias("module"), F.lit("title").alias("field"), rows.alias("s")).select("item", "module", "field", "s.*")
+    ranks = s.createDataFrame([("png", "title", "xmp", 0), ("png", "title", "exif", 1), ("png", "title", "iptc", 2), ("jpeg", "title", "iptc", 2), ("jpeg", "title", "exif", 0), ("jpeg", "title", "xmp", 1)], "module string, field string, source string, rank int")
+    return policy.ranked(values, ranks)
+
+
 def queries() -> dict[str, Query]:
     return QUERIES | extraction.QUERIES
 

@@ -226,4 +226,20 @@ SQL = {
         l_partkey / 75.0 AS seconds, CASE WHEN l_linenumber = 3 THEN l_quantity * 2.54 ELSE l_quantity END AS dpi FROM lineitem WHERE l_orderkey % 10 = 1""",
     "f_urns": "SELECT p_partkey, 'urn:equipment:' || replace(p_brand, '#', '%23') || ':' || replace(replace(p_name, ' ', '%20'), '#', '%23') || ':' AS urn FROM part",
     "g_metadata_priority": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS title FROM orders",
+    "f_entity_urns": """WITH p AS (SELECT *, replace(replace(p_name, ' ', '%20'), '#', '%23') AS title, replace(p_brand, '#', '%23') AS brand, CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '%23') END AS maker,
+            CASE WHEN p_size % 2 = 0 THEN '2001-02-03' END AS day FROM part)
+        SELECT p_partkey, concat_ws(':', 'urn:album', title, maker, day) AS album, concat_ws(':', 'urn:album-disc', title, maker, day) || ':Disc' || p_size AS disc,
+            'urn:equipment:' || coalesce(maker, '') || ':' || brand || ':' AS equipment, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'urn:ExternalReference:src:' || p_partkey END AS external FROM p""",
+    "d26_out_of_space": """SELECT c_custkey, c_nationkey >= 1 AND 100.0 * abs(c_acctbal) / 10000.0 <= c_nationkey - 1 AS pause, least(greatest(c_nationkey / 20.0 + CASE WHEN c_custkey % 2 = 0 THEN 0.25 ELSE 0 END, 0), 1) AS throttle FROM customer""",
+    "d28_crawl_needed": """SELECT c_custkey, CASE i WHEN -2 THEN false WHEN -1 THEN c_custkey % 2 <> 0 WHEN 0 THEN true ELSE c_custkey % 5 >= i END AS needed FROM (SELECT *, c_nationkey % 6 - 2 AS i FROM customer)""",
+    "d3_root_order": "SELECT '/' || n_name AS root, CASE WHEN n_regionkey = 2 THEN 0 ELSE 1 END AS later, CASE WHEN n_regionkey = 2 THEN -n_nationkey ELSE n_nationkey END AS rank FROM nation",
+    "q26_edit_roots": """SELECT n_regionkey, array_to_string(e, ',') AS roots, list_sort(e) = names AS same FROM (
+        SELECT n_regionkey, names, list_filter(list_concat(names, list_filter(['KENYA', 'ATLANTIS'], lambda x: NOT list_contains(names, x))), lambda x: x NOT IN ('CHINA', 'FRANCE')) AS e
+        FROM (SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1))""",
+    "a13_fallback_types": """SELECT DISTINCT p_type AS mime, CASE WHEN p_type LIKE 'PROMO %' THEN 'A,B' WHEN p_type LIKE '%STEEL' THEN 'C' ELSE 'Z,A' END AS types,
+        'A' || CASE WHEN p_type LIKE 'PROMO %' THEN ',B' ELSE '' END || CASE WHEN p_type LIKE '%STEEL' THEN ',C' ELSE '' END || ',Z' AS all_types FROM part""",
+    "p21_writers": _with(ELEMENTS) + "SELECT CASE class WHEN 'nfo:Image' THEN 'xmp' WHEN 'nmm:MusicPiece' THEN 'audio' WHEN 'nfo:Video' THEN 'audio' END AS module, count(*) AS n FROM el GROUP BY 1",
+    "d18_not_in_flight": "SELECT count(*) AS n FROM documents WHERE doc_id % 50 <> 7",
+    "g_ranked_sources": """SELECT o_orderkey AS item, module, 'title' AS field, CASE WHEN module = 'png' THEN coalesce(xmp, exif, 'fallback') ELSE coalesce(exif, xmp, 'fallback') END AS value FROM (
+        SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'png' ELSE 'jpeg' END AS module, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS xmp, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderstatus END AS exif FROM orders)""",
 }
