@@ -68,6 +68,34 @@ def guess(c: Column) -> Column:
     )
 
 
+def _month(name: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for k in range(12) for x in (MONTHS[3 * k : 3 * k + 3], f"{k + 1:02d}")])
+    return F.element_at(names, F.substring(name, 1, 3))
+
+
+def page_description(c: Column) -> Column:
+    """ISO form, with the zone as given or UTC, of the four forms of dates in page descriptions; null for others.
+
+    (18:07 Tuesday 22 May 2007), Tue May 22 18:07:10 2007, 22 May 1997 18:07:10 -0600, 6:07 PM May 22, 2007
+    """
+    forms = (
+        (r"^\((\d{1,2}):(\d\d) \w+ (\d{1,2}) (\w+) (\d{4})\)", {"h": 1, "mi": 2, "d": 3, "mo": 4, "y": 5}),
+        (r"^[A-Za-z]+ (\w+) +(\d{1,2}) (\d\d):(\d\d):(\d\d) (\d{4})", {"mo": 1, "d": 2, "h": 3, "mi": 4, "s": 5, "y": 6}),
+        (r"^(\d{1,2}) (\w+) (\d{4}) (\d\d):(\d\d):(\d\d) ([+-]\d{4})", {"d": 1, "mo": 2, "y": 3, "h": 4, "mi": 5, "s": 6, "z": 7}),
+        (r"^(\d{1,2}):(\d\d) ([AP]M) (\w+) (\d{1,2}), (\d{4})", {"h": 1, "mi": 2, "pm": 3, "mo": 4, "d": 5, "y": 6}),
+    )
+    found = []
+    for pattern, places in forms:
+        part = lambda k, pattern=pattern, places=places: F.regexp_extract(c, pattern, places[k]) if k in places else None
+        hour = part("h").try_cast("int")
+        if "pm" in places:
+            hour = hour % 12 + F.when(part("pm") == "PM", 12).otherwise(0)
+        two = lambda v: F.lpad(v.cast("string"), 2, "0")
+        clock = F.concat(two(hour), F.lit(":"), part("mi"), F.lit(":"), part("s") if "s" in places else F.lit("00"))
+        found.append(F.when(c.rlike(pattern), F.concat(part("y"), F.lit("-"), _month(part("mo")), F.lit("-"), two(part("d")), F.lit("T"), clock, part("z") if "z" in places else F.lit("+0000"))))
+    return F.coalesce(*found)
+
+
 def remaining(elapsed: Column, done: Column, left: Column) -> Column:
     """Estimated seconds left, 0 if unknown."""
     return F.when((elapsed > 0) & (done > 0) & (left > 0), F.floor(elapsed / done * left)).otherwise(F.lit(0)).cast("long")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of the metering modes 0 to 6, EXIF flash values without light, beginnings of region types.
+METERING = ("other", "average", "center-weighted-average", "spot", "multispot", "pattern", "partial")
+DARK = (0x00, 0x05, 0x08, 0x10, 0x18, 0x58)
+REGIONS = ("face", "pet", "focus", "barcode")
 # Names of the EXIF orientations 1 to 8.
 ORIENTATIONS = ("top", "top-mirror", "bottom-mirror", "bottom", "left-mirror", "right", "right-mirror", "left")
 
@@ -22,8 +26,49 @@ def rational(c: Column) -> Column:
 
 
 def exposure(c: Column) -> Column:
-    """Seconds of 1/x or x."""
-    return F.when(c.startswith("1/"), (F.lit(1.0) / F.substring(c, 3, 20).try_cast("double")).cast("float").cast("double")).otherwise(c.try_cast("double"))
+    """Seconds: one over what follows a slash, else as written."""
+    below = F.regexp_extract(c, r"/\s*([0-9.]+)", 1).try_cast("double")
+    return F.when(below > 0, F.lit(1.0) / below).otherwise(c.try_cast("double"))
+
+
+def fnumber(c: Column) -> Column:
+    """Without a leading F or f/."""
+    return F.when(c != "", F.trim(F.regexp_replace(c, "^(F|f/)", "")))
+
+
+def altitude(value: Column, ref: Column) -> Column:
+    """Metres in single precision; ref 1: below sea level."""
+    metres = value.cast("float").cast("double")
+    return F.when(ref == 1, -metres).otherwise(metres)
+
+
+def gps_text(c: Column) -> Column:
+    """Decimal degrees of deg,min.fraction and a direction; null for other texts."""
+    part = lambda k: F.regexp_extract(c, r"([0-9]+),([0-9]+\.[0-9]+)([A-Z])", k)
+    value = part(1).try_cast("double") + part(2).try_cast("double") / 60
+    return F.when(part(3).isin("S", "W"), -value).otherwise(value)
+
+
+def metering(n: Column) -> Column:
+    table = F.array(*[F.lit(f"nmm:metering-mode-{m}") for m in METERING])
+    return F.when(n.isNotNull(), F.coalesce(F.get(table, n.cast("int")), F.lit("nmm:metering-mode-other")))
+
+
+def flash(n: Column, by_bit: bool = False) -> Column:
+    """EXIF values by their list, XMP values by their lowest bit."""
+    off = n.bitwiseAND(F.lit(1)) == 0 if by_bit else n.isin(*DARK)
+    return F.when(off, "nmm:flash-off").when(~off, "nmm:flash-on")
+
+
+def white_balance(n: Column) -> Column:
+    return F.when(n == 0, "nmm:white-balance-auto").when(n != 0, "nmm:white-balance-manual")
+
+
+def region_type(c: Column) -> Column:
+    """By its beginning, in any case."""
+    kind = F.lower(c)
+    known = F.coalesce(*[F.when(kind.startswith(r), F.lit(f"nfo:roi-content-{r}")) for r in REGIONS], F.lit("nfo:roi-content-undefined"))
+    return F.when(c.isNull(), "nfo:region-content-undefined").otherwise(known)
 
 
 def without(c: Column, prefix: str = "", suffix: str = "") -> Column:

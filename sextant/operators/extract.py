@@ -422,3 +422,11 @@ def write_pls(entries: DataFrame) -> DataFrame:
     rows = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "url"))).alias("e"))
     lines = F.transform("e", lambda x: F.concat(F.lit("File"), x["position"].cast("string"), F.lit("="), x["url"]))
     return rows.select("path", F.concat(F.lit("[playlist]\n"), F.array_join(lines, "\n"), F.lit("\nNumberOfEntries="), F.size("e").cast("string"), F.lit("\nVersion=2\n")).alias("text"))
+
+
+def write_xspf(entries: DataFrame) -> DataFrame:
+    rows = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "url"))).alias("e"))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tracks = F.transform("e", lambda x: F.concat(F.lit("<track><location>"), safe(x["url"]), F.lit("</location></track>\n")))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<playlist version="1" xmlns="http://xspf.org/ns/0/">\n<trackList>\n'
+    return rows.select("path", F.concat(F.lit(head), F.array_join(tracks, ""), F.lit("</trackList>\n</playlist>\n")).alias("text"))

@@ -561,7 +561,7 @@ def _(s, d):
 
 @query("f_date_guess")
 def _(s, d):
-    o = store.table(s, d, "orders").where("o_orderkey % 20 = 1")
+    o = store.table(s, d, "orders")
     forms = ("yyyy", "yyyy-MM-dd", "yyyyMMddHHmmss", "yyyyMMddHHmmss'Z'", "yyyy:MM:dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     text = F.explode(F.array(*[F.date_format("o_orderdate", f) for f in forms]))
     return o.select("o_orderkey", text.alias("text")).select("o_orderkey", "text", dates.guess(F.col("text")).alias("guess"))
@@ -569,7 +569,7 @@ def _(s, d):
 
 @query("f_media")
 def _(s, d):
-    x = store.table(s, d, "lineitem").where("l_orderkey % 10 = 1")
+    x = store.table(s, d, "lineitem")
     return x.select(
         "l_orderkey", "l_linenumber",
         F.round(media.gps_decimal(F.col("l_quantity"), F.col("l_linenumber"), F.lit(30.0), F.when(F.col("l_returnflag") == "R", "S").otherwise("N")), 4).alias("gps"),
@@ -580,6 +580,25 @@ def _(s, d):
     )
 
 
+@query("f_image_values")
+def _(s, d):
+    p = store.table(s, d, "part")
+    n, text = F.col("p_size") - 1, F.col("p_size").cast("string")
+    place = F.concat(text, F.lit(","), text, F.lit(".5"), F.when(F.col("p_partkey") % 2 == 0, "S").otherwise("E"))
+    return p.select(
+        "p_partkey", media.metering(n).alias("metering"), media.flash(n).alias("flash"), media.flash(n, by_bit=True).alias("flash_bit"), media.white_balance(n % 3).alias("balance"),
+        media.fnumber(F.concat(F.when(F.col("p_partkey") % 2 == 0, "f/").otherwise("F"), text)).alias("fnumber"), F.round(media.exposure(F.concat(F.lit("1/"), text)), 6).alias("exposure"),
+        F.round(media.altitude(F.col("p_retailprice"), F.col("p_partkey") % 2), 2).alias("altitude"), F.round(media.gps_text(place), 6).alias("gps"), media.region_type(F.element_at(F.array(F.lit("Face"), F.lit("PETS"), F.lit("barcode"), F.lit("x"), F.lit(None)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("region"),
+    )
+
+
+@query("f_page_description_dates")
+def _(s, d):
+    forms = ("'('HH:mm EEEE d MMMM yyyy')'", "EEE MMM d HH:mm:ss yyyy", "d MMM yyyy HH:mm:ss '-0600'", "h:mm a MMMM d, yyyy")
+    text = F.posexplode(F.array(*[F.date_format("o_orderdate", f) for f in forms]))
+    return store.table(s, d, "orders").select("o_orderkey", text.alias("form", "text")).select("o_orderkey", "form", dates.page_description(F.col("text")).alias("iso"))
+
+
 @query("f_urns")
 def _(s, d):
     return store.table(s, d, "part").select("p_partkey", F.concat(F.lit("urn:equipment:"), strings.urn_escape(F.col("p_brand")), F.lit(":"), strings.urn_escape(F.col("p_name")), F.lit(":")).alias("urn"))

@@ -25,14 +25,14 @@ def e_text(s, d):
 
 
 def e_errors(s, d):
-    docs = store.elements(s, d).where("sn < 3")
-    mime = F.element_at(F.array(F.lit("image/png"), F.lit("application/epub+zip"), F.lit("image/jpeg")), F.col("sn") + 1)
+    docs = store.elements(s, d)
+    mime = F.element_at(F.array(F.lit("image/png"), F.lit("application/epub+zip"), F.lit("image/jpeg")), F.col("sn") % 3 + 1)
     found = extract.extract(docs.select(F.col("url").alias("path"), mime.alias("mime"), F.encode("text", "UTF-8").alias("content")))
     return found.where("error IS NOT NULL").groupBy("mime", "graph").agg(F.count("*").alias("n"))
 
 
 def _playlists(s, d):
-    x = store.table(s, d, "lineitem").where("l_orderkey % 5 = 0")
+    x = store.table(s, d, "lineitem")
     line = F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("long").cast("string"), F.lit(",x\nhttp://m/"), F.col("l_partkey").cast("string"))
     rows = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("e"))
     return rows.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.lit("#EXTM3U\n"), F.array_join("e.line", "\n"), F.lit("\n")).alias("text"))
@@ -54,8 +54,12 @@ def k21_write_m3u(s, d):
     return extract.write_m3u(extract.playlist_entries(_playlists(s, d))).select("path", F.md5("text").alias("digest"))
 
 
+def k21_write_xspf(s, d):
+    return extract.write_xspf(extract.playlist_entries(_playlists(s, d))).select("path", F.md5("text").alias("digest"))
+
+
 def e_cue(s, d):
-    x = store.table(s, d, "lineitem").where("l_orderkey % 5 = 0")
+    x = store.table(s, d, "lineitem")
     at = F.col("l_linenumber") * 200 + F.col("l_partkey") % 100
     index = F.format_string("%02d:%02d:%02d", F.floor(at / 60).cast("int"), (at % 60).cast("int"), (F.col("l_partkey") % 75).cast("int"))
     line = F.concat(F.format_string('  TRACK %02d AUDIO\n    TITLE "t', F.col("l_linenumber")), F.col("l_partkey").cast("string"), F.lit('"\n    INDEX 01 '), index)
@@ -71,19 +75,21 @@ def e_bmp(s, d):
     return o.select("o_orderkey", extract.bitmap_size(content).alias("b")).select("o_orderkey", F.col("b.width").alias("width"), F.col("b.height").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (e_html, e_text, e_errors, e_playlist, e_playlist_summary, k21_write_pls, k21_write_m3u, e_cue, e_bmp)}
+QUERIES = {f.__name__: f for f in (e_html, e_text, e_errors, e_playlist, e_playlist_summary, k21_write_pls, k21_write_m3u, k21_write_xspf, e_cue, e_bmp)}
 
-_LISTS = "x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_partkey FROM lineitem WHERE l_orderkey % 5 = 0)"
+_LISTS = "x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_partkey FROM lineitem)"
 SQL = {
     "e_html": """SELECT url AS path, 'Documents' AS graph, 'nfo:HtmlDocument' AS class, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title, NULL AS error FROM pages""",
     "e_text": "SELECT 'file:///' || source || '/' || doc_id || '.txt' AS path, 'Documents' AS graph, md5(text) AS digest FROM documents",
     "e_errors": """SELECT mime, CASE mime WHEN 'application/epub+zip' THEN 'Documents' ELSE 'Pictures' END AS graph, count(*) AS n FROM (
-        SELECT (['image/png', 'application/epub+zip', 'image/jpeg'])[CAST(substr(source, 4) AS INT) + 1] AS mime FROM documents WHERE CAST(substr(source, 4) AS INT) < 3) GROUP BY mime""",
+        SELECT (['image/png', 'application/epub+zip', 'image/jpeg'])[CAST(substr(source, 4) AS INT) % 3 + 1] AS mime FROM documents) GROUP BY mime""",
     "e_playlist": f"WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, q) AS position, 'http://m/' || l_partkey AS url FROM x",
     "e_playlist_summary": f"WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, count(*) AS entries, CAST(sum(q) AS BIGINT) AS seconds FROM x GROUP BY 1",
     "k21_write_pls": f"""WITH {_LISTS}, y AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS p FROM x)
         SELECT CAST(l_orderkey AS VARCHAR) AS path, md5('[playlist]' || chr(10) || string_agg('File' || p || '=http://m/' || l_partkey, chr(10) ORDER BY p) || chr(10) || 'NumberOfEntries=' || count(*) || chr(10) || 'Version=2' || chr(10)) AS digest FROM y GROUP BY l_orderkey""",
     "k21_write_m3u": f"""WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, md5('#EXTM3U' || chr(10) || string_agg('http://m/' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) || chr(10)) AS digest FROM x GROUP BY l_orderkey""",
+    "k21_write_xspf": f"""WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<playlist version="1" xmlns="http://xspf.org/ns/0/">' || chr(10) || '<trackList>' || chr(10)
+        || string_agg('<track><location>http://m/' || l_partkey || '</location></track>' || chr(10), '' ORDER BY l_linenumber, l_partkey) || '</trackList>' || chr(10) || '</playlist>' || chr(10)) AS digest FROM x GROUP BY l_orderkey""",
     "e_cue": f"""WITH {_LISTS}, y AS (SELECT l_orderkey, l_partkey, row_number() OVER w AS track, l_linenumber * 200 + l_partkey % 100 + (l_partkey % 75) / 75.0 AS start FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey))
         SELECT CAST(l_orderkey AS VARCHAR) AS path, track, 't' || l_partkey AS title, round(start, 6) AS start, round(lead(start) OVER (PARTITION BY l_orderkey ORDER BY track) - start, 6) AS duration FROM y""",
     "e_bmp": "SELECT o_orderkey, o_orderkey AS width, o_custkey AS height FROM orders",

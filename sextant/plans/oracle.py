@@ -219,11 +219,19 @@ SQL = {
             SELECT o_orderkey, o_orderdate, CAST(([0, 7200, -19800, 0])[o_orderkey % 4 + 1] AS BIGINT) AS offset_s FROM orders))""",
     "f_date_guess": """SELECT o_orderkey, text, CASE length(text) WHEN 4 THEN text || '-01-01T00:00:00Z' WHEN 10 THEN text || 'T00:00:00' WHEN 14 THEN iso WHEN 15 THEN iso || 'Z' WHEN 19 THEN iso ELSE text END AS guess FROM (
         SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, unnest([strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y%m%d%H%M%S'), strftime(o_orderdate, '%Y%m%d%H%M%SZ'),
-            strftime(o_orderdate, '%Y:%m:%d %H:%M:%S'), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')]) AS text FROM orders WHERE o_orderkey % 20 = 1)""",
+            strftime(o_orderdate, '%Y:%m:%d %H:%M:%S'), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')]) AS text FROM orders)""",
     "f_media": """SELECT l_orderkey, l_linenumber, round(CAST(CAST(l_quantity + l_linenumber / 60 + 30.0 / 3600 AS FLOAT) AS DOUBLE) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END, 4) AS gps,
         CASE WHEN l_partkey % 4 <> 0 THEN l_linenumber / (l_partkey % 4) END AS ratio,
         'nfo:orientation-' || (CASE WHEN l_linenumber + 2 <= 8 THEN (['top', 'top-mirror', 'bottom-mirror', 'bottom', 'left-mirror', 'right', 'right-mirror', 'left'])[l_linenumber + 2] ELSE 'top' END) AS orientation,
-        l_partkey / 75.0 AS seconds, CASE WHEN l_linenumber = 3 THEN l_quantity * 2.54 ELSE l_quantity END AS dpi FROM lineitem WHERE l_orderkey % 10 = 1""",
+        l_partkey / 75.0 AS seconds, CASE WHEN l_linenumber = 3 THEN l_quantity * 2.54 ELSE l_quantity END AS dpi FROM lineitem""",
+    "f_image_values": """SELECT p_partkey, 'nmm:metering-mode-' || coalesce((['other', 'average', 'center-weighted-average', 'spot', 'multispot', 'pattern', 'partial'])[n + 1], 'other') AS metering,
+        CASE WHEN n IN (0, 5, 8, 16, 24, 88) THEN 'nmm:flash-off' ELSE 'nmm:flash-on' END AS flash, CASE WHEN n % 2 = 0 THEN 'nmm:flash-off' ELSE 'nmm:flash-on' END AS flash_bit,
+        CASE WHEN n % 3 = 0 THEN 'nmm:white-balance-auto' ELSE 'nmm:white-balance-manual' END AS balance, CAST(p_size AS VARCHAR) AS fnumber, round(1.0::DOUBLE / p_size, 6) AS exposure,
+        round(CASE WHEN p_partkey % 2 = 1 THEN -1 ELSE 1 END * CAST(CAST(p_retailprice AS FLOAT) AS DOUBLE), 2) AS altitude, round(CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END * (p_size + (p_size + 0.5)::DOUBLE / 60), 6) AS gps,
+        CASE p_partkey % 5 WHEN 0 THEN 'nfo:roi-content-face' WHEN 1 THEN 'nfo:roi-content-pet' WHEN 2 THEN 'nfo:roi-content-barcode' WHEN 3 THEN 'nfo:roi-content-undefined' ELSE 'nfo:region-content-undefined' END AS region
+        FROM (SELECT *, p_size - 1 AS n FROM part)""",
+    "f_page_description_dates": """SELECT o_orderkey, form, CASE WHEN form IN (0, 3) THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:00') ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END || CASE form WHEN 2 THEN '-0600' ELSE '+0000' END AS iso
+        FROM (SELECT o_orderkey, o_orderdate, unnest([0, 1, 2, 3]) AS form FROM orders)""",
     "f_urns": "SELECT p_partkey, 'urn:equipment:' || replace(p_brand, '#', '%23') || ':' || replace(replace(p_name, ' ', '%20'), '#', '%23') || ':' AS urn FROM part",
     "g_metadata_priority": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS title FROM orders",
     "f_entity_urns": """WITH p AS (SELECT *, replace(replace(p_name, ' ', '%20'), '#', '%23') AS title, replace(p_brand, '#', '%23') AS brand, CASE WHEN p_size % 3 = 0 THEN replace(p_brand, '#', '%23') END AS maker,

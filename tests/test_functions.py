@@ -59,6 +59,23 @@ def test_media(spark):
     assert value(spark, media.synchsafe(F.col("x")), x=b"\x00\x00\x02\x01") == 257
 
 
+def test_image_values(spark):
+    assert value(spark, media.gps_text(F.col("x")), x="35,15.5S") == pytest.approx(-35.258333)
+    assert value(spark, media.gps_text(F.col("x")), x="nowhere") is None
+    assert value(spark, media.fnumber(F.col("x")), x="f/5.6") == "5.6"
+    assert value(spark, media.flash(F.col("x")), x=9) == "nmm:flash-on" and value(spark, media.flash(F.col("x")), x=16) == "nmm:flash-off"
+    assert value(spark, media.metering(F.col("x")), x=77) == "nmm:metering-mode-other"
+    assert value(spark, media.region_type(F.col("x")), x="FaceOne") == "nfo:roi-content-face"
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [("(18:07 Tuesday 22 May 2007)", "2007-05-22T18:07:00+0000"), ("Tue May 22 18:07:10 2007", "2007-05-22T18:07:10+0000"), ("22 May 1997 18:07:10 -0600", "1997-05-22T18:07:10-0600"), ("6:07 PM May 22, 2007", "2007-05-22T18:07:00+0000"), ("12:07 AM May 2, 2007", "2007-05-02T00:07:00+0000"), ("soon", None)],
+)
+def test_page_description_dates(spark, text, expected):
+    assert value(spark, dates.page_description(F.col("x")), x=text) == expected
+
+
 def test_globs(spark):
     assert value(spark, F.col("x").rlike(paths.glob_regex("*.t?t")), x="a.txt") is True
     assert value(spark, F.col("x").rlike(paths.glob_regex("[a]*")), x="a") is False
