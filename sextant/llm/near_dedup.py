@@ -18,12 +18,15 @@ texts that are not yet of one class are compared with their neighbours in
 size, and what is left of different classes with each other, so a class of
 thousands costs about one comparison a member, and no pair of different
 classes that may be linked and shares ``in_common`` sketches stays uncompared.
+A large sketch with many texts outside its main class is divided by the
+further sketches that its texts share, which all those pairs have.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from .components import merge_labels
 from .hashing import batches, mix, shingle_hashes
 from .staging import load, small, stage, text_hash, without_unkept
 
-#: A sketch shared by more texts than this is dealt out in parts, each with the first text.
+#: A sketch shared by more texts than this is dealt out in parts; texts outside its main class meet all parts.
 PART = 2048
 
 
@@ -263,28 +266,58 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
     compared = pairs
     links = stage(_links(pairs, seqs, threshold), "links")
     labels = merge_labels(members.select(F.col("node").alias("id"), F.col("node").alias("label")).distinct(), links)
-    # Neighbours among the texts of a part, by size, then all texts of a part.
+    # Neighbours among the texts of a part, by size; then all texts of a sketch, whatever their part.
     place = F.row_number().over(Window.partitionBy("j", "value", "part").orderBy("n", "node"))
     own = same.select("node", F.col("sketches").alias("own"))
     members = stage(members.join(own, "node").select("j", "value", "part", place.alias("place"), "node", "n", "most", "own"), "places")
     key = ["j", "value", "part"]
-    for reach in (4, 64, None):
+    met = F.zip_with("own", "others", lambda x, y: x == y)
+    others = [F.col("node").alias("a"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("label").alias("other"), F.col("own").alias("others")]
+    times = lambda flags: F.size(F.filter(flags, lambda m: m))
+
+    def link(found: DataFrame) -> None:
+        nonlocal compared, labels
+        pairs = stage(found.select(low, high).distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        compared = compared.unionByName(pairs)
+        more = stage(_links(pairs, seqs, threshold), "links")
+        if not more.isEmpty():
+            labels = merge_labels(labels, more)
+
+    for reach in (4, 64):
         labelled = members.join(labels.withColumnRenamed("id", "node"), "node")
         mixed = labelled.groupBy(*key).agg(F.mode("label", True).alias("main"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
         open_ = stage(labelled.join(mixed.select(*key, "main"), key), "mixed")
         # Of two texts of different classes one at least isn't of the part's main class.
         minor = open_.where("label != main").select(*key, "place", F.col("node").alias("b"), "n", "most", "label", "own")
-        other = open_.select(*key, F.col("place").alias("there"), F.col("node").alias("a"), F.col("n").alias("m"), F.col("most").alias("other_most"), F.col("label").alias("other"), F.col("own").alias("others"))
+        other = open_.select(*key, F.col("place").alias("there"), *others)
         # A pair is followed where it first meets; linked pairs nearly always meet more often.
-        met = F.zip_with("own", "others", lambda x, y: x == y)
-        often = (F.array_position(met, F.lit(True)) == F.col("j") + 1) & (F.size(F.filter(met, lambda m: m)) >= in_common)
-        close = F.abs(F.col("place") - F.col("there")) <= reach if reach else F.lit(True)
-        found = minor.join(other, key).where((F.col("label") != F.col("other")) & may_link & close & often).select(low, high).distinct()
-        pairs = stage(found.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.unionByName(pairs)
-        more = stage(_links(pairs, seqs, threshold), "links")
-        if not more.isEmpty():
-            labels = merge_labels(labels, more)
+        often = (F.array_position(met, F.lit(True)) == F.col("j") + 1) & (times(met) >= in_common)
+        close = F.abs(F.col("place") - F.col("there")) <= reach
+        link(minor.join(other, key).where((F.col("label") != F.col("other")) & may_link & close & often))
+
+    groups = members.select("j", "value", "node", "n", "most", "own")
+    found = []
+    for depth in range(1, in_common + 1):
+        # Each group shares ``depth`` sketches, the last of them j.
+        labelled = groups.join(labels.withColumnRenamed("id", "node"), "node")
+        classes = labelled.groupBy("j", "value", "label").agg(F.count("*").alias("texts"))
+        mixed = classes.groupBy("j", "value").agg(F.sum("texts").alias("size"), F.max(F.struct("texts", "label")).alias("main")).where("size > main.texts")
+        mixed = mixed.select("j", "value", F.col("main.label").alias("main"), (F.col("size") - F.col("main.texts")).alias("minors"), F.ceil(F.col("size") / PART).cast("long").alias("parts"))
+        open_ = stage(labelled.join(mixed, ["j", "value"]), "mixed")
+        divided = depth < in_common and not open_.where(F.col("minors") > PART).isEmpty()
+        whole = open_.where(F.col("minors") <= PART) if divided else open_
+        minor = whole.where("label != main").select("j", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), "n", "most", "label", "own")
+        other = whole.select("j", "value", F.pmod(F.xxhash64("node"), "parts").alias("part"), *others)
+        # A pair is followed in the group of the first sketches that it shares.
+        often = F.element_at(met, (F.col("j") + 1).cast("int")) & (times(F.slice(met, F.lit(1), (F.col("j") + 1).cast("int"))) == depth) & (times(met) >= in_common)
+        found.append(stage(minor.join(other, key).where((F.col("label") != F.col("other")) & may_link & often).select("a", "b"), "found"))
+        if not divided:
+            break
+        further = open_.where(F.col("minors") > PART).select(F.col("j").alias("last"), F.col("value").alias("shared"), "node", "n", "most", "own", F.posexplode("own").alias("j", "next"))
+        # Enough sketches must follow for ``in_common``.
+        further = further.where((F.col("j") > F.col("last")) & (F.col("j") <= count - in_common + depth))
+        groups = stage(further.select("j", F.xxhash64("last", "shared", "next").alias("value"), "node", "n", "most", "own"), "further")
+    link(reduce(DataFrame.unionByName, found))
 
     nodes = same.join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = table.join(nodes.select("same", "n", "label"), ["same", "n"]).select("doc_id", "row", "text_hash", "label")

@@ -128,6 +128,24 @@ def test_near_groups(table):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_pairs_across_parts(table, monkeypatch):
+    """Every pair that shares enough sketches is compared, though sketches are dealt out and divided."""
+    compared = set()
+
+    def links(pairs, seqs, threshold):
+        compared.update((r.a, r.b) for r in pairs.collect())
+        return pairs.limit(0)
+
+    monkeypatch.setattr(near_dedup, "PART", 2)
+    monkeypatch.setattr(near_dedup, "_links", links)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(24)]
+    assert near_dedup.near_groups(table(list(enumerate(texts))).coalesce(1).sortWithinPartitions("doc_id")).count() == 24
+    s = near_dedup.sketches(*shingle_hashes([t.encode() for t in texts], 5), 24, 3)
+    assert {(a, b) for b in range(24) for a in range(b) if (s[a] == s[b]).sum() >= 5} <= compared
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(60):
