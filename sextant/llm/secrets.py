@@ -38,6 +38,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT, RUN = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"[^\s\"'<>]+")
 ESCAPED = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})")
 ENCODED = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: What a layer must have to hold another.
+WRAPPED = re.compile(f"{PERCENT.pattern}|{ESCAPED.pattern}|{ENCODED.pattern}")
+LONE = re.compile("[\ud800-\udfff]")
 #: A compressed layer that grows beyond this many bytes is refused as a bomb (its wrapped form is still scanned).
 LAYER_BYTES = 64 << 20
 
@@ -78,21 +81,19 @@ def _inflate(data: bytes) -> bytes | None:
     return None if rest else out
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
 def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """A layer of UTF-8 bytes, each of which has its own stretch of the original."""
-    if (text := _readable(data)) is None:
+    """A layer of bytes, each of which has its own stretch of the original; one that isn't UTF-8 is one U+FFFD.
+
+    None if the layer has neither a secret nor anything to unwrap.
+    """
+    text = data.decode("utf-8", "surrogateescape")
+    if not (base_spans(text) or WRAPPED.search(text)):
         return None
-    raw = np.frombuffer(data, np.uint8)
-    first = np.flatnonzero((raw & 0xC0) != 0x80)
-    return text, starts[first], np.maximum.reduceat(ends, first)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    escaped = (codes >= 0xDC80) & (codes < 0xDD00)
+    width = np.where(escaped, 1, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+    stop = np.cumsum(width)
+    return LONE.sub("\ufffd", text), starts[stop - width], ends[stop - 1]
 
 
 def unwrap(text: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Iterator[tuple[str, str, np.ndarray, np.ndarray]]:
@@ -145,9 +146,6 @@ def unwrap(text: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Ite
             n = len(content)
             if layer := _from_bytes(content, np.full(n, at(m.start())), np.full(n, to(m.end() - 1))):
                 yield "compressed", *layer
-            continue
-        if data[0] >= 0x80 or data[0] < 9 or _readable(data) is None:
-            continue
         k = np.arange(len(data))
         first = m.start() + k // 3 * 4 + k % 3
         last = np.minimum(first + 1, m.end() - 1)

@@ -79,6 +79,20 @@ def test_decoded_secrets(wrapped, via):
     assert all(3 <= f[1] < f[2] <= 3 + len(wrapped) for f in found)
 
 
+@pytest.mark.parametrize(
+    "layer",
+    ["mot de passe\u00a0: token=abcdef123".encode(), "Étape: token=abcdef123".encode(), b"\x0c page token=abcdef123", b"\x00\xff\xfe token=abcdef123 \xe9", "\ufefftoken=abcdef123 😀".encode()],
+)
+def test_unreadable_layers(layer):
+    for data in (layer, gzip.compress(layer)):
+        assert any(f[3] == 1 and f[5] == "token=abcdef123" for f in secrets.find_secrets(f"a {base64.b64encode(data).decode()} b"))
+    text = "".join(f"%{x:02X}" for x in layer)
+    (found,) = secrets.find_secrets("http://h/?q=" + text)
+    at = 12 + 3 * layer.index(b"token")
+    assert found[:3] == ("assign", at, at + 45) and found[5] == "token=abcdef123"
+    assert any(f[5] == "token=abcdef123" for f in secrets.find_secrets("http://h/?q=caf%E9&token%3Dabcdef123"))
+
+
 def test_cycles_and_bombs():
     assert secrets.find_secrets("%25" * 3000) == []
     bomb = base64.b64encode(gzip.compress(b"0" * (secrets.LAYER_BYTES + 10))).decode()
