@@ -2,8 +2,8 @@
 
 The scan of a text starts with the text itself as the first layer.  Every
 layer is searched for secrets; then its percent-encoded, Unicode-escaped and
-base64 stretches, and the compressed data inside base64, are unwrapped into
-new layers, which join the worklist until none is left.  A layer whose text
+base64 stretches (also over several lines), and the data compressed inside
+them, however often, are unwrapped into new layers, which join the worklist until none is left.  A layer whose text
 was seen before in the same document at the same place is not unwrapped
 again, so chains that decode to themselves end.  Every layer keeps, for each
 of its characters, the stretch of the original text it came from; a secret
@@ -13,8 +13,8 @@ found in any layer is reported by that stretch.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -38,6 +38,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT, RUN = re.compile(r"%[0-9A-Fa-f]{2}"), re.compile(r"[^\s\"'<>]+")
 ESCAPED = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})")
 ENCODED = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: Base64 broken into lines, indented or quoted.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: What a layer must have to hold another.
 WRAPPED = re.compile(f"{PERCENT.pattern}|{ESCAPED.pattern}|{ENCODED.pattern}")
 LONE = re.compile("[\ud800-\udfff]")
@@ -60,25 +63,42 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def _opener(data: bytes):
+    """A decompressor for data that looks compressed."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
 def _inflate(data: bytes) -> bytes | None:
-    """The content of compressed data, None if it isn't that."""
+    """The content of compressed data, all its members; None if it isn't that, or too large."""
+    out = b""
     try:
-        if data[:2] == b"\x1f\x8b":
-            out, rest = (z := zlib.decompressobj(31)).decompress(data, LAYER_BYTES), z.unconsumed_tail
-        elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2]) % 31 == 0:
-            out, rest = (z := zlib.decompressobj()).decompress(data, LAYER_BYTES), z.unconsumed_tail
-        elif data[:3] == b"BZh":
-            out, rest = (z := bz2.BZ2Decompressor()).decompress(data, LAYER_BYTES), not z.needs_input and not z.eof
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out, rest = (z := lzma.LZMADecompressor(memlimit=LAYER_BYTES)).decompress(data, LAYER_BYTES), not z.needs_input and not z.eof
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out, rest = reader.read(LAYER_BYTES), reader.read(1)
-        else:
-            return None
-    except (zlib.error, zstandard.ZstdError, lzma.LZMAError, OSError, EOFError, ValueError):
-        return None
-    return None if rest else out
+        if data[:4] == b"\x28\xb5\x2f\xfd":
+            with zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True) as reader:
+                while len(out) <= LAYER_BYTES and (piece := reader.read(min(LAYER_BYTES + 1 - len(out), 1 << 20 if not out else len(out)))):
+                    out += piece
+        while len(out) <= LAYER_BYTES and (z := _opener(data)):
+            out += z.decompress(data, LAYER_BYTES + 1 - len(out))
+            data = z.unused_data.lstrip(b"\0")
+    except (zlib.error, zstandard.ZstdError, lzma.LZMAError, OSError, EOFError, ValueError, MemoryError):
+        pass  # what was read before stays
+    return out if out and len(out) <= LAYER_BYTES else None
+
+
+def _contents(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """(way, content) of compressed data, and of what is compressed in it."""
+    way, seen = "", set()
+    while (data := _inflate(data)) is not None and (digest := hashlib.sha256(data).digest()) not in seen:
+        seen.add(digest)
+        way = f"{way}>compressed".lstrip(">")
+        yield way, data
 
 
 def _from_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -117,6 +137,11 @@ def unwrap(text: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Ite
                 lo += [at(i)] * len(piece)
                 hi += [to(i + width - 1)] * len(piece)
                 i += width
+            escape = PERCENT.search(text, *m.span()).start() - m.start()
+            before = len(text[m.start() : m.start() + escape].encode("utf-8", "replace"))
+            for way, content in _contents(bytes(data[before:])):
+                if layer := _from_bytes(content, *_whole(content, lo[before], hi[-1])):
+                    yield f"url>{way}", *layer
             if layer := _from_bytes(bytes(data), np.array(lo), np.array(hi)):
                 yield "url", *layer
     if "\\" in text and ESCAPED.search(text):
@@ -134,25 +159,53 @@ def unwrap(text: str, starts: np.ndarray | None, ends: np.ndarray | None) -> Ite
                 hi.append(to(m.end() - 1))
                 last = m.end()
         yield "unicode", "".join(parts), np.array(lo), np.array(hi)
-    for m in ENCODED.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if (content := _inflate(data)) is not None:
-            n = len(content)
-            if layer := _from_bytes(content, np.full(n, at(m.start())), np.full(n, to(m.end() - 1))):
-                yield "compressed", *layer
+    for body, places in _encoded(text):
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        for way, content in _contents(data):
+            if layer := _from_bytes(content, *_whole(content, at(places[0]), to(places[-1]))):
+                yield way, *layer
         k = np.arange(len(data))
-        first = m.start() + k // 3 * 4 + k % 3
-        last = np.minimum(first + 1, m.end() - 1)
+        first = k // 3 * 4 + k % 3
+        first, last = places[first], places[np.minimum(first + 1, len(places) - 1)]
         if layer := _from_bytes(data, first if starts is None else starts[first], last + 1 if ends is None else ends[last]):
             yield "base64", *layer
 
 
+def _whole(content: bytes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same stretch for all bytes."""
+    return np.broadcast_to(np.int64(start), len(content)), np.broadcast_to(np.int64(end), len(content))
+
+
+def _encoded(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """(characters, places) of all base64 stretches: of each line, and of adjoining lines together.
+
+    Joined lines are read from the first line, from the first one at each other
+    offset modulo 4, and from each that begins like compressed data.
+    """
+    plain = str.maketrans("-_", "+/")
+    for m in ENCODED.finditer(text):
+        body = m[0].rstrip("=")
+        body = body[: len(body) - (len(body) % 4 == 1)].translate(plain)
+        yield body, np.arange(m.start(), m.start() + len(body))
+    for m in LINES.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+        places = np.concatenate([np.arange(*x) for x in lines])
+        joined = "".join(text[a:b] for a, b in lines).translate(plain)
+        offsets, begin = set(), 0
+        for a, b in lines[:-1]:
+            head = joined[begin : begin + 12]
+            packed = len(head) == 12 and _packed(base64.b64decode(head))
+            if begin % 4 not in offsets or packed:
+                offsets.add(begin % 4)
+                stop = len(joined) - ((len(joined) - begin) % 4 == 1)
+                yield joined[begin:stop], places[begin:stop]
+            begin += b - a
+
+
+def _packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00" or head[:4] == b"\x28\xb5\x2f\xfd" or (head[0] == 0x78 and int.from_bytes(head[:2]) % 31 == 0)
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int, int, str, str]]:
     """(kind, start, end, depth, via, value) by start, then kind; depth 0 is the text itself."""
     found = [(start, KINDS.index(kind), end, 0, "", text[start:end]) for start, kind, end in base_spans(text)]

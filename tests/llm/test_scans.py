@@ -1,12 +1,15 @@
 """HTML extraction, secrets and personal data."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import re
 from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 
 from sextant.llm import html_extract, personal_data, secrets
 
@@ -93,6 +96,34 @@ def test_unreadable_layers(layer):
     assert any(f[5] == "token=abcdef123" for f in secrets.find_secrets("http://h/?q=caf%E9&token%3Dabcdef123"))
 
 
+def test_compressed_layers():
+    plain = b"some words first, then token=abcdef123 and more " + b"x" * 40
+    half = len(plain) // 3
+    for data in (
+        gzip.compress(gzip.compress(plain)),
+        lzma.compress(bz2.compress(gzip.compress(b"\x00\xff" + plain))),
+        gzip.compress(plain[:half]) + gzip.compress(plain[half:]),
+        bz2.compress(plain[:half]) + bz2.compress(plain[half:]),
+        lzma.compress(plain[:half]) + lzma.compress(plain[half:]),
+        zstandard.compress(plain[:half]) + zstandard.compress(plain[half:]),
+        lzma.compress(plain, preset=9),
+        gzip.compress(plain) + b"rest",
+    ):
+        found = secrets.find_secrets(f"a {base64.b64encode(data).decode()} b")
+        assert any(f[4].endswith("compressed") and f[5] == "token=abcdef123" for f in found)
+    assert any(f[5] == "token=abcdef123" for f in secrets.find_secrets("a=" + "".join(f"%{x:02X}" for x in gzip.compress(plain))))
+
+
+@pytest.mark.parametrize("size", [64, 70, 76])
+def test_base64_lines(size):
+    for data in (b"y" * 40 + b" token=abcdef123 " + b"z" * 90, gzip.compress(np.random.default_rng(0).bytes(200) + b" token=abcdef123 ")):
+        code = base64.b64encode(data).decode()
+        for end in ("\n", "\r\n", "\n  ", "\n> "):
+            text = "internationalization" + end + end.join(code[i : i + size] for i in range(0, len(code), size)) + "\nend"
+            found = [f for f in secrets.find_secrets(text) if f[5] == "token=abcdef123"]
+            assert found and all("internationalization" not in text[f[1] : f[2]] for f in found)
+
+
 def test_cycles_and_bombs():
     assert secrets.find_secrets("%25" * 3000) == []
     bomb = base64.b64encode(gzip.compress(b"0" * (secrets.LAYER_BYTES + 10))).decode()
