@@ -95,10 +95,16 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         if 13 <= len(number := digits(m[0])) <= 15 and luhn(number):
             found.append(("card", *m.span()))
     found += [("phone", *m.span()) for m in LOOSE_PHONE.finditer(text)]
+    if not found:
+        return []
+    taken = bytearray(len(text))
+    for _, start, end in base:
+        taken[start:end] = b"\1" * (end - start)
     out: list[tuple[str, int, int]] = []
-    for x in found:
-        if all(x[2] <= s or e <= x[1] for _, s, e in (*base, *out)):
-            out.append(x)
+    for kind, start, end in found:
+        if 1 not in taken[start:end]:
+            out.append((kind, start, end))
+            taken[start:end] = b"\1" * (end - start)
     return out
 
 

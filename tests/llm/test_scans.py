@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import re
+import time
 from urllib.parse import quote
 
 import numpy as np
@@ -160,6 +161,34 @@ def test_base_personal_data(documents):
         assert personal_data.base_spans(t) == brute_personal(t), t
 
 
+def slow_loose(found, base):
+    out = []
+    for x in found:
+        if all(x[2] <= s or e <= x[1] for _, s, e in (*base, *out)):
+            out.append(x)
+    return out
+
+
+def test_loose_spans():
+    """Candidates overlap neither base spans nor each other, also in very long texts, in linear time."""
+    parts = ["jo.k [at] site [dot] com", "a@b.org", "310-555-4510", "(310) 555-4510", "+1 310 555 4510", "378282246310005", "4111 1111 1111 1111", "10[.]1[.]2[.]3", "1.2.3.4", "x dot y", " ", "at", "9"]
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        t = "".join(rng.choice(parts, 12)) if rng.random() < 0.5 else " ".join(rng.choice(parts, 12))
+        base = personal_data.base_spans(t)
+        alone = personal_data.loose_spans(t, [])
+        found = [("email", *m.span()) for m in personal_data.LOOSE_EMAIL.finditer(t)] + [("ip", *m.span()) for m in personal_data.LOOSE_IP.finditer(t)]
+        found += [("card", *m.span()) for m in personal_data.CARD.finditer(t) if 13 <= len(n := personal_data.digits(m[0])) <= 15 and personal_data.luhn(n)]
+        found += [("phone", *m.span()) for m in personal_data.LOOSE_PHONE.finditer(t)]
+        found = found if "@" in t or "[at]" in t or " dot " in t else [x for x in found if x[0] != "email"]
+        assert personal_data.loose_spans(t, base) == slow_loose(found, base) and alone == slow_loose(found, [])
+    contacts = "".join(f"jo{i} [at] site [dot] com, 310-555-{i % 10000:04d}; a{i}@b.org\n" for i in range(100_000))
+    assert len(contacts) > 5_000_000
+    start = time.perf_counter()
+    assert len(personal_data.loose_spans(contacts, personal_data.base_spans(contacts))) == 200_000
+    assert time.perf_counter() - start < 30
+
+
 def test_classifier():
     counts = [("email", "++0++", 900), ("email", "0-0--", 300), ("email", "0+0++", 40), ("email", "0--+-", 60)]
     posterior = personal_data.estimate(counts)
