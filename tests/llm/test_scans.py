@@ -6,6 +6,7 @@ import gzip
 import lzma
 import re
 import time
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -72,7 +73,7 @@ def test_base_secrets(documents):
         (base64.urlsafe_b64encode(SECRET.encode()).decode().rstrip("="), "base64"),
         (quote(SECRET), "url"),
         ("".join(f"\\u{ord(c):04x}" for c in SECRET), "unicode"),
-        (base64.b64encode(gzip.compress(SECRET.encode())).decode(), "compressed"),
+        (base64.b64encode(gzip.compress(SECRET.encode())).decode(), "base64>compressed"),
         (quote(base64.b64encode(quote(SECRET).encode()).decode()), "base64>url"),
         (base64.b64encode(base64.b64encode(SECRET.encode())).decode(), "base64>base64"),
     ],
@@ -125,6 +126,28 @@ def test_base64_lines(size):
             assert found and all("internationalization" not in text[f[1] : f[2]] for f in found)
 
 
+def test_alignments_and_signatures():
+    """Layers behind letters of a path or a name, compressed without a header, or in UTF-16."""
+    plain = b"some words first, then token=abcdef123 and more " + b"x" * 40
+    raw = zlib.compressobj(9, wbits=-15)
+    deflated = raw.compress(plain) + raw.flush()
+    layers = [plain, gzip.compress(plain), zlib.compress(plain, 1), zlib.compress(plain, 9), bz2.compress(plain), lzma.compress(plain), zstandard.compress(plain), deflated]
+    layers += [plain.decode().encode(f"utf-16-{order}") for order in ("le", "be")] + [b"\xff" + plain.decode().encode("utf-16-be"), b"\0\0abc" + gzip.compress(plain)]
+    for data in layers:
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            code = encode(data).decode()
+            for prefix in ("", "/dl/", "/d/", "blob_", "https://h.example/download/"):
+                text = f"a {prefix}{code} b"
+                found = [f for f in secrets.find_secrets(text) if f[5] == "token=abcdef123"]
+                assert found and all(2 <= f[1] < f[2] <= len(text) - 2 for f in found), (data, prefix)
+        assert any(f[5] == "token=abcdef123" for f in secrets.find_secrets("a=x" + "".join(f"%{x:02X}" for x in data)))
+    assert all(f[3] == 0 for f in secrets.find_secrets(base64.b64encode(np.random.default_rng(1).bytes(200_000)).decode()))
+    start = time.perf_counter()
+    many = gzip.compress(b"a b c d e f") * 30_000 + gzip.compress(b" token=abcdef123")
+    assert any(f[5] == "token=abcdef123" for f in secrets.find_secrets(base64.b64encode(many).decode()))
+    assert time.perf_counter() - start < 60  # each member is read once for each alignment
+
+
 def test_cycles_and_bombs():
     assert secrets.find_secrets("%25" * 3000) == []
     bomb = base64.b64encode(gzip.compress(b"0" * (secrets.LAYER_BYTES + 10))).decode()
