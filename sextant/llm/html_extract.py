@@ -2,14 +2,20 @@
 
 The pages of one host are merged into a style tree: elements of different
 pages with the same chain of styles (tag, classes, id, role) are one style
-node.  A style node's content importance is the entropy of what its instances
-say, its presentation importance that of how their children are laid out,
-both over the logarithm of the number of instances: 0 where every page
-repeats the same, 1 where every page differs (and where too few pages were
-seen to tell).  Both are counted for all pages of all hosts by hashed keys, so
-a host with a third of the pages is an ordinary group.  Each page then
-composes the importance of its branches bottom-up, weighs it with what tags
-and class names say, and drops the branches below the threshold.
+node.  What its instances say are its content values, how their children are
+laid out its presentation values.  A value's entropy over the m pages that
+have the node, to the base m, is 1 if all have the value and 0 if one has it;
+the node's importance is 1 less the average entropy of its values: 0 where all
+pages repeat the same, 1 where all differ (and where too few pages were seen
+to tell).  Both are counted for all pages of all hosts by hashed keys, so a host with a third
+of the pages is an ordinary group.
+
+Each page composes the importance of its branches bottom-up.  A branch is worth
+the greatest importance in it, times a prior by its marks: tags, class words
+and roles name what surrounds articles, and what is one.  Block branches worth
+less than the threshold's share of the page's most important one are dropped,
+so what a site repeats goes without any mark, inside an article as elsewhere,
+and what differs from page to page goes if its marks say so.
 """
 
 from __future__ import annotations
@@ -28,7 +34,8 @@ from .staging import load, stage
 # Element names of the HTML standard, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg math canvas object audio video select option datalist button input label form fieldset nav menu aside footer dialog".split())
+NO_TEXT = frozenset("script style textarea title noscript iframe xmp noembed noframes head template svg math canvas object audio video select option datalist button input label".split())
+SURROUNDING = frozenset("form fieldset nav menu aside footer dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meta q rp rt ruby s samp small span strike strong sub sup time tt u var wbr link".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -42,18 +49,21 @@ NOISE = frozenset(
     "share sharing social related recommended recommendations trending popular "
     "comment comments respond reply replies disqus discussion form search searchbox hidden".split()
 )
+#: Of these, words that inside an article only make a branch less likely to be noise.
+INNER = frozenset("header side legal warning".split())
 MAIN = frozenset("article main".split())
-BOXES = frozenset("div section ul ol dl table figure details".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 GAMMA = 0.9
+#: Priors of branches by their marks, and the share of a page's text that makes a marked branch a mere wrapper.
+PRIOR, INNER_PRIOR, WRAPPER = 0.2, 0.5, 0.8
 
 
 class Node:
-    __slots__ = ("tag", "style", "words", "hidden", "main", "children", "path", "importance")
+    __slots__ = ("tag", "style", "words", "hidden", "main", "children", "path", "importance", "peak", "mass", "holds")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {k.lower(): html.unescape((v or "").strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -63,7 +73,7 @@ class Node:
         self.words = {w for w in re.split(r"[^a-z]+", marks) if w} if marks.strip() else ()
         self.hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
         self.main = tag in MAIN or "articlebody" in found.get("itemprop", "").lower() or found.get("role", "").lower() in MAIN
-        self.path, self.importance = b"", 1.0
+        self.path, self.importance, self.peak, self.mass, self.holds = b"", 0.0, 0.0, 0.0, False
 
     def text(self) -> str:
         """What the element itself says, without its child elements."""
@@ -134,64 +144,86 @@ def digest(text: str) -> int:
     return number(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
 
 
-def style_features(page: str) -> Iterator[tuple[int, str, int]]:
-    """(style path, "says" or "looks", value) of each style node of a page."""
-    said: dict[bytes, list[str]] = {}
-    looks: dict[bytes, list[str]] = {}
+def style_features(page: str) -> Iterator[tuple[int, str, int, int, int]]:
+    """(style path, "says" or "looks", value, times, first) of each style node of a page; ``first``: 1 for one of its values."""
+    seen: dict[tuple[bytes, str], dict[str, int]] = {}
     for node in walk(parse(page)):
         if text := node.text():
-            said.setdefault(node.path, []).append(text)
+            values = seen.setdefault((node.path, "says"), {})
+            values[text] = values.get(text, 0) + 1
         if styles := [c.style for c in node.children if isinstance(c, Node)]:
-            looks.setdefault(node.path, []).append(" ".join(dict.fromkeys(styles)))
-    for kind, found in (("says", said), ("looks", looks)):
-        for path, values in found.items():
-            yield number(path), kind, digest("\n".join(values))
+            values, look = seen.setdefault((node.path, "looks"), {}), " ".join(dict.fromkeys(styles))
+            values[look] = values.get(look, 0) + 1
+    for (path, kind), values in seen.items():
+        for k, (value, times) in enumerate(values.items()):
+            yield number(path), kind, digest(value), times, int(k == 0)
 
 
 def weigh(root: Node, known: Callable[[int], tuple[float, float]]) -> None:
-    """Composite importance of every branch, children first."""
-    order = list(walk(root))
-    for node in reversed(order):
+    """Importance of every element, composed of its children's styles, and what its branch holds; children first."""
+    order = list(walk(root))[::-1]
+    for node in order:
         says, looks = known(number(node.path)) if node.path else (1.0, 1.0)
-        parts = [c.importance for c in node.children if isinstance(c, Node)]
-        if not parts:
-            node.importance = says
-            continue
-        if node.text():
-            parts.append(says)
-        own = GAMMA ** len(parts)
-        node.importance = (1 - own) * looks + own * sum(parts) / len(parts)
-
-
-def noisy(node: Node, inside: bool) -> bool:
+        size = len(node.text())
+        inner = [c for c in node.children if isinstance(c, Node)]
+        styles: dict[str, list[float]] = {}
+        for c in inner:
+            styles.setdefault(c.style, []).append(c.importance)
+        parts = [sum(x) / len(x) for x in styles.values()] + ([says] if size else [])
+        if inner:
+            own = GAMMA ** len(styles)
+            node.importance = (1 - own) * looks + own * sum(parts) / len(parts) if size or any(c.mass for c in inner) else 0.0
+        else:
+            node.importance = says if size else 0.0
+        node.peak = max(says, node.importance) if size else 0.0
+        node.mass = size * says + sum(c.mass for c in inner)
+        node.holds = node.main or node.tag == "h1" or any(c.holds for c in inner)
+    for node in order:
+        inner = [c for c in node.children if isinstance(c, Node) and max(prior(c, x, root.mass) for x in (False, True)) > PRIOR]
+        node.peak = max([node.peak, *[c.peak for c in inner]])
+
+
+def surrounding(node: Node, inside: bool) -> bool:
     """Whether tag, class words or state mark a branch as not of the article."""
-    if node.hidden or node.tag in DROPPED or (node.tag == "header" and not inside):
+    if node.hidden or node.tag in NO_TEXT or node.tag in SURROUNDING or (node.tag == "header" and not inside):
         return True
     if node.tag in ("html", "body", "#root"):
         return False
     words = NOISE.intersection(node.words) if node.words else ()
-    if words and (inside or node.tag in MAIN):
-        # A headline may sit in a block named header.
-        return bool(set(words) - {"header", "side", "legal", "warning"})
-    return bool(words)
+    # A headline may sit in a block named header.
+    return bool(words) and bool(not (inside or node.tag in MAIN) or words - INNER)
 
 
-def has_main(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        if noisy(n, False):
-            continue
-        if n.main:
-            return True
-        todo += [c for c in n.children if isinstance(c, Node)]
-    return False
+def prior(node: Node, inside: bool, mass: float) -> float:
+    if surrounding(node, inside):
+        wrapper = not inside and node.tag not in SURROUNDING and node.holds and node.mass >= WRAPPER * mass
+        return 1.0 if wrapper and not (node.hidden or node.tag in NO_TEXT) else PRIOR
+    return INNER_PRIOR if inside and node.words and INNER.intersection(node.words) else 1.0
 
 
 def main_text(page: str, known: Callable[[int], tuple[float, float]], threshold: float) -> str:
     root = parse(page)
     weigh(root, known)
-    marked = has_main(root)
+
+    def kept(node: Node, inside: bool) -> bool:
+        if node.hidden or node.tag in NO_TEXT:
+            return False
+        by_marks = prior(node, inside, root.mass)
+        if by_marks == 1 and (node.tag in INLINE or node.tag in ("html", "body", "#root")):
+            return True
+        return by_marks > PRIOR and node.peak * by_marks >= threshold * root.peak
+
+    def has_main() -> bool:
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            if kept(n, False):
+                if n.main:
+                    return True
+                todo += [c for c in n.children if isinstance(c, Node)]
+        return False
+
+    marked = has_main()
     blocks: list[str] = []
     line: list[str] = []
 
@@ -200,15 +232,8 @@ def main_text(page: str, known: Callable[[int], tuple[float, float]], threshold:
             blocks.append(text)
         line.clear()
 
-    def worthy(node: Node, inside: float) -> bool:
-        if inside:
-            # A box that every page repeats goes from an article that says more than that.
-            return node.tag not in BOXES or node.importance >= threshold or inside < 2 * threshold
-        return node.main or marked or node.importance >= threshold
-
-    # An explicit stack: pages may nest thousands of elements.
-    # ``inside`` is the importance of the enclosing article, 0 outside of one.
-    todo: list[tuple[object, float]] = [(root, 0.0)]
+    # An explicit stack: pages may nest thousands of elements.  A pair's second part: inside an article.
+    todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         item, inside = todo.pop()
         if item is None:
@@ -218,12 +243,11 @@ def main_text(page: str, known: Callable[[int], tuple[float, float]], threshold:
                 line.append(item)
         elif item.tag == "br":
             line.append(" ")
-        elif not noisy(item, bool(inside)) and worthy(item, inside):
-            block = item.tag not in INLINE
-            if block:
+        elif kept(item, inside):
+            if item.tag not in INLINE:
                 end_block()
                 todo.append((None, inside))
-            todo += [(c, inside or (item.main and max(item.importance, 1e-9))) for c in reversed(item.children)]
+            todo += [(c, inside or item.main) for c in reversed(item.children)]
     end_block()
     return "\n".join(blocks)
 
@@ -233,17 +257,19 @@ def host_of(url: Column) -> Column:
 
 
 def style_importance(pages: DataFrame, url_col: str, html_col: str, least: int) -> DataFrame:
-    """``host, path, says, looks``: importance of each style node seen at least ``least`` times."""
+    """``host, path, says, looks``: importance of each style node that at least ``least`` pages have."""
 
     def each(host, page):
         for feature in style_features(page or ""):
             yield host, *feature
 
-    seen = map_rows(pages.select(host_of(F.col(url_col)).alias("host"), html_col), each, "host string, path long, kind string, value long")
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
-    total = F.sum("n").cast("double")
-    entropy = F.log(total) - F.sum(F.col("n") * F.log("n")) / total
-    kinds = counts.groupBy("host", "path", "kind").agg(total.alias("total"), (entropy / F.log(total)).alias("importance")).where(F.col("total") >= least)
+    seen = map_rows(pages.select(host_of(F.col(url_col)).alias("host"), html_col), each, "host string, path long, kind string, value long, times long, first long")
+    counts = seen.groupBy("host", "path", "kind", "value").agg(F.sum("times").alias("n"), F.count("*").alias("on"), F.sum("first").alias("first"))
+    pages, total = F.sum("first"), F.sum("n")
+    # The entropy of a value over the pages, at its highest 1 (on every page), averaged by occurrences.
+    spread = F.sum(F.col("n") * F.log("on")) / (total * F.log(pages))
+    importance = F.when(pages > 1, 1 - spread).otherwise(1.0)
+    kinds = counts.groupBy("host", "path", "kind").agg(pages.alias("pages"), importance.alias("importance")).where(F.col("pages") >= least)
     pick = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("importance"))), F.lit(1.0)).alias(kind)
     return kinds.groupBy("host", "path").agg(pick("says"), pick("looks"))
 
@@ -261,10 +287,9 @@ def extract_main_text(
 
     A null or empty page gives an empty text; a null url counts as a host of
     its own name, "".  Repeated rows give repeated results, an empty table an
-    empty one; other columns are ignored.  Branches of an ``article`` or
-    ``main`` element go by their marks, boxes in them also if their importance is
-    below ``threshold`` and the article's at least twice that; elsewhere every
-    branch below ``threshold`` goes.  Style nodes seen fewer than ``least`` times count as
+    empty one; other columns are ignored.  Where a page has an ``article`` or
+    ``main`` element that is worth keeping, the text is what is kept in it.
+    Style nodes that fewer than ``least`` pages of a host have count as
     important.  Up to ``broadcast_rows`` style nodes are sent to the tasks;
     beyond that each page fetches the nodes of its own paths by a join.
     """

@@ -4,9 +4,12 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
+import random
 import re
 import time
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -46,6 +49,65 @@ def test_style_tree(table):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def gold_page(host, i, rng):
+    """(html, main text) of a page without article or main; hosts differ in layout, and most of the noise has no mark."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    words = lambda n: " ".join(word() for _ in range(n))
+    title, paragraphs = words(4), [words(rng.randrange(15, 60)) for _ in range(rng.randrange(2, 9))]
+    menu = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "Shop", "About us", "Jobs", "Press"))
+    box = f"<section><b>Our offer {i % 2}</b><p>Buy one, get one.</p></section>"
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    if host == 0:
+        page = f"<div class=top><ul>{menu}</ul></div><div class=c1><h1>{title}</h1>{body}{box}</div><div class=c2>All rights reserved by us.</div>"
+    elif host == 1:
+        page = f"<table><tr><td width=20%><ul>{menu}</ul><td><h2>{title}</h2><div><div>{body}</div></div>{box}<div class='user-comments'><p>{words(30)}</p></div></table>"
+    else:
+        page = f"<div id=wrap class=no-sidebar><h1>{title}</h1><div class='ad-slot'>{words(8)}</div><div>We use crumbs. Accept all.</div>{body}</div><p class=z>Terms of use</p><nav>{words(5)}</nav>"
+    return f"<html><head><title>{title}</title></head><body>{page}</body></html>", "\n".join([title, *paragraphs])
+
+
+def test_gold_pages(table):
+    """Pages without an article mark, by the tree and by marks; without the tree they come out wrong."""
+    rng = random.Random(3)
+    pages = [(k, f"http://h{k % 3}.example/{k}", *gold_page(k % 3, k, rng)) for k in range(75)]
+    docs = table([r[:3] for r in pages] + [pages[4][:3]], "page_id long, url string, html string")
+    rows = html_extract.extract_main_text(docs).collect()
+    assert len(rows) == 76 and {r.page_id: r.text for r in rows} == {r[0]: r[3] for r in pages}
+    blind = {r.page_id: r.text for r in html_extract.extract_main_text(docs, least=10**9).collect()}
+    assert all(blind[r[0]] != r[3] for r in pages)
+
+
+def test_tree_inside_articles(table):
+    """What every article of a site repeats goes, in boxes or not; a word in an article's class is no verdict."""
+    page = lambda i: f"<article><h1>Title {i}</h1><p>story {i} <b>Note</b></p><ul><li>Follow us</li><li>Tell a friend</li></ul><div class=warning>careful {i}</div><h4>Read on</h4></article>"
+    docs = table([(i, f"http://a.example/{i}", page(i)) for i in range(20)], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract_main_text(docs).collect()}
+    assert out == {i: f"Title {i}\nstory {i} Note\ncareful {i}" for i in range(20)}
+    long = f"<article><p>{'word ' * 400_000}</p>{'<div>' * 2000}deep</article>"
+    assert text(long) == "word " * 399_999 + "word\ndeep"
+
+
+def test_importance_against_entropy(table):
+    """Entropies over one host's pages, counted by hand."""
+    pages = [f"<body><div><a>x</a><a>y{i % 3}</a></div><p>new {i}</p>{'<p>more</p>' if i % 2 else ''}</body>" for i in range(12)]
+    docs = table([(i, "http://a.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {(r.host, r.path): (r.says, r.looks) for r in html_extract.style_importance(docs, "url", "html", 8).collect()}
+
+    def importance(pages):
+        """1 less the mean, over all occurrences, of the entropy to the base of the number of pages."""
+        own = [[sum(1 / len(on) * -math.log(1 / len(on), len(pages)) for _ in on) for v in p for on in [[q for q in pages if v in q]]] for p in pages]
+        return 1 - sum(map(sum, own)) / sum(map(len, own))
+
+    path = {n.style: html_extract.number(n.path) for n in html_extract.walk(html_extract.parse(pages[1]))}
+    expected = {
+        "a": (importance([["x", f"y{i % 3}"] for i in range(12)]), 1.0),
+        "div": (1.0, importance([["a"]] * 12)),
+        "p": (importance([[f"new {i}", *(["more"] if i % 2 else [])] for i in range(12)]), 1.0),
+        "body": (1.0, 0.0),
+    }
+    assert {k: found["a.example", path[k]] for k in expected} == {k: pytest.approx(v) for k, v in expected.items()}
+
+
 def brute_secrets(t):
     found = []
     for kind, pattern, keep in (
