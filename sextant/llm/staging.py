@@ -46,6 +46,43 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more than this many rows, and more than this share of all, is dealt over parts.
+HEAVY_ROWS, HEAVY_SHARE = 10_000, 1 / 10_000
+
+
+def heavy_keys(counts: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """``keys, parts`` of the keys in ``counts`` with so many rows that they are dealt out; 1 / HEAVY_SHARE keys at most."""
+    total = counts.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    rows = max(int(total * HEAVY_SHARE), HEAVY_ROWS)
+    return stage(counts.where(F.col(times) > rows).select(*keys, F.ceil(F.col(times) / rows).alias("parts")), "heavy")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame, salt: list[Column], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``keys``, none of which is null; both are shuffled at any size.
+
+    The rows of ``left`` with a heavy key are dealt over its parts by ``salt``,
+    and the rows of ``right`` with that key go to each part.
+    """
+    if heavy.isEmpty():
+        return left.join(right.hint("merge"), keys, how)
+    heavy = F.broadcast(heavy.withColumnRenamed("parts", "_parts"))  # bounded by HEAVY_SHARE
+    dealt = left.join(heavy, keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("_parts")), F.lit(0).cast("long"))).drop("_parts")
+    each = right.join(heavy, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1))).drop("_parts")
+    return dealt.join(each.hint("merge"), [*keys, "_part"], how).drop("_part")
+
+
+#: Hash values of keys that a filter tells apart.
+BUCKETS = 1 << 20
+
+
+def split_by(df: DataFrame, keys: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of ``keys``, rows that have none), by the keys' hash values: BUCKETS at most are broadcast."""
+    bucket = F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).alias("_bucket")
+    known = F.broadcast(stage(keys.select(bucket).distinct(), "buckets"))
+    marked = df.select("*", bucket)
+    return tuple(marked.join(known, "_bucket", how).drop("_bucket") for how in ("left_semi", "left_anti"))
+
+
 def text_hash(text: Column) -> Column:
     """With the id it tells rows apart; unlike a row number it is the same however often a table is computed."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -17,6 +17,10 @@ else is removed.  Such strings are found in four steps.
 4. An anchor with very many spans is dealt out over several shards.  Their
    sorted windows meet once more, dealt by value, and each is looked up by
    binary search in the merged run.
+
+A text is known by two hashes, so what is found for one copy of it holds for
+all.  All joins are shuffles of both sides, with frequent keys dealt out; only
+those keys' list and filters of a fixed size are broadcast.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .hashing import Prefixes, batches, joined
-from .staging import load, stage
+from .hashing import BATCH, Prefixes, batches, joined
+from .staging import heavy_keys, load, split_by, spread_join, stage
 
 GRAM = 32
 #: Suffix arrays are built over about this many bytes at a time, spans of one anchor together.
@@ -53,23 +57,29 @@ def anchored_spans(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
         return none
     hashes = Prefixes(raw)
     grams = hashes.runs(gram)
-    low = np.uint64(24 if len(raw) < 1 << 24 else 36)
+    # Least gram of each window: the rest of one block and the beginning of the next.  The low bits are places in
+    # the block, so of equal grams the first one counts, and as many bits of the hash are compared in any text.
+    low = np.uint64((1 << (width - 1).bit_length()) - 1)
     keys = np.full(-(-(len(grams) + width) // width) * width, np.uint64(0xFFFFFFFFFFFFFFFF))
-    keys[: len(grams)] = (grams >> low << low) | np.arange(len(grams), dtype=np.uint64)
+    keys[: len(grams)] = grams
+    keys = keys & ~low | np.resize(np.arange(width, dtype=np.uint64), len(keys))
     for end in starts[1:]:  # grams that run beyond their text
         keys[max(end - gram, 0) : end] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    # Least key of each window: the rest of one block and the beginning of the next.
     blocks = keys.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     rest = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     count = len(raw) - length + 1
-    least = np.minimum(rest[:count], ahead[width - 1 : width - 1 + count]) & ((np.uint64(1) << low) - np.uint64(1))
+    here, there = rest[:count], ahead[width - 1 : width - 1 + count]
+    own = (here & ~low) <= (there & ~low)
+    block = np.arange(count) // width * width
+    later = np.arange(width - 1, width - 1 + count) // width * width
+    least = np.where(own, block + (here & low).astype(np.int64), later + (there & low).astype(np.int64))
     whole = np.flatnonzero(sizes >= length)
     valid = np.zeros(count, bool)
     for i in whole:
         valid[starts[i] : starts[i] + sizes[i] - length + 1] = True
     at = np.flatnonzero(valid)
-    anchor = least[at].astype(np.int64)
+    anchor = least[at]
     head = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     lo, n = at[head], np.diff(np.concatenate((head, [len(at)])))
     first = anchor[head]
@@ -166,11 +176,12 @@ def repeated_windows(raw: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int
 
 
 SPAN = ["anchor", "s1", "s2"]
+WINDOW = [*SPAN, "start", "stop"]
 SHARD = "anchor long, s1 long, s2 long, start int, stop int, w1 long, w2 long"
 
 
 def search_shards(spans: DataFrame, length: int) -> DataFrame:
-    """Repeated windows (start to stop - 1 of each span) of ``spans`` (anchor, s1, s2, n, parts, bytes).
+    """Repeated windows (start to stop - 1 of each span) of ``spans`` (anchor, s1, s2, n, parts, part, bytes).
 
     Of an anchor with several parts each window comes as a row of its own with
     its digest w1, w2, for the other parts to compare with.
@@ -179,13 +190,13 @@ def search_shards(spans: DataFrame, length: int) -> DataFrame:
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         block, size, last = [], 0, None
         for batch in rows:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= BLOCK and row[0] != last:
+            for *row, part, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if size >= BLOCK and (row[0], part) != last:
                     yield block
                     block, size = [], 0
-                last = row[0]
-                block.append(row)
-                size += len(row[-1])
+                last = row[0], part
+                block.append((*row, data))
+                size += len(data)
         if block:
             yield block
 
@@ -207,99 +218,95 @@ def search_shards(spans: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return spans.select(*SPAN, "n", "parts", "bytes").mapInArrow(run, SHARD)
-
-
-def merge_shards(windows: DataFrame) -> DataFrame:
-    """The ``windows`` (SHARD) whose digest occurs more than once; they come sorted by digest."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in rows:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            w1 = table["w1"].to_numpy()
-            cut = int(np.searchsorted(w1, w1[-1], "left"))  # the last value may go on in the next batch
-            if cut:
-                yield from found(table.slice(0, cut))
-            held = table.slice(cut)
-        if held is not None:
-            yield from found(held)
+    return spans.select(*SPAN, "n", "parts", "part", "bytes").mapInArrow(run, SHARD)
 
-    def found(table: pa.Table) -> list[pa.RecordBatch]:
-        run_ = np.empty(len(table), dtype=[("w1", np.int64), ("w2", np.int64)])
-        run_["w1"], run_["w2"] = table["w1"].to_numpy(), table["w2"].to_numpy()
-        times = np.searchsorted(run_, run_, "right") - np.searchsorted(run_, run_, "left")
-        return table.filter(pa.array(times > 1)).combine_chunks().to_batches()
 
-    return windows.repartition("w1").sortWithinPartitions("w1", "w2").mapInArrow(run, SHARD)
+def twice(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by w1 and w2, whose digest occurs more than once; of a digest one row at most is held back."""
+    last, held = None, None
+    for batch in rows:
+        run = np.empty(batch.num_rows, dtype=[("w1", np.int64), ("w2", np.int64)])
+        run["w1"], run["w2"] = batch["w1"].to_numpy(), batch["w2"].to_numpy()
+        often = np.searchsorted(run, run, "right") - np.searchsorted(run, run, "left") > 1
+        if last is not None and run[0] == last:
+            often[: np.searchsorted(run, run[0], "right")] = True
+            if held is not None:
+                yield held
+        last, held = run[-1], None if often[-1] else batch.slice(batch.num_rows - 1)
+        if often.any():
+            yield batch.filter(pa.array(often))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def merge_shards(windows: DataFrame) -> DataFrame:
+    """The ``windows`` (SHARD) whose digest occurs more than once."""
+    digest = ["w1", "w2"]
+    heavy = heavy_keys(windows.groupBy(*digest).agg(F.count("*").alias("times")), digest, "times")
+    known = F.broadcast(heavy.select(*digest))  # bounded: heavy digests need no search
+    others = windows.join(known, digest, "left_anti").select(windows.columns).repartition(*digest).sortWithinPartitions(*digest)
+    return windows.join(known, digest, "left_semi").select(*WINDOW).unionByName(others.mapInArrow(lambda rows: twice(b for b in rows if b.num_rows), SHARD).select(*WINDOW))
 
 
-def repeated_spans(docs: DataFrame, length: int, broadcast_rows: int) -> DataFrame:
-    """``doc_id, text_hash, start, stop``: bytes to remove (may overlap) of ``docs`` (doc_id, text_hash, text)."""
-    schema = "doc_id {}, text_hash long, lo int, n int, anchor long, s1 long, s2 long".format(docs.schema["doc_id"].dataType.simpleString())
+def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
+    """``t1, t2, spans``: for each text of ``docs`` (t1, t2, text) that has any, the bytes to remove (they may overlap)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in batches(rows):
-            text, lo, n, offset, anchor, s1, s2 = anchored_spans(texts, length)
-            ids, hashes = pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(text)).cast(id_type), hashes.take(pa.array(text)), pa.array(lo, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor), pa.array(s1), pa.array(s2)],
-                names=["doc_id", "text_hash", "lo", "n", "anchor", "s1", "s2"],
-            )
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    spans = stage(docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema), "spans")
-    shared = spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    # As many as the data have: this is a join of two large tables at any size.
-    spans = stage(spans.join(shared, "anchor"), "shared_spans")
-
-    place = F.struct("doc_id", "text_hash", "lo")
-    kinds = spans.groupBy(*SPAN, "n").agg(F.count("*").alias("times"), F.min(place).alias("place"))
+            # Windows of a long text are taken slice by slice.
+            slices = [(i, a, t[a : a + BATCH + length - 1]) for i, t in enumerate(texts) for a in range(0, max(len(t) - length + 1, 1), BATCH)]
+            hashes = pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32())
+            while slices:
+                size, some = 0, []
+                while slices and size < BATCH:
+                    some.append(slices.pop())
+                    size += len(some[-1][2])
+                text, lo, n, _, anchor, s1, s2 = anchored_spans([x[2] for x in some], length)
+                owner, begin = np.array([x[0] for x in some])[text], np.array([x[1] for x in some])[text]
+                yield pa.RecordBatch.from_arrays(
+                    [*[h.take(pa.array(owner)) for h in hashes], pa.array(begin + lo, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor), pa.array(s1), pa.array(s2)],
+                    names=["t1", "t2", "lo", "n", "anchor", "s1", "s2"],
+                )
+
+    spans = stage(docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 int, lo int, n int, anchor long, s1 long, s2 long"), "spans")
+    anchors = stage(spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
+    # Copies of a text have equal rows, so the partition tells them apart.
+    shared = spread_join(spans, anchors.select("anchor"), ["anchor"], heavy_keys(anchors, ["anchor"], "times"), [F.spark_partition_id(), F.col("lo")])
+    spans = stage(shared.groupBy("t1", "t2", "lo", "n", *SPAN).agg(F.count("*").alias("times")), "shared_spans")
+
+    place = F.struct("t1", "t2", "lo")
+    kinds = spans.groupBy(*SPAN, "n").agg(F.sum("times").alias("times"), F.count("*").alias("texts"), F.min(place).alias("place"))
     kinds = stage(kinds, "span_kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = several.select("anchor", F.ceil(F.col("kinds") / PART).cast("int").alias("parts"))
-    contested = kinds.join(_small(stage(several, "contested"), broadcast_rows), "anchor").select(*SPAN, "n", "parts", "place.*")
-
-    wanted = stage(contested, "wanted")
-    per_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "s1", "s2", "n", "parts", "lo")).alias("wanted"))
-    per_text = _small(stage(per_text, "wanted_by_text"), broadcast_rows // 4)
+    several = stage(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "contested")
+    parts = several.select("anchor", F.ceil(F.col("kinds") / PART).cast("int").alias("parts"))
+    contested = spread_join(kinds, parts, ["anchor"], heavy_keys(several, ["anchor"], "kinds"), [F.col("s1")])
+    wanted = stage(contested.select(*SPAN, "n", "parts", "place.*"), "wanted")
+    per_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct(*SPAN, "n", "parts", "lo")).alias("wanted"))
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in rows:
             for start in range(0, batch.num_rows, 64):
                 out = []
                 for wanted_, text in zip(*[c.to_pylist() for c in batch.slice(start, 64).columns], strict=True):
                     data = text.encode("utf-8", "replace")
                     out += [(w["anchor"], w["s1"], w["s2"], w["n"], w["parts"], data[w["lo"] : w["lo"] + w["n"] - 1 + length]) for w in wanted_]
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=["anchor", "s1", "s2", "n", "parts", "bytes"])
-
-    same = docs["doc_id"].eqNullSafe(per_text["doc_id"]) & (docs["text_hash"] == per_text["text_hash"])
-    # A text that occurs again under the same id is cut once.
-    source = docs.join(per_text, same).select("wanted", "text")
-    pieces = source.mapInArrow(cut, "anchor long, s1 long, s2 long, n int, parts int, bytes binary").dropDuplicates(SPAN)
-    part = F.pmod(F.col("s1"), F.col("parts").cast("long"))
-    sharded = pieces.repartition("anchor", part).sortWithinPartitions("anchor", part)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=[*SPAN, "n", "parts", "bytes"])
+
+    # One copy of each text; they are first thrown together where they are.
+    holders = split_by(docs.select("t1", "t2", "text"), wanted.select("t1", "t2"), ["t1", "t2"])[0].groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    source = holders.join(per_text.hint("merge"), ["t1", "t2"]).select("wanted", "text")
+    pieces = source.mapInArrow(cut, "anchor long, s1 long, s2 long, n int, parts int, bytes binary")
+    pieces = pieces.withColumn("part", F.pmod(F.col("s1"), F.col("parts").cast("long")))
+    sharded = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     in_shards = stage(search_shards(sharded, length), "repeated_in_shards")
     across = merge_shards(in_shards.where("w1 IS NOT NULL"))
-    repeats = in_shards.where("w1 IS NULL").unionByName(across).select(*SPAN, "start", "stop")
-
     again = kinds.where("times > 1").select(*SPAN, F.lit(0).alias("start"), F.col("n").alias("stop"))
-    repeats = _small(stage(again.unionByName(repeats), "repeats"), broadcast_rows)
-    return spans.join(repeats, SPAN).select("doc_id", "text_hash", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop") - 1 + length).alias("stop"))
+    repeats = stage(in_shards.where("w1 IS NULL").select(*WINDOW).unionByName(across).unionByName(again), "repeats")
+    found = spread_join(spans.select("t1", "t2", "lo", *SPAN), repeats, SPAN, heavy_keys(kinds, SPAN, "texts"), [F.col("t1"), F.col("lo")])
+    run_ = F.struct((F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("stop") - 1 + length).alias("stop"))
+    return stage(found.groupBy("t1", "t2").agg(F.collect_set(run_).alias("spans")), "runs")
 
 
-def remove_repeats(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    length: int = 200,
-    broadcast_rows: int = 1_000_000,
-) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """``doc_id, n_bytes, removed, kept``: the removed runs [start, stop) and the bytes that remain.
 
     Strings never cross documents and are judged on the input.  A null text
@@ -308,14 +315,16 @@ def remove_repeats(
     binary, as a cut may fall inside a character.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    spans = repeated_spans(docs, length, broadcast_rows)
-    runs = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    runs = _small(stage(runs, "runs"), broadcast_rows // 4)
-    same = docs["doc_id"].eqNullSafe(runs["doc_id"]) & (docs["text_hash"] == runs["text_hash"])
-    both = docs.join(runs, same, "left").select(docs["doc_id"], runs["spans"], docs["text"])
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(body).alias("t1"), F.hash(body).alias("t2"), body.alias("text"))
+    runs = repeated_spans(docs, length)
+    some, others = split_by(docs, runs.select("t1", "t2"), ["t1", "t2"])
+    copies = docs.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
+    both = spread_join(some, runs, ["t1", "t2"], heavy_keys(copies, ["t1", "t2"], "copies"), [F.col("doc_id")], "left")
+    removed = "array<struct<start:long,stop:long>>"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return both.mapInArrow(_cutter(), f"doc_id {id_type}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    cut = both.select("doc_id", "spans", "text").mapInArrow(_cutter(), f"doc_id {id_type}, n_bytes long, removed {removed}, kept binary")
+    whole = others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(removed).alias("removed"), F.col("text").cast("binary").alias("kept"))
+    return cut.unionByName(whole)
 
 
 def _cutter():

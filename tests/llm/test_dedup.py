@@ -6,10 +6,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sextant.llm import components, decontaminate, exact_dedup, near_dedup, substring_dedup
+from sextant.llm import components, decontaminate, exact_dedup, near_dedup, staging, substring_dedup
 from sextant.llm.hashing import shingle_hashes, word_hashes
 
 
@@ -167,9 +168,10 @@ def slow_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("part", [16384, 2])
-def test_remove_repeats(table, monkeypatch, part):
+@pytest.mark.parametrize(("part", "heavy"), [(16384, 10_000), (2, 3)])
+def test_remove_repeats(table, monkeypatch, part, heavy):
     monkeypatch.setattr(substring_dedup, "PART", part)
+    monkeypatch.setattr(staging, "HEAVY_ROWS", heavy)
     rng = random.Random(7)
     some = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     common = [some(90) for _ in range(4)]
@@ -184,6 +186,27 @@ def test_remove_repeats(table, monkeypatch, part):
     assert substring_dedup.remove_repeats(table(rows).limit(0)).count() == 0
 
 
+def test_repeats_in_a_long_text(table):
+    """A text of 17 MB, read in slices, against short ones that share a passage with it, also where slices meet."""
+    rng = np.random.default_rng(2)
+    long = bytearray(rng.integers(97, 123, 17 << 20, dtype=np.uint8).tobytes())
+    places = [0, 1000, (1 << 20) - 150, 5 << 20, (3 << 20) - 1, len(long) - 260]
+    rows = [(0, long.decode())] + [(k + 1, f"{k} <{long[p : p + 260].decode()}>") for k, p in enumerate(places)] + [(9, f"<{long[7000:7199].decode()}>")]
+    out = {r.doc_id: r for r in substring_dedup.remove_repeats(table(rows)).collect()}
+    assert [(s.start, s.stop) for s in out[0].removed] == [(p, p + 260) for p in sorted(places)]
+    assert [bytes(out[k + 1].kept) for k in range(len(places))] == [f"{k} <>".encode() for k in range(len(places))] and not out[9].removed
+
+
+def test_twice():
+    """Batches of a sorted run, however cut, give the rows whose digest occurs more than once."""
+    rng = random.Random(9)
+    for _ in range(50):
+        run = sorted((rng.randrange(6), rng.randrange(3)) for _ in range(rng.randrange(1, 40)))
+        table = pa.table({"w1": pa.array([r[0] for r in run], pa.int64()), "w2": pa.array([r[1] for r in run], pa.int64()), "at": list(range(len(run)))})
+        found = [x for b in substring_dedup.twice(iter(table.to_batches(max_chunksize=rng.randrange(1, 6)))) for x in b["at"].to_pylist()]
+        assert found == [i for i, r in enumerate(run) if run.count(r) > 1]
+
+
 def test_leaks_against_sql(spark):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
