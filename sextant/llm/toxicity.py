@@ -62,7 +62,7 @@ def score(text: str, model: Model, at_least: float) -> tuple[float, list[tuple[i
         log_none += np.log1p(-min(p, 1 - 1e-12))
         if p >= at_least:
             found.append((m.start(), m.end(), p))
-    return float(-np.expm1(log_none)), found
+    return 0.0 - float(np.expm1(log_none)), found
 
 
 def fit(bags: list[tuple[int, list[list[int]], int]], n_features: int, steps: int = 400, ridge: float = 0.02) -> tuple[float, np.ndarray]:
@@ -110,8 +110,8 @@ def train(
     """Fits the sentence model to the labels outside the held-out quarter.
 
     Of several labels of one document the largest counts; null labels and
-    labels without a document are left out.  Without any toxic label every
-    score is near 0.
+    labels without a document are left out.  Of several texts of one document
+    the last in order counts.  Without any toxic label every score is near 0.
     """
     taught = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
@@ -123,7 +123,8 @@ def train(
     some = [taught.where(F.col("y") == y).orderBy(mixed, "doc_id").limit(max_bags) for y in (0, 1)]
     chosen = stage(some[0].unionByName(some[1]), "chosen")  # at most 2 * max_bags rows
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    bags = stage(docs.select(F.col(id_col).alias("doc_id"), text).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "bags")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text).join(F.broadcast(chosen), "doc_id")
+    bags = stage(rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.max("text").alias("text")), "bags")
 
     def words(y, body):
         for w in set(WORD.findall(body.lower())):
