@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
-from .arrow import map_rows
 from .hashing import mix
 from .staging import load
 
@@ -272,15 +272,14 @@ def words_of(text: str) -> list[str]:
     return [MARK + w for w in text.split(" ")] if text else []
 
 
-def decode(ids: list[int], vocabulary: Vocabulary) -> str:
+def spellings(vocabulary: Vocabulary) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    return [bytes([i - vocabulary.first_byte]) if i in vocabulary.byte_range else p.replace(MARK, " ").encode() for i, p in enumerate(vocabulary.pieces)]
+
+
+def decode(ids: list[int], spelling: list[bytes]) -> str:
     """The text of a sequence of piece numbers."""
-    out = bytearray()
-    for i in ids:
-        if i in vocabulary.byte_range:
-            out.append(i - vocabulary.first_byte)
-        else:
-            out += vocabulary.pieces[i].replace(MARK, " ").encode()
-    return out.decode("utf-8", "replace")[1:]
+    return b"".join([spelling[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 class Encoder:
@@ -353,7 +352,9 @@ def encode_pieces(
     scores are those of the model's pieces; its pieces that join marks are
     unused.  ``ids_sha256`` is of the numbers as 4 bytes, least first.  A null
     text counts as empty; an empty text has no pieces, score 0 and no
-    alternatives.  Repeated rows give repeated results; other columns are ignored.
+    alternatives.  Segmentations of equal scores come in the order of the search,
+    which the text alone determines.  Repeated rows give repeated results; an
+    empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))  # bounded: one vocabulary
     id_type = docs.schema[id_col].dataType
@@ -381,22 +382,37 @@ def encode_pieces(
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>, score double, ids_sha256 string, alternatives {CHANGES}")
 
 
-def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """``doc_id, text`` of sequences of piece numbers; a null sequence counts as empty."""
+def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns to ``keep`` and ``text`` of sequences of piece numbers.
+
+    A null sequence counts as empty, which is the empty text; repeated rows give
+    repeated results; other columns are ignored.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    kept = encoded.select(F.col(id_col).alias("doc_id"), *keep, F.col(ids_col).alias("_ids"))
+    kinds = StructType([f for f in kept.schema if f.name != "_ids"]).add("text", "string")
 
-    def each(doc_id, ids):
-        yield doc_id, decode(ids or [], shared.value)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling, schema = spellings(shared.value), to_arrow_schema(kinds)
+        for batch in rows:
+            *others, ids = batch.columns
+            texts = [decode(x or [], spelling) for x in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(others, schema, strict=False)], pa.array(texts, pa.string())], schema=schema)
 
-    id_type = encoded.schema[id_col].dataType.simpleString()
-    return map_rows(encoded.select(id_col, ids_col), each, f"doc_id {id_type}, text string")
+    return kept.mapInArrow(run, kinds)
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_pieces(load(spark, sf_dir, "documents"))
-    scores = F.array_join(F.transform("alternatives", lambda a: F.format_number(a["score"], 3)), ";")
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", scores.alias("other_scores"), "ids_sha256")
+    both = decode_pieces(encoded, keep=("ids", "score", "ids_sha256", "alternatives"))
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "alternatives", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    decoded = decode_pieces(encode_pieces(load(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op9_piece_encoding": op9_piece_encoding}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op9_piece_encoding": op9_piece_encoding, "piece_round_trip": piece_round_trip}
+ORACLE = {"piece_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, length(coalesce(text, '')) AS n_chars FROM documents"}
