@@ -103,7 +103,7 @@ def shingle_hashes(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
     total = np.zeros(max(len(words) - k + 1, 0), np.uint64)
     for j in range(k):
-        total += words[j : len(words) - k + 1 + j] * odd[j + 1]
+        total += words[j : j + len(total)] * odd[j + 1]
     runs = np.where(counts >= k, counts - k + 1, (counts > 0).astype(np.int64))
     bounds = np.concatenate(([0], np.cumsum(runs)))
     out = np.empty(bounds[-1], np.uint64)

@@ -39,6 +39,8 @@ from .staging import load, small, stage, text_hash, without_unkept
 
 #: A sketch shared by more texts than this is dealt out in parts; texts outside its main class meet all parts.
 PART = 2048
+#: A group with more texts than this outside its main class is divided by further sketches.
+MINORS = 256
 
 
 def occurrence_labels(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -304,8 +306,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         mixed = classes.groupBy("j", "value").agg(F.sum("texts").alias("size"), F.max(F.struct("texts", "label")).alias("main")).where("size > main.texts")
         mixed = mixed.select("j", "value", F.col("main.label").alias("main"), (F.col("size") - F.col("main.texts")).alias("minors"), F.ceil(F.col("size") / PART).cast("long").alias("parts"))
         open_ = stage(labelled.join(mixed, ["j", "value"]), "mixed")
-        divided = depth < in_common and not open_.where(F.col("minors") > PART).isEmpty()
-        whole = open_.where(F.col("minors") <= PART) if divided else open_
+        divided = depth < in_common and not open_.where(F.col("minors") > MINORS).isEmpty()
+        whole = open_.where(F.col("minors") <= MINORS) if divided else open_
         minor = whole.where("label != main").select("j", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), "n", "most", "label", "own")
         other = whole.select("j", "value", F.pmod(F.xxhash64("node"), "parts").alias("part"), *others)
         # A pair is followed in the group of the first sketches that it shares.
@@ -313,7 +315,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, thresho
         found.append(stage(minor.join(other, key).where((F.col("label") != F.col("other")) & may_link & often).select("a", "b"), "found"))
         if not divided:
             break
-        further = open_.where(F.col("minors") > PART).select(F.col("j").alias("last"), F.col("value").alias("shared"), "node", "n", "most", "own", F.posexplode("own").alias("j", "next"))
+        further = open_.where(F.col("minors") > MINORS).select(F.col("j").alias("last"), F.col("value").alias("shared"), "node", "n", "most", "own", F.posexplode("own").alias("j", "next"))
         # Enough sketches must follow for ``in_common``.
         further = further.where((F.col("j") > F.col("last")) & (F.col("j") <= count - in_common + depth))
         groups = stage(further.select("j", F.xxhash64("last", "shared", "next").alias("value"), "node", "n", "most", "own"), "further")
