@@ -6,11 +6,13 @@ token and place, and softmaxes twice: over classes of tokens, then over the
 tokens of the class.  A document's score is the sum of its tokens' conditional
 log-probabilities.
 
-The vocabulary is counted over all documents: the most frequent words, and
-buckets for all others.  Training covers all documents: in each of them every
-``stride``-th token is a target.  Each partition trains a copy from the same
-start, beginning with the corpus' own word frequencies, and the copies are
-averaged by number of targets, in groups of ``FAN_IN`` until one is left.
+All words of all documents are counted.  The network predicts the most
+frequent ones and buckets for all others; a word in a bucket has its share of
+the bucket's count, joined from the table of all words, so every word of the
+corpus has a probability of its own.  Every token of every document is a
+target of training.  Each partition trains a copy from the same start,
+beginning with the corpus' own word frequencies, and the copies are averaged
+by number of targets, in groups of ``FAN_IN`` until one is left.
 """
 
 from __future__ import annotations
@@ -36,16 +38,19 @@ CLASSES = TOKENS // CLASS
 #: The token beyond either end of a document.
 EDGE = TOKENS
 #: Copies averaged in one task; tokens in one step of training, and of scoring.
-FAN_IN, STEP, PART = 32, 4096, 32768
+FAN_IN, STEP, PART = 32, 8192, 32768
+#: What a word without a count counts as within its bucket; added to every count.
+UNSEEN = 0.5
 SHAPES = {"near": (2 * WINDOW, TOKENS + 1, WIDTH), "bias": (WIDTH,), "class_out": (WIDTH, CLASSES), "class_bias": (CLASSES,), "out": (TOKENS, WIDTH), "out_bias": (TOKENS,)}
 
 
 @dataclass
 class Vocabulary:
-    """Word hashes in the order of their token numbers, and how often each token occurs."""
+    """Word hashes in the order of their token numbers, how often each token occurs, and how many words each bucket has."""
 
     words: np.ndarray
     counts: np.ndarray
+    kinds: np.ndarray
 
     def __post_init__(self):
         self.order = np.argsort(self.words)
@@ -58,9 +63,17 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.order[at], bucket)
 
+    def log_bucket(self, tokens: np.ndarray) -> np.ndarray:
+        """Logarithm of what a word's count is divided by within its bucket; one more word is allowed for, unseen."""
+        bucket = tokens - KNOWN
+        return np.log(self.counts[tokens] + UNSEEN * (self.kinds[bucket] + 1))
 
-def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    """Counts all words of all documents; KNOWN of them and the buckets' totals come to the driver."""
+
+def vocabulary(docs: DataFrame, text_col: str) -> tuple[Vocabulary, DataFrame]:
+    """Counts all words of all documents; KNOWN of them and the buckets' totals come to the driver.
+
+    The table (word, n) of all words is the second result.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -88,12 +101,12 @@ def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     known = top.collect()  # at most KNOWN rows
     bucket = F.pmod(F.col("word").bitwiseAND(BUCKETS - 1), F.lit(BUCKETS))
-    others = counts.join(F.broadcast(stage(top.select("word"), "known_words")), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()  # at most BUCKETS rows
-    totals = np.zeros(TOKENS)
+    others = counts.join(F.broadcast(stage(top.select("word"), "known_words")), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()  # at most BUCKETS rows
+    totals, kinds = np.zeros(TOKENS), np.zeros(BUCKETS)
     totals[: len(known)] = [r.n for r in known]
     for r in others:
-        totals[KNOWN + r.bucket] = r.n
-    return Vocabulary(np.array([r.word for r in known], np.int64).view(np.uint64), totals)
+        totals[KNOWN + r.bucket], kinds[r.bucket] = r.n, r.kinds
+    return Vocabulary(np.array([r.word for r in known], np.int64).view(np.uint64), totals, kinds), counts
 
 
 def initial(counts: np.ndarray, seed: int) -> dict[str, np.ndarray]:
@@ -207,7 +220,7 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, text_col: str, words: Vocabulary, stride: int, rate: float, seed: int) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, text_col: str, words: Vocabulary, rate: float, seed: int) -> dict[str, np.ndarray]:
     """Trains a copy in each partition and averages them."""
     start = initial(words.counts, seed)
     shared = docs.sparkSession.sparkContext.broadcast((words, start))  # bounded by TOKENS
@@ -219,11 +232,7 @@ def train(docs: DataFrame, text_col: str, words: Vocabulary, stride: int, rate:
         for _, texts in batches(rows, lower=True):
             hashes, first = word_hashes(texts)
             tokens = known.tokens(hashes)
-            place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-            # Each document begins at its own place in the stride.
-            shift = np.repeat(hashes[np.minimum(first[:-1], max(len(hashes) - 1, 0))] % np.uint64(stride), np.diff(first)).astype(np.int64) if len(hashes) else place
-            targets = np.flatnonzero((place + shift) % stride == 0)
-            held.append((tokens[targets], neighbours(tokens, first)[:, targets]))
+            held.append((tokens, neighbours(tokens, first)))
             while sum(len(h[0]) for h in held) >= STEP:
                 t, near = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
                 trainer.step(t[:STEP], near[:, :STEP])
@@ -253,14 +262,7 @@ def train(docs: DataFrame, text_col: str, words: Vocabulary, stride: int, rate:
     return unpack(last.model) if last else start
 
 
-def score_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    stride: int = 8,
-    rate: float = 0.1,
-    seed: int = 7,
-) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 7) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, mean_log_likelihood`` of every document.
 
     Words are runs of letters, digits, _ and non-ASCII characters in lower
@@ -268,8 +270,11 @@ def score_documents(
     the log-likelihood 0 and no mean (null).  Repeated rows count each; an
     empty table gives an empty result; other columns are ignored.
     """
-    words = vocabulary(docs, text_col)
-    model = train(docs, text_col, words, stride, rate, seed)
+    words, counts = vocabulary(docs, text_col)
+    return _scores(docs, id_col, text_col, words, counts, train(docs, text_col, words, rate, seed))
+
+
+def _scores(docs: DataFrame, id_col: str, text_col: str, words: Vocabulary, counts: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((words, model))  # bounded by TOKENS
     id_type = docs.schema[id_col].dataType
     arrow_id = to_arrow_type(id_type)
@@ -281,11 +286,26 @@ def score_documents(
             tokens = known.tokens(hashes)
             log_p = log_probabilities(net, tokens, neighbours(tokens, first))
             n = np.diff(first)
-            total = np.bincount(np.repeat(np.arange(len(n)), n), log_p, len(n))
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], arrow_id), pa.array(n, pa.int64()), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_tokens long, log_likelihood double, mean_log_likelihood double")
+            owner = np.repeat(np.arange(len(n)), n)
+            rare = np.flatnonzero(tokens >= KNOWN)
+            log_p[rare] -= known.log_bucket(tokens[rare])
+            total = np.bincount(owner, log_p, len(n))
+            # The words of buckets, each with its number in the text.
+            order = rare[np.lexsort((hashes[rare], owner[rare]))]
+            fresh = np.flatnonzero(np.concatenate(([True], (owner[order][1:] != owner[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])))) if len(order) else order
+            times = np.diff(np.concatenate((fresh, [len(order)])))
+            bounds = pa.array(np.searchsorted(owner[order[fresh]], np.arange(len(n) + 1)), pa.int32())
+            lists = pa.ListArray.from_arrays(bounds, pa.array(hashes[order[fresh]].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], arrow_id), pa.array(n, pa.int64()), pa.array(total), *lists], names=["doc_id", "n_tokens", "total", "words", "times"])
+
+    scored = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_tokens long, total double, words array<long>, times array<int>")
+    scored = stage(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
+    # A word outside the KNOWN most frequent ones is no hot key.
+    each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    own = each.join(counts.hint("merge"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log(F.col("n") + UNSEEN)).alias("own"))
+    total = F.col("total") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(own.hint("merge"), "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
