@@ -45,6 +45,8 @@ def test_hashing():
     hashes, bounds = shingle_hashes(texts, 5)
     assert list(bounds) == [0, 2, 3, 3, 4, 5, 6]
     assert hashes[0] == hashes[3] and hashes[2] == hashes[4] != hashes[5]
+    for few in ([b"x y"], [b""], [b"x", b"a b c"]):  # fewer words than a shingle in all
+        assert shingle_hashes(few, 5)[0].tolist() == [shingle_hashes([t, b"a b c d e f"], 5)[0][0] for t in few if t]
 
 
 def slow_common(a, b):
@@ -129,6 +131,36 @@ def test_near_groups(table):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_recall(spark):
+    """On a whole table, all pairs at the threshold (by every shingle they share) are found, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seqs = {}
+    for r in docs.select("doc_id", "text").collect():
+        hashes, _ = shingle_hashes([(r.text or "").lower().encode()], 5)
+        seqs[r.doc_id] = hashes.tolist()
+    where, pairs = {}, Counter()
+    for i, seq in seqs.items():
+        for h in set(seq):
+            for j in where.setdefault(h, []):
+                pairs[i, j] += 1
+            where[h].append(i)
+    linked = [(i, j) for i, j in pairs if near_dedup.similarity(seqs[i], seqs[j], 0.8) >= 0.8]
+    assert len(linked) > 50
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_groups(docs).collect()}
+    recall = sum(classes[i] == classes[j] for i, j in linked) / len(linked)
+    assert recall >= 0.99
+    parent = {i: i for i in seqs}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in linked:
+        parent[root(i)] = root(j)
+    assert all(root(i) == root(c) for i, c in classes.items() if seqs[i])
+
+
 def test_near_pairs_across_parts(table, monkeypatch):
     """Every pair that shares enough sketches is compared, though sketches are dealt out and divided."""
     compared = set()
@@ -138,6 +170,7 @@ def test_near_pairs_across_parts(table, monkeypatch):
         return pairs.limit(0)
 
     monkeypatch.setattr(near_dedup, "PART", 2)
+    monkeypatch.setattr(near_dedup, "MINORS", 2)
     monkeypatch.setattr(near_dedup, "_links", links)
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
@@ -232,6 +265,26 @@ def test_leak_cases(table):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_radius_and_similarity():
+    """Windows at the similarity 0.8 are practically always within radius 23."""
+    rng = np.random.default_rng(4)
+    for n in (9, 18, 27, 45, 90):  # shingles of an item; at 0.8 a ninth of them differ
+        beyond, trials = 0, 20_000
+        for _ in range(trials // 1000):
+            shared = rng.integers(0, 2, (1000, n - n // 9, 64), dtype=np.int8).sum(1, dtype=np.int16)
+            own = [rng.integers(0, 2, (1000, n // 9, 64), dtype=np.int8).sum(1, dtype=np.int16) for _ in range(2)]
+            beyond += ((((shared + own[0]) > n // 2) != ((shared + own[1]) > n // 2)).sum(1) > 23).sum()
+        assert beyond / trials < 5e-4, n
+
+
+def test_leaks_without_broadcast(spark, table):
+    """The way for benchmarks too large to be broadcast finds the same."""
+    d = "/root/testdata/sf0.001"
+    docs, bench = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda rows: sorted((r.doc_id, r.item_id, r.start_word) for r in rows.collect())
+    assert key(decontaminate.find_leaks(docs, bench, broadcast_rows=0)) == key(decontaminate.find_leaks(docs, bench))
+
+
 def test_simhash_radius(spark):
     """Blocks of windows and items agree with fingerprints computed bit by bit."""
     rng = np.random.default_rng(1)

@@ -1,7 +1,9 @@
 """Toxicity, pseudo-likelihood, piece encoding and the pipeline."""
 
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sextant.llm import pieces, pseudo_likelihood, toxicity
+from sextant.llm.hashing import word_hashes
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +42,15 @@ def test_toxicity(spark, insults, table):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_repeated_ids(table):
+    """Of several texts of one id always the same one teaches, and an empty text scores plain 0."""
+    rows = [(i, f"{'scoundrel ' * (i % 3 == 0)}text {i}{x}.") for i in range(90) for x in "ab"]
+    labels = table([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    models = [toxicity.train(table(r), labels) for r in (rows, rows[::-1])]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias
+    assert str(toxicity.score("", models[0], 0.3)[0]) == "0.0"
+
+
 def test_held_out_labels_are_not_learnt(insults):
     docs, labels, _ = insults
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -75,13 +87,45 @@ def test_pseudo_likelihood(table):
     cycle = "one two three four five six seven eight".split()
     rows = [(i, " ".join(cycle[(i + k) % 8] for k in range(60))) for i in range(300)]
     rows += [(1000, " ".join(rng.choice(cycle) for _ in range(60))), (1001, None), (1002, ""), (None, "one two")]
-    out = {r.doc_id: r for r in pseudo_likelihood.score_documents(table(rows), stride=2).collect()}
+    out = {r.doc_id: r for r in pseudo_likelihood.score_documents(table(rows)).collect()}
     assert out[5].mean_log_likelihood > np.log(1 / 8) + 0.5 > out[1000].mean_log_likelihood  # better than frequencies alone
     assert out[5].log_likelihood == pytest.approx(60 * out[5].mean_log_likelihood)
     assert out[1001].n_tokens == out[1002].n_tokens == 0 and out[1001].mean_log_likelihood is None and out[None].n_tokens == 2
     assert pseudo_likelihood.score_documents(table(rows).limit(0)).count() == 0
 
 
+def test_word_probabilities(table, monkeypatch):
+    """Against sums by hand: the network's probability of the token, and of a bucket's word its share by count."""
+    rng = random.Random(6)
+    common, rare = [f"c{i}" for i in range(pseudo_likelihood.KNOWN)], [f"r{i}" for i in range(3000)]
+    texts = [" ".join(common), " ".join(common), " ".join(common[:50] + ["once"]), *(" ".join(rng.choice(rare) for _ in range(3)) for _ in range(800)), None, "", "r1 r1 r1 c1"]
+    docs = table([*enumerate(texts), (2, texts[2])])
+    words, counts = pseudo_likelihood.vocabulary(docs, "text")
+    model = pseudo_likelihood.initial(words.counts, 1)
+    monkeypatch.setattr(pseudo_likelihood, "train", lambda *_: model)
+    times = Counter(w for t in [*texts, texts[2]] for w in (t or "").split())
+    token = {w: int(words.tokens(word_hashes([w.encode()])[0])[0]) for w in times}
+    known = pseudo_likelihood.KNOWN
+    inside = {t: [w for w in times if token[w] == t] for t in set(token.values()) if t >= known}
+    assert counts.count() == len(times) and inside
+
+    def share(w):
+        if token[w] < known:
+            return 1.0
+        ws = inside[token[w]]
+        return (times[w] + 0.5) / (sum(times[x] for x in ws) + 0.5 * (len(ws) + 1))
+
+    assert all(sum(share(w) for w in ws) < 1 for ws in inside.values())
+    out = {}
+    for r in pseudo_likelihood.score_documents(docs).collect():
+        out.setdefault(r.doc_id, []).append(r.log_likelihood)
+    for i, t in enumerate(texts):
+        ws = (t or "").split()
+        ids = np.array([token[w] for w in ws], np.int64)
+        net = pseudo_likelihood.log_probabilities(model, ids, pseudo_likelihood.neighbours(ids, np.array([0, len(ws)])))
+        assert out[i] == pytest.approx([net.sum() + sum(math.log(share(w)) for w in ws)] * (2 if i == 2 else 1), rel=1e-5)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.read_vocabulary(pieces.MODEL)
@@ -101,7 +145,7 @@ def all_cuts(word, v):
 def test_n_best(vocabulary, documents):
     v, rng = vocabulary, random.Random(1)
     words = sorted({w for r in documents.limit(60).collect() for w in r.text.split() if 1 < len(w) < 8})
-    encoder = pieces.Encoder(v, 4)
+    encoder, spelling = pieces.Encoder(v, 4), pieces.spellings(v)
     for _ in range(60):
         text = " ".join(rng.sample(words, 2))
         scores = sorted((sum(v.score[p] for cut in cuts for p in cut) for cuts in itertools.product(*[list(all_cuts(pieces.MARK + w, v)) for w in text.split()])), reverse=True)[:4]
@@ -111,7 +155,7 @@ def test_n_best(vocabulary, documents):
             parts = [np.frombuffer(encoder.ids[encoder.index[w]], "<i4").tolist() for w in pieces.words_of(text)]
             for at, new in changes:
                 parts[at] = new
-            assert pieces.decode([i for p in parts for i in p], v) == text
+            assert pieces.decode([i for p in parts for i in p], spelling) == text
             assert sum(v.scores[i] for p in parts for i in p) == pytest.approx(s)
 
 
@@ -126,7 +170,14 @@ def test_round_trip(spark, documents, table, vocabulary):
     assert rows[-1].ids == [] and rows[-1].score == 0 and rows[-1].alternatives == []
     assert all(a.score <= rows[3].score + 1e-6 for a in rows[3].alternatives) and len(rows[3].alternatives) == 3
     encoded.unpersist()
-    assert pieces.encode_pieces(docs.limit(0)).count() == 0
+    assert pieces.encode_pieces(docs.limit(0)).count() == 0 and pieces.decode_pieces(encoded.limit(0)).count() == 0
+
+
+def test_ties_have_an_order(vocabulary):
+    """Words with many segmentations of one score come out the same in any batch."""
+    texts = ["\x01\x02 \x01\x02 \x01\x02", "aaaa aaaa aaaa aaaa", "ab ab ab"]
+    alone = [next(pieces.Encoder(vocabulary, 4).encode([t])) for t in texts]
+    assert list(pieces.Encoder(vocabulary, 4).encode(texts[::-1]))[::-1] == alone
 
 
 def test_pipeline(spark):
