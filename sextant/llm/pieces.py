@@ -25,8 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import mix
 from .staging import load
@@ -344,9 +343,12 @@ def encode_pieces(
     text_col: str = "text",
     model: str = MODEL,
     n: int = 4,
+    check: bool = False,
 ) -> DataFrame:
     """``doc_id, ids, score, ids_sha256, alternatives``: the n best segmentations of every text.
 
+    With ``check`` also ``decoded_sha256``, of the text that ``ids`` decode to.
+
     ``ids`` is the best one; each alternative, in order, has its score and, for
     the words (by position) that it cuts otherwise, their piece numbers.  The
     scores are those of the model's pieces; its pieces that join marks are
@@ -362,8 +364,11 @@ def encode_pieces(
     alternative = pa.struct([("score", pa.float64()), ("changes", pa.list_(change))])
     schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("ids_sha256", pa.string()), ("alternatives", pa.list_(alternative))])
 
+    if check:
+        schema = schema.append(pa.field("decoded_sha256", pa.string()))
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, n)
+        encoder, spelling = Encoder(shared.value, n), spellings(shared.value)
         for batch in rows:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
@@ -377,35 +382,38 @@ def encode_pieces(
                     pa.array([hashlib.sha256(f[0]).hexdigest() for f in found]),
                     pa.array([[{"score": s, "changes": [{"word": w, "ids": i} for w, i in c]} for s, c in f[2]] for f in found], schema[4].type),
                 ]
+                if check:
+                    numbers = flat.tolist()
+                    texts = [decode(numbers[a:b], spelling) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                    columns.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>, score double, ids_sha256 string, alternatives {CHANGES}")
+    more = ", decoded_sha256 string" if check else ""
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>, score double, ids_sha256 string, alternatives {CHANGES}{more}")
 
 
-def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, the columns to ``keep`` and ``text`` of sequences of piece numbers.
+def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
+    """``doc_id, text`` of sequences of piece numbers.
 
     A null sequence counts as empty, which is the empty text; repeated rows give
-    repeated results; other columns are ignored.
+    repeated results; an empty table gives an empty result; other columns are ignored.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(model))
-    kept = encoded.select(F.col(id_col).alias("doc_id"), *keep, F.col(ids_col).alias("_ids"))
-    kinds = StructType([f for f in kept.schema if f.name != "_ids"]).add("text", "string")
+    id_type = encoded.schema[id_col].dataType
+    arrow_id = to_arrow_type(id_type)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling, schema = spellings(shared.value), to_arrow_schema(kinds)
+        spelling = spellings(shared.value)
         for batch in rows:
-            *others, ids = batch.columns
-            texts = [decode(x or [], spelling) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(others, schema, strict=False)], pa.array(texts, pa.string())], schema=schema)
+            texts = [decode(ids or [], spelling) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_id), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return kept.mapInArrow(run, kinds)
+    return encoded.select(id_col, ids_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, text string")
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_pieces(load(spark, sf_dir, "documents"))
-    both = decode_pieces(encoded, keep=("ids", "score", "ids_sha256", "alternatives"))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "alternatives", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    encoded = encode_pieces(load(spark, sf_dir, "documents"), check=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "score", "alternatives", "ids_sha256", "decoded_sha256")
 
 
 def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def initial(counts: np.ndarray, seed: int) -> dict[str, np.ndarray]:
 def neighbours(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(2 * WINDOW, tokens) the tokens around each token; ``first``: where documents begin (and the end)."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    padded = np.full(len(tokens) + WINDOW * len(first), EDGE)
+    padded = np.full(len(tokens) + WINDOW * len(first), EDGE, np.int16)
     at = np.arange(len(tokens)) + WINDOW * (text + 1)
     padded[at] = tokens
     return np.array([padded[at + d] for d in range(-WINDOW, WINDOW + 1) if d])
@@ -137,58 +137,62 @@ def forward(model: dict[str, np.ndarray], near: np.ndarray) -> np.ndarray:
     return np.tanh(hidden + model["bias"])
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """In place."""
     logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    np.exp(logits, out=logits)
+    logits /= logits.sum(1, keepdims=True)
+    return logits
 
 
-def by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, places) of the tokens of each class."""
-    groups = tokens // CLASS
+def by_class(tokens: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """An order of the tokens by class, and (class, stretch of that order) of each class."""
+    groups = (tokens // CLASS).astype(np.int16)
     order = np.argsort(groups, kind="stable")
-    bounds = np.searchsorted(groups[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+    bounds = np.searchsorted(groups[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
 
 def log_probabilities(model: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> np.ndarray:
     """Of each token, given its neighbours."""
     out = np.empty(len(tokens))
     for start in range(0, len(tokens), PART):
-        some = tokens[start : start + PART]
-        hidden = forward(model, near[:, start : start + PART])
+        order, classes = by_class(tokens[start : start + PART])
+        some = tokens[start : start + PART][order]
+        hidden = forward(model, near[:, start : start + PART][:, order])
         logits = hidden @ model["class_out"] + model["class_bias"]
         own = logits[np.arange(len(some)), some // CLASS] - np.log(np.exp(logits).sum(1))
-        for c, at in by_class(some):
+        for c, at in classes:
             inner = hidden[at] @ model["out"][c * CLASS : (c + 1) * CLASS].T + model["out_bias"][c * CLASS : (c + 1) * CLASS]
-            own[at] += inner[np.arange(len(at)), some[at] % CLASS] - np.log(np.exp(inner).sum(1))
-        out[start : start + PART] = own
+            own[at] += inner[np.arange(len(inner)), some[at] % CLASS] - np.log(np.exp(inner).sum(1))
+        out[start + order] = own
     return out
 
 
 def gradients(model: dict[str, np.ndarray], tokens: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean log-probability."""
     n = len(tokens)
+    order, classes = by_class(tokens)
+    tokens, near = tokens[order], near[:, order]
     hidden = forward(model, near)
     grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    d_class = -np.exp(_log_softmax(hidden @ model["class_out"] + model["class_bias"]))
+    d_class = -_softmax(hidden @ model["class_out"] + model["class_bias"])
     d_class[np.arange(n), tokens // CLASS] += 1
     grad["class_out"], grad["class_bias"] = hidden.T @ d_class, d_class.sum(0)
     d_hidden = d_class @ model["class_out"].T
-    for c, at in by_class(tokens):
+    for c, at in classes:
         rows = slice(c * CLASS, (c + 1) * CLASS)
-        d = -np.exp(_log_softmax(hidden[at] @ model["out"][rows].T + model["out_bias"][rows]))
-        d[np.arange(len(at)), tokens[at] % CLASS] += 1
+        d = -_softmax(hidden[at] @ model["out"][rows].T + model["out_bias"][rows])
+        d[np.arange(len(d)), tokens[at] % CLASS] += 1
         grad["out"][rows], grad["out_bias"][rows] = d.T @ hidden[at], d.sum(0)
         d_hidden[at] += d @ model["out"][rows]
     d_hidden *= 1 - hidden**2
     grad["bias"] = d_hidden.sum(0)
     for k in range(2 * WINDOW):
-        order = np.argsort(near[k], kind="stable")
-        own = near[k][order]
+        place = np.argsort(near[k], kind="stable")
+        own = near[k][place]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        grad["near"][k][own[first]] = np.add.reduceat(d_hidden[order], first, axis=0)
+        grad["near"][k][own[first]] = np.add.reduceat(d_hidden[place], first, axis=0)
     return {k: g / n for k, g in grad.items()}
 
 
