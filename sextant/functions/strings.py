@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they become.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _decomposed() -> tuple[str, str]:
+    """Small letters with marks, what they become, and at the end the marks themselves, which go."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    known = [(c, d[0]) for c, d in pairs if len(d) > 1 and c == c.lower() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in known) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in known)
+
+
+MARKED, PLAIN = _decomposed()
 
 
 def blank(c: Column) -> Column:
@@ -28,7 +37,13 @@ def merge(delimiter: str, *columns: Column) -> Column:
 
 
 def unaccent(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """In small letters, without the marks that letters can be decomposed into."""
+    return F.translate(F.lower(c), MARKED, PLAIN)
+
+
+def plain(term: str) -> str:
+    """The same for a search term."""
+    return "".join(c for c in unicodedata.normalize("NFD", term.lower()) if not unicodedata.combining(c))
 
 
 def normalize(c: Column, max_words: int) -> Column:
@@ -105,12 +120,13 @@ def title_of(file_name: Column) -> Column:
 def tokens(c: Column, longest: int = 200, stop: list[str] | None = None) -> Column:
     """Search words: letters and digits without marks, none longer than ``longest``."""
     words = F.filter(F.split(unaccent(c), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.length(w) <= longest))
-    return F.array_except(words, F.array(*[F.lit(s) for s in stop])) if stop else words
+    return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 
 
-def snippet(c: Column, term: str, before: int = 20, length: int = 60) -> Column:
-    """The text around the first match, on one line."""
-    at = F.instr(unaccent(c), term)
+def snippet(c: Column, terms: list[str], before: int = 20, length: int = 60) -> Column:
+    """The text around the first word that is one of the terms, on one line."""
+    any_term = "|".join(re.escape(plain(t)) for t in terms)
+    at = F.regexp_instr(unaccent(c), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{any_term})(?![\p{{L}}\p{{N}}])"))
     return F.translate(F.substring(c, F.greatest(at - before, F.lit(1)), F.lit(length)), "\r\n", "  ")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import is_under
+from sextant.functions.tables import one_each
 
 
 def diff(disk: DataFrame, store: DataFrame) -> DataFrame:
@@ -26,7 +27,8 @@ def diff(disk: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``changes`` replace those with the same keys."""
+    """Rows of ``changes`` replace those with the same keys; of several with one key one counts."""
+    changes = one_each(changes, keys)
     return table.join(changes.select(keys), keys, "left_anti").unionByName(changes)
 
 
@@ -59,7 +61,8 @@ def invalidate(elements: DataFrame, uris: DataFrame, key: str = "uri") -> DataFr
 
 
 def set_attributes(files: DataFrame, changes: DataFrame, columns: list[str], key: str = "uri") -> DataFrame:
-    new = changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    """New values of some columns, where given; of several changes of one file one counts."""
+    new = one_each(changes.select(key, *[F.col(c).alias(f"_{c}") for c in columns]), [key])
     both = files.join(new, key, "left")
     return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in files.columns])
 

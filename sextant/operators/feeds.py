@@ -13,9 +13,9 @@ def latest(items: DataFrame, key: str, time: str, position: str) -> DataFrame:
 
 
 def reconcile(items: DataFrame, stored: DataFrame, key: str = "url", time: str = "published") -> DataFrame:
-    """``key, action``: INSERT unknown items, UPDATE newer ones, REFRESH the others (their channel only)."""
-    both = items.select(key, F.col(time).alias("new")).join(stored.select(key, F.col(time).alias("old"), F.lit(True).alias("known")), key, "left")
-    action = F.when(F.col("known").isNull(), "INSERT").when(F.col("new") > F.col("old"), "UPDATE").otherwise("REFRESH")
+    """``key, action``: INSERT unknown items, UPDATE newer ones, REFRESH the others (their channel only), KEEP what a feed no longer has."""
+    both = items.select(key, F.col(time).alias("new"), F.lit(True).alias("here")).join(stored.select(key, F.col(time).alias("old"), F.lit(True).alias("known")), key, "full_outer")
+    action = F.when(F.col("here").isNull(), "KEEP").when(F.col("known").isNull(), "INSERT").when(F.col("new") > F.col("old"), "UPDATE").otherwise("REFRESH")
     return both.select(key, action.alias("action"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.tables import few
+
 
 def out_of_space(free: Column, total: Column, limit_percent: Column) -> Column:
     """Whether indexing pauses; a negative limit never does."""
@@ -40,13 +42,13 @@ def same_set(a: Column, b: Column) -> Column:
 
 def fallback_types(mimes: DataFrame, rules: DataFrame) -> DataFrame:
     """``mime, types, all_types``: of the first rule with types, and of all rules that allow the mime."""
-    hits = mimes.select("mime").distinct().join(F.broadcast(rules.where(F.size("types") > 0)), F.expr("mime RLIKE allow_regex"))
+    hits = mimes.select("mime").distinct().join(few(rules.where(F.size("types") > 0)), F.expr("mime RLIKE allow_regex"))
     return hits.groupBy("mime").agg(F.min_by("types", "rule_order").alias("types"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("all_types"))
 
 
 def writers(resources: DataFrame, modules: DataFrame) -> DataFrame:
     """``resource, module``: by any of a resource's types; null where no module writes it back."""
-    typed = resources.select("resource", F.explode("types").alias("type")).join(F.broadcast(modules), "type").select("resource", "module").distinct()
+    typed = resources.select("resource", F.explode("types").alias("type")).join(few(modules), "type").select("resource", "module").distinct()
     return resources.select("resource").join(typed, "resource", "left")
 
 
@@ -60,5 +62,5 @@ def ranked(values: DataFrame, ranks: DataFrame) -> DataFrame:
 
     values: item, module, field, source, value; ranks: module, field, source, rank.  Blank values don't count.
     """
-    known = values.where(F.trim("value") != "").join(F.broadcast(ranks), ["module", "field", "source"])
+    known = values.where(F.trim("value") != "").join(few(ranks), ["module", "field", "source"])
     return known.groupBy("item", "module", "field").agg(F.min_by(F.trim("value"), "rank").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.paths import ancestors, base_name, glob_regex, hidden, is_under, parent
+from sextant.functions.tables import few
 
 
 def longest_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
@@ -73,4 +74,4 @@ def dispatch(mimes: DataFrame, rules: DataFrame) -> DataFrame:
     different mimes meet the rules, a table of a few dozen rows.
     """
     allowed = F.expr("mime RLIKE allow_regex AND NOT coalesce(mime RLIKE block_regex, false)")
-    return mimes.select("mime").distinct().join(F.broadcast(rules), allowed).groupBy("mime").agg(F.min_by("module", "rule_order").alias("module"))
+    return mimes.select("mime").distinct().join(few(rules), allowed).groupBy("mime").agg(F.min_by("module", "rule_order").alias("module"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.functions.strings import snippet, tokens, unaccent
+from sextant.functions.strings import plain, snippet, tokens
 
 
 def matches(text: Column, terms: list[str], any_term: bool = False) -> Column:
@@ -15,7 +13,7 @@ def matches(text: Column, terms: list[str], any_term: bool = False) -> Column:
     if not terms:
         return F.lit(True)
     words = tokens(text)
-    wanted = F.array(*[unaccent(F.lit(t)) for t in terms])
+    wanted = F.array(*[F.lit(plain(t)) for t in terms])
     return F.arrays_overlap(words, wanted) if any_term else F.size(F.array_except(wanted, words)) == 0
 
 
@@ -52,7 +50,7 @@ def search_class(
     if volume_check:
         found = available(found, volumes, show_all)
     found = found.where(matches(F.col(text), terms, any_term))
-    shown = [F.col(c) for c in columns] + ([snippet(F.col(text), terms[0]).alias("snippet")] if detailed and terms else [])
+    shown = [F.col(c) for c in columns] + ([snippet(F.col(text), terms).alias("snippet")] if detailed and terms else [])
     keys = dict.fromkeys((order, *columns))
     return page(found.select(*shown).distinct().orderBy(*keys), offset, limit)
 
@@ -60,20 +58,38 @@ def search_class(
 def search_everything(elements: DataFrame, files: DataFrame, volumes: DataFrame, terms: list[str], show_all: bool = False) -> DataFrame:
     """Hits in file names and in contents, one row per uri with one snippet."""
     by_name = available(files, volumes, show_all).where(matches(F.col("file_name"), terms)).select("uri", F.lit(None).cast("string").alias("snippet"), "class")
-    by_text = available(elements, volumes, show_all).where(matches(F.col("text"), terms)).select(F.col("url").alias("uri"), snippet(F.col("text"), terms[0]).alias("snippet"), "class")
+    by_text = available(elements, volumes, show_all).where(matches(F.col("text"), terms)).select(F.col("url").alias("uri"), snippet(F.col("text"), terms).alias("snippet"), "class")
     return by_name.unionByName(by_text).groupBy("uri").agg(F.min("snippet").alias("snippet"), F.min("class").alias("class")).orderBy("uri")
 
 
-def inverted_index(elements: DataFrame, key: str = "ie", text: str = "text") -> DataFrame:
-    """``token, key, n``: postings, for repeated searches (written partitioned by a hash of the token)."""
-    return elements.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+def inverted_index(elements: DataFrame, key: str = "ie", text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """``token, key, n``: postings of all words, or ``only`` of some, which is all that is counted then."""
+    words = tokens(F.col(text))
+    if only:
+        wanted = [plain(t) for t in only]
+        words = F.filter(words, lambda w: w.isin(wanted))
+    return elements.select(key, F.explode(words).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+
+
+#: Folders of a written index.
+SHELVES = 64
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Postings in folders by a hash of the token, sorted by token in each."""
+    shelf = F.pmod(F.xxhash64("token"), F.lit(SHELVES))
+    index.withColumn("shelf", shelf).repartition("shelf", "token").sortWithinPartitions("shelf", "token").write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """A written index, of which only the folders and pages of these terms are read."""
+    wanted = [plain(t) for t in terms]
+    shelves = F.col("shelf").isin(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(SHELVES)) for t in wanted])
+    return spark.read.parquet(path).where(shelves & F.col("token").isin(wanted)).drop("shelf")
 
 
 def search_index(index: DataFrame, terms: list[str], key: str = "ie") -> DataFrame:
     """Keys with all terms, by the postings of these terms only."""
+    terms = [plain(t) for t in terms]
     hits = index.where(F.col("token").isin(terms))
     return hits.groupBy(key).agg(F.countDistinct("token").alias("k"), F.sum("n").alias("hits")).where(F.col("k") == len(set(terms))).select(key, "hits")
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns, F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.strings import ellipsize, literal, shorten
+from sextant.functions.tables import few
 
 
 def class_statistics(quads: DataFrame, name: str | None = None) -> DataFrame:
@@ -20,7 +21,9 @@ def describe(quads: DataFrame, uri: str) -> DataFrame:
     first = quads.where(F.col("s") == uri).select("s").distinct()
     element = quads.where((F.col("s") == uri) & (F.col("p") == "nie:interpretedAs")).select(F.col("o").alias("s"))
     about = quads.join(first.unionByName(element).distinct(), "s", "left_semi")
-    resources = quads.select(F.col("s").alias("o"), F.lit(True).alias("_r")).distinct()
+    # Only the objects named here are looked up.
+    objects = few(about.select("o").distinct())
+    resources = quads.select(F.col("s").alias("o")).join(objects, "o", "left_semi").distinct().withColumn("_r", F.lit(True))
     return about.join(resources, "o", "left").select("p", "o", F.col("s").alias("x"), F.col("_r").isNotNull().alias("is_resource")).distinct().orderBy("x", "p", "o")
 
 

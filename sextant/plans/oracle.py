@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from sextant.functions.strings import ACCENTED, PLAIN
 from sextant.model import CLASSES, GRAPHS, MIMES
 
 
@@ -11,7 +10,7 @@ def _pick(values: tuple[str, ...]) -> str:
 
 
 def _plain(c: str) -> str:
-    return f"translate(lower({c}), '{ACCENTED}', '{PLAIN}')"
+    return f"strip_accents(lower({c}))"
 
 
 def _tokens(c: str) -> str:
@@ -23,7 +22,8 @@ def _has(c: str, *terms: str) -> str:
 
 
 def _snippet(c: str, term: str) -> str:
-    return f"translate(substr({c}, greatest(strpos({_plain(c)}, '{term}') - 20, 1), 60), chr(13) || chr(10), '  ')"
+    before = rf"regexp_extract({_plain(c)}, '(?s)^(|.*?[^\p{{L}}\p{{N}}])({term})([^\p{{L}}\p{{N}}]|$)', 1)"
+    return f"translate(substr({c}, greatest(length({before}) + 1 - 20, 1), 60), chr(13) || chr(10), '  ')"
 
 
 ELEMENTS = f"""el AS (
@@ -77,8 +77,8 @@ def _search(class_name: str | None, where: str, show_all: bool = False, columns:
     return _with(ELEMENTS, VOLUMES) + f"SELECT DISTINCT {columns} FROM el WHERE {of_class}{there} AND ({where}) ORDER BY {order} {tail}"
 
 
-def _count(view: str, key: str, where: str) -> str:
-    return _with(*([ELEMENTS, VOLUMES] if view == "el" else [ELEMENTS, LABELLED])) + f"SELECT {key}, count(*) AS n FROM {view} WHERE {where} GROUP BY {key}"
+def _rows(columns: str, where: str) -> str:
+    return _with(ELEMENTS, VOLUMES) + f"SELECT {columns} FROM el WHERE {where}"
 
 
 def _date(c: str) -> str:
@@ -115,7 +115,7 @@ SQL = {
         UNION ALL SELECT url, {_snippet("text", "that")}, class, data_source FROM el WHERE {_has("text", "that")})
       WHERE data_source IN (SELECT urn FROM vol WHERE available) GROUP BY uri""",
     "fts_index_and": _with(ELEMENTS) + f"SELECT ie, count(*) AS hits FROM (SELECT ie, unnest({_tokens('text')}) AS t FROM el) WHERE t IN ('that', 'with') GROUP BY ie HAVING count(DISTINCT t) = 2",
-    "fts_stop_words": f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct({_tokens('text')})) AS token FROM documents) WHERE token NOT IN ('the', 'and', 'of') GROUP BY token HAVING count(*) >= 50",
+    "fts_stop_words": f"SELECT token, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS token FROM documents) WHERE token NOT IN ('the', 'and', 'of') GROUP BY token HAVING count(*) >= 50",
     "q13_tag_list": _with(LABELLED) + "SELECT urn, label, description, count(subject) AS n FROM tags LEFT JOIN edges ON urn = tag_urn GROUP BY ALL",
     "q13_tag_list_some": _with(LABELLED) + "SELECT urn, label, description, count(subject) AS n FROM tags LEFT JOIN edges ON urn = tag_urn WHERE label IN ('toxic:1', 'unused', 'no such') GROUP BY ALL",
     "q14_all_tags": _with(LABELLED) + "SELECT subject FROM edges JOIN tags ON urn = tag_urn WHERE label IN ('quality:1', 'toxic:0', 'no such') GROUP BY subject HAVING count(DISTINCT tag_urn) = 2",
@@ -123,9 +123,9 @@ SQL = {
     "q15_files_of_tag": _with(ELEMENTS, LABELLED) + "SELECT DISTINCT coalesce(url, subject) AS uri FROM edges LEFT JOIN el ON ie = subject WHERE tag_urn = 'urn:tag:toxic:1'",
     "q16_urns_of_files": _with(ELEMENTS, LABELLED) + "SELECT ie AS subject, url AS uri FROM el WHERE url IN ('file:///src0/0.txt', 'file:///src1/1.txt', 'file:///src4/4.txt') AND ie IN (SELECT subject FROM edges WHERE tag_urn = 'urn:tag:toxic:0')",
     "q17_tags_of_file": _with(LABELLED) + "SELECT label FROM edges JOIN tags ON urn = tag_urn WHERE subject = 'urn:fileid:0'",
-    "q18_tag_resources": _with(ELEMENTS, LABELLED) + f"SELECT tag_urn, count(*) AS n FROM (SELECT subject, tag_urn FROM edges UNION SELECT ie, 'urn:tag:unused' FROM el WHERE class = '{CLASSES[1]}') GROUP BY tag_urn",
-    "q18_untag_resources": _with(ELEMENTS, LABELLED) + "SELECT tag_urn, count(*) AS n FROM edges WHERE NOT (tag_urn = 'urn:tag:toxic:0' AND subject IN (SELECT ie FROM el WHERE sn < 10)) GROUP BY tag_urn",
-    "q18_remove_tag": _with(LABELLED) + "SELECT tag_urn, count(*) AS n FROM edges WHERE tag_urn <> 'urn:tag:toxic:0' GROUP BY tag_urn",
+    "q18_tag_resources": _with(ELEMENTS, LABELLED) + f"SELECT subject, tag_urn FROM edges UNION SELECT ie, 'urn:tag:unused' FROM el WHERE class = '{CLASSES[1]}'",
+    "q18_untag_resources": _with(ELEMENTS, LABELLED) + "SELECT subject, tag_urn FROM edges WHERE NOT (tag_urn = 'urn:tag:toxic:0' AND subject IN (SELECT ie FROM el WHERE sn < 10))",
+    "q18_remove_tag": _with(LABELLED) + "SELECT subject, tag_urn FROM edges WHERE tag_urn <> 'urn:tag:toxic:0'",
     "k14_insert_tag_if_absent": _with(LABELLED) + "SELECT * FROM tags UNION ALL SELECT 'urn:tag:new', 'new', 'added'",
     "q19_class_statistics": _with(ELEMENTS) + "SELECT class, count(*) AS n FROM el GROUP BY class",
     "q19_class_statistics_named": _with(ELEMENTS) + "SELECT class, count(*) AS n FROM el WHERE lower(class) LIKE '%doc%' GROUP BY class",
@@ -140,7 +140,7 @@ SQL = {
          WHERE s = 'file:///src0/0.txt' OR s IN (SELECT o FROM quads WHERE s = 'file:///src0/0.txt' AND p = 'nie:interpretedAs')""",
     "q24_prefixes": """SELECT DISTINCT iri, CASE WHEN iri LIKE 'http://a.org/n#%' THEN 'a:' || substr(iri, 16) WHEN iri LIKE 'http://b.org/m#%' THEN 'b:' || split_part(iri, '#', -1) ELSE iri END AS short
         FROM (SELECT (['http://a.org/n#', 'http://b.org/m#', 'http://c.org/x#'])[p_partkey % 3 + 1] || p_brand AS iri FROM part)""".replace("substr(iri, 16)", "split_part(iri, '#', -1)"),
-    "q27_reset_file": _count("el", "data_source", "url <> 'file:///src3' AND NOT starts_with(url, 'file:///src3/')"),
+    "q27_reset_file": _rows("url AS uri, data_source", "url <> 'file:///src3' AND NOT starts_with(url, 'file:///src3/')"),
     "q28_turtle": _with(ELEMENTS)
     + """SELECT url AS s, '<' || url || '> nfo:belongsToContainer <' || container || '> ; nfo:fileName "' || file_name || '" ; nie:interpretedAs <' || ie || '> .' AS text FROM el WHERE data_source = 'src7'""",
     "q28_json_ld": _with(ELEMENTS) + "SELECT url AS s, url AS id, file_name AS name FROM el WHERE data_source = 'src7'",
@@ -164,17 +164,17 @@ SQL = {
     "d1_diff": _with(ORDERS) + "SELECT uri, state FROM differs WHERE state IS NOT NULL",
     "a9_diff_counters": _with(ORDERS) + "SELECT state, count(*) AS n FROM differs WHERE state IS NOT NULL GROUP BY state",
     "k1_upsert": _with(ORDERS)
-    + """SELECT hash, count(*) AS n, CAST(sum(mtime) AS BIGINT) AS mtimes FROM (SELECT uri, mtime, hash FROM stored WHERE uri NOT IN (SELECT uri FROM disk) UNION ALL SELECT uri, mtime, hash FROM disk) GROUP BY hash""",
-    "k4_recursive_delete": _count("el", "data_source", "NOT starts_with(url, 'file:///src1/')"),
-    "k5_delete_files": _count("el", "graph", "graph <> 'Audio'"),
+    + """SELECT uri, mtime, hash FROM stored WHERE uri NOT IN (SELECT uri FROM disk) UNION ALL SELECT uri, mtime, hash FROM disk""",
+    "k4_recursive_delete": _rows("url, data_source", "NOT starts_with(url, 'file:///src1/')"),
+    "k5_delete_files": _rows("url, graph", "graph <> 'Audio'"),
     "k6_move": _with(ELEMENTS) + "SELECT doc_id, 'file:///new/place/' || file_name AS url FROM el WHERE data_source = 'src1'",
-    "k7_invalidate": _with(ORDERS) + "SELECT CASE WHEN uri NOT LIKE '%7' THEN hash END AS hash, count(*) AS n FROM stored GROUP BY 1",
-    "k8_set_attributes": _with(ORDERS) + "SELECT s.hash, CAST(sum(coalesce(d.mtime, s.mtime)) AS BIGINT) AS mtimes FROM stored s LEFT JOIN disk d USING (uri) GROUP BY 1",
+    "k7_invalidate": _with(ORDERS) + "SELECT uri, CASE WHEN uri NOT LIKE '%7' THEN hash END AS hash FROM stored",
+    "k8_set_attributes": _with(ORDERS) + "SELECT s.uri, coalesce(d.mtime, s.mtime) AS mtime, s.hash FROM stored s LEFT JOIN disk d USING (uri)",
     "k9_mark_volumes": _with(VOLUMES) + "SELECT urn, root_uri, available AND urn NOT IN ('src0', 'src3') AS available, is_removable, is_optical, CASE WHEN urn IN ('src0', 'src3') THEN TIMESTAMP '2024-06-01 00:00:00' ELSE unmount_date END AS unmount_date FROM vol",
-    "k10_delete_of_removable": _count("el", "data_source", "data_source NOT IN (SELECT urn FROM vol WHERE is_removable AND NOT is_optical)"),
-    "k11_delete_unmounted_before": _count("el", "data_source", "data_source NOT IN (SELECT urn FROM vol WHERE unmount_date < TIMESTAMP '2024-01-12 00:00:00')"),
-    "k12_insert_hash": _with(ELEMENTS, LABELLED) + "SELECT count(*) AS n FROM (SELECT ie FROM hashed UNION SELECT ie FROM el WHERE graph = 'Video')",
-    "k13_drop_content_copy": _with(ELEMENTS, QUADS) + "SELECT g, p, count(*) AS n FROM quads WHERE NOT (g = 'content' AND s IN (SELECT ie FROM el WHERE sn = 4)) GROUP BY g, p",
+    "k10_delete_of_removable": _rows("url AS uri, data_source", "data_source NOT IN (SELECT urn FROM vol WHERE is_removable AND NOT is_optical)"),
+    "k11_delete_unmounted_before": _rows("url AS uri, data_source", "data_source NOT IN (SELECT urn FROM vol WHERE unmount_date < TIMESTAMP '2024-01-12 00:00:00')"),
+    "k12_insert_hash": _with(ELEMENTS, LABELLED) + "SELECT ie FROM hashed UNION SELECT ie FROM el WHERE graph = 'Video'",
+    "k13_drop_content_copy": _with(ELEMENTS, QUADS) + "SELECT g, s, p, o FROM quads WHERE NOT (g = 'content' AND s IN (SELECT ie FROM el WHERE sn = 4))",
     "d25_reconcile_mounts": _with(VOLUMES)
     + """SELECT urn, CASE WHEN CAST(substr(urn, 4) AS INT) % 2 <> 0 THEN CASE WHEN available THEN 'UNMOUNT' ELSE 'NONE' END WHEN NOT available THEN 'MOUNT' ELSE 'NONE' END AS action FROM vol UNION ALL SELECT 'fresh', 'ADD'""",
     "j_longest_root": _with(TREE) + "SELECT path, max_by(root, length(root)) AS root FROM tree JOIN roots ON path = root OR starts_with(path, root || '/') GROUP BY path",
@@ -192,7 +192,7 @@ SQL = {
     "o7_priority_queue": _with(CHANGES) + "SELECT seq, CASE WHEN kind = 'DELETED' THEN 0 ELSE 1 END AS priority FROM changes ORDER BY priority, seq LIMIT 100",
     "a10_latest_message": _with(FEEDS) + "SELECT url, urn, published FROM messages QUALIFY row_number() OVER (PARTITION BY url ORDER BY published DESC, turn) = 1",
     "d20_feed_reconcile": _with(FEEDS)
-    + """SELECT urn, CASE WHEN role = 'system' OR turn >= 6 THEN 'INSERT' WHEN role = 'user' THEN 'UPDATE' ELSE 'REFRESH' END AS action FROM messages""",
+    + """SELECT urn, CASE WHEN turn = 1 THEN 'KEEP' WHEN role = 'system' OR turn >= 6 THEN 'INSERT' WHEN role = 'user' THEN 'UPDATE' ELSE 'REFRESH' END AS action FROM messages WHERE turn <> 1 OR role <> 'system'""",
     "k16_keep_predicates": _with(ELEMENTS, QUADS) + "SELECT p, count(*) AS n FROM quads WHERE NOT s LIKE 'file:///src5/%' OR p = 'nie:interpretedAs' GROUP BY p",
     "k17_orphans": _with(FEEDS) + "SELECT channel, count(*) AS n FROM messages WHERE channel NOT IN (SELECT urn FROM channels WHERE update_interval > 2) GROUP BY channel",
     "k17_without_orphans": _with(FEEDS) + "SELECT urn, channel FROM messages WHERE channel IN (SELECT urn FROM channels WHERE update_interval > 2)",
@@ -201,10 +201,36 @@ SQL = {
         SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
             SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""",
     "d22_enclosures": _with(FEEDS) + "SELECT channel AS message, url, min(turn) AS position FROM messages GROUP BY ALL",
+    # The last two entries of a queue are carried, the others are final.
+    "d7_coalesce": _with("RECURSIVE " + CHANGES)
+    + """, e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, {'k': kind, 's': source, 'd': CASE WHEN kind = 'MOVED' THEN source || '/' || seq ELSE '' END, 'a': attributes_only} AS ev FROM changes),
+        q AS (SELECT key, n, [ev] AS queue FROM e WHERE n = 1
+              UNION ALL
+              SELECT e.key, e.n, CASE
+                WHEN len(queue) = 0 OR l.k = 'DELETED' AND e.kind <> 'DELETED' OR l.k IN ('UPDATED', 'MOVED') AND e.kind = 'CREATED' OR l.k = 'UPDATED' AND e.kind = 'MOVED' OR l.k = 'MOVED' AND e.kind = 'UPDATED' THEN list_append(queue, e.ev)
+                WHEN l.k IN ('CREATED', 'UPDATED') AND e.kind = 'DELETED' OR l.k = 'UPDATED' AND l.a AND NOT e.attributes_only THEN list_append(queue[:-2], e.ev)
+                WHEN l.k = 'CREATED' AND e.kind = 'MOVED' THEN list_append(queue[:-2], {'k': 'CREATED', 's': e.ev.d, 'd': '', 'a': false})
+                WHEN l.k = 'MOVED' AND e.kind = 'DELETED' THEN list_append(queue[:-2], {'k': 'DELETED', 's': l.s, 'd': '', 'a': false})
+                WHEN l.k = 'MOVED' AND l.s = e.ev.d THEN queue[:-2]
+                WHEN l.k = 'MOVED' THEN list_append(queue[:-2], {'k': 'MOVED', 's': l.s, 'd': e.ev.d, 'a': false})
+                ELSE queue END
+              FROM (SELECT *, queue[-1] AS l FROM q) q JOIN e ON e.key = q.key AND e.n = q.n + 1)
+        SELECT key, CAST(pos AS INT) - 1 AS pos, queue[pos].k AS kind, queue[pos].s AS source, queue[pos].d AS destination
+        FROM (SELECT key, queue, unnest(range(1, len(queue) + 1)) AS pos FROM q WHERE (key, n) IN (SELECT (key, max(n)) FROM e GROUP BY key))""",
+    "d13_collapse": """WITH RECURSIVE e AS (
+            SELECT CAST(user_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+                   CASE event_type WHEN 'signup' THEN 'CREATED' WHEN 'click' THEN 'CHANGED' WHEN 'view' THEN 'ATTRIBUTE_CHANGED' WHEN 'purchase' THEN 'CHANGES_DONE' WHEN 'error' THEN 'DELETED' END AS kind FROM events
+            UNION ALL SELECT CAST(user_id AS VARCHAR), count(*) + 1, 'END' FROM events GROUP BY user_id),
+        q AS (SELECT path, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS held, CAST(NULL AS VARCHAR) AS emitted FROM (SELECT DISTINCT path FROM e)
+              UNION ALL
+              SELECT q.path, e.n, CASE e.kind WHEN 'ATTRIBUTE_CHANGED' THEN held WHEN 'CREATED' THEN 'CREATED' WHEN 'CHANGED' THEN coalesce(held, 'CHANGED') WHEN 'DELETED' THEN CASE WHEN held = 'CREATED' THEN NULL ELSE 'DELETED' END END,
+                     CASE e.kind WHEN 'ATTRIBUTE_CHANGED' THEN e.kind WHEN 'CREATED' THEN CASE WHEN held = 'DELETED' THEN held END WHEN 'CHANGES_DONE' THEN held WHEN 'END' THEN held END
+              FROM q JOIN e ON e.path = q.path AND e.n = q.n + 1)
+        SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS INT) AS pos, emitted AS kind FROM q WHERE emitted IS NOT NULL""",
     "d8_purge": _with(CHANGES)
     + """, own AS (SELECT seq, kind, source || CASE WHEN seq % 3 = 0 THEN '/x' ELSE '' END AS source FROM changes),
         purges AS (SELECT source AS folder, max(seq) AS purged FROM own WHERE kind IN ('DELETED', 'MOVED') GROUP BY 1)
-        SELECT kind, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM own e WHERE NOT EXISTS (SELECT 1 FROM purges p WHERE starts_with(e.source, p.folder || '/') AND e.seq < p.purged) GROUP BY kind""",
+        SELECT seq, kind, source FROM own e WHERE NOT EXISTS (SELECT 1 FROM purges p WHERE starts_with(e.source, p.folder || '/') AND e.seq < p.purged)""",
     "d6_moves": _with(CHANGES) + "SELECT seq, CASE WHEN seq % 6 = 0 THEN 'MOVED' WHEN seq % 2 = 0 THEN 'DELETED' ELSE 'CREATED' END AS kind FROM changes WHERE kind = 'MOVED' AND (seq % 2 = 0 OR seq % 3 = 0)",
     "f_strings": rf"""SELECT doc_id, source AS first, lang || CASE WHEN doc_id % 3 = 0 THEN '*' || source ELSE '' END AS merged,
         md5(array_to_string(list_slice(string_split(trim(regexp_replace(text, '[^\p{{L}}]+', ' ', 'g')), ' '), 1, 21), ' ')) AS normal,
@@ -247,7 +273,7 @@ SQL = {
     "a13_fallback_types": """SELECT DISTINCT p_type AS mime, CASE WHEN p_type LIKE 'PROMO %' THEN 'A,B' WHEN p_type LIKE '%STEEL' THEN 'C' ELSE 'Z,A' END AS types,
         'A' || CASE WHEN p_type LIKE 'PROMO %' THEN ',B' ELSE '' END || CASE WHEN p_type LIKE '%STEEL' THEN ',C' ELSE '' END || ',Z' AS all_types FROM part""",
     "p21_writers": _with(ELEMENTS) + "SELECT CASE class WHEN 'nfo:Image' THEN 'xmp' WHEN 'nmm:MusicPiece' THEN 'audio' WHEN 'nfo:Video' THEN 'audio' END AS module, count(*) AS n FROM el GROUP BY 1",
-    "d18_not_in_flight": "SELECT count(*) AS n FROM documents WHERE doc_id % 50 <> 7",
+    "d18_not_in_flight": _with(ELEMENTS) + "SELECT url, doc_id FROM el WHERE doc_id % 50 <> 7",
     "g_ranked_sources": """SELECT o_orderkey AS item, module, 'title' AS field, CASE WHEN module = 'png' THEN coalesce(xmp, exif, 'fallback') ELSE coalesce(exif, xmp, 'fallback') END AS value FROM (
         SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'png' ELSE 'jpeg' END AS module, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS xmp, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderstatus END AS exif FROM orders)""",
 }

@@ -1,18 +1,22 @@
 """Change events: collapsing, coalescing, in batch and as streams.
 
 The rules are data and plain functions of one key's state, shared by the batch
-form (groups in order) and the streaming form (state kept per key).
+form (sorted partitions, read once, with the state of one key) and the
+streaming form (state kept per key).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from sextant.functions.paths import ancestors, parent
 
@@ -53,20 +57,54 @@ def coalesce(queue: list[Event], event: Event) -> list[Event]:
 OUT = "key string, pos int, kind string, source string, destination string"
 
 
+def _sorted_runs(events: DataFrame, key: str, columns: list[str], schema: str, step: Callable[[list, tuple], tuple[list, list]], last: Callable[[list], list]) -> DataFrame:
+    """Replays each key's events in order of ``seq``; only the state of one key is held at a time.
+
+    step: (state, event) to (state, rows that are final); last: what is left in a state at the end.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, pos, out = object(), [], 0, []
+
+        def emit(rows: list[tuple]) -> None:
+            nonlocal pos
+            for row in rows:
+                out.append((current, pos, *row))
+                pos += 1
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * len(arrow), arrow, strict=True)], schema=arrow)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for own, *event in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != current:
+                    emit(last(state))
+                    current, state, pos = own, [], 0
+                state, final = step(state, tuple(event))
+                emit(final)
+            yield flush()
+        emit(last(state))
+        yield flush()
+
+    return events.select(key, *columns, "seq").repartition(key).sortWithinPartitions(key, "seq").select(key, *columns).mapInArrow(run, schema)
+
+
 def coalesce_batch(events: DataFrame) -> DataFrame:
-    """``key, pos, kind, source, destination`` of events (key, seq, kind, source, destination, attributes_only)."""
+    """``key, pos, kind, source, destination`` of events (key, seq, kind, source, destination, attributes_only).
 
-    def run(keys: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queue: list[Event] = []
-        for part in parts:
-            for e in part.itertuples(index=False):
-                queue = coalesce(queue, (e.kind, e.source, e.destination or "", bool(e.attributes_only)))
-        yield pd.DataFrame([(keys[0], i, *e[:3]) for i, e in enumerate(queue)], columns=["key", "pos", "kind", "source", "destination"])
+    A later event changes the last entry of a queue, and only two moves that
+    undo each other uncover the one before, so entries before these are final.
+    """
 
-    def whole(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return next(run(keys, iter([part.sort_values("seq")])))
+    def step(queue: list[Event], e: tuple) -> tuple[list[Event], list[tuple]]:
+        kind, source, destination, attributes_only = e
+        queue = coalesce(queue, (kind, source, destination or "", bool(attributes_only)))
+        return queue[-2:], [x[:3] for x in queue[:-2]]
 
-    return events.groupBy("key").applyInPandas(whole, OUT)
+    return _sorted_runs(events, "key", ["kind", "source", "destination", "attributes_only"], OUT, step, lambda queue: [x[:3] for x in queue])
 
 
 def coalesce_stream(events: DataFrame, idle_ms: int = 2000) -> DataFrame:
@@ -110,15 +148,11 @@ def collapse(pending: str | None, kind: str) -> tuple[str | None, list[str]]:
 def collapse_batch(events: DataFrame) -> DataFrame:
     """``path, pos, kind`` of monitor events (path, seq, kind), what is held at the end included."""
 
-    def run(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        pending, out = None, []
-        for kind in part.sort_values("seq")["kind"]:
-            pending, emitted = collapse(pending, kind)
-            out += emitted
-        out += [pending] if pending else []
-        return pd.DataFrame({"path": [keys[0]] * len(out), "pos": range(len(out)), "kind": out})
+    def step(state: list[str], e: tuple) -> tuple[list[str], list[tuple]]:
+        pending, emitted = collapse(state[0] if state else None, e[0])
+        return [pending] if pending else [], [(k,) for k in emitted]
 
-    return events.groupBy("path").applyInPandas(run, "path string, pos int, kind string")
+    return _sorted_runs(events, "path", ["kind"], "path string, pos int, kind string", step, lambda state: [(k,) for k in state])
 
 
 def collapse_stream(events: DataFrame, idle_ms: int = 2000) -> DataFrame:

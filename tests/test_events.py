@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import time
 
 import pytest
@@ -39,6 +40,31 @@ def test_collapse():
     assert run(["CHANGED", "MOVED_OUT"]) == (["CHANGED", "MOVED_OUT"], None)
 
 
+def test_replay_of_a_hot_key(spark):
+    """Against whole queues and lists kept in memory, with one key that holds most events."""
+    rng = random.Random(8)
+    places = ["/a", "/b", "/c"]
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.choice(["CREATED", "UPDATED", "MOVED", "DELETED"]), rng.choice(places), rng.choice(places), rng.random() < 0.5) for i in range(3000)]
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "key string, seq long, kind string, source string, destination string, attributes_only boolean")
+    expected = []
+    for key in ("hot", "x", None):
+        queue = []
+        for r in rows:
+            if r[0] == key:
+                queue = events.coalesce(queue, (*r[2:5], r[5]))
+        expected += [(key, i, *e[:3]) for i, e in enumerate(queue)]
+    assert sorted(map(tuple, events.coalesce_batch(frame).collect()), key=str) == sorted(expected, key=str)
+    kinds = ["CREATED", "CHANGED", "ATTRIBUTE_CHANGED", "CHANGES_DONE", "DELETED", "MOVED_OUT"]
+    monitor = [(r[0], r[1], rng.choice(kinds)) for r in rows]
+    expected = []
+    for key in ("hot", "x", None):
+        out, pending = run([k for p, _, k in monitor if p == key])
+        expected += [(key, i, k) for i, k in enumerate(out + ([pending] if pending else []))]
+    got = events.collapse_batch(spark.createDataFrame(monitor, "path string, seq long, kind string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+    assert events.coalesce_batch(frame.limit(0)).count() == 0
+
+
 def stream(spark, tmp_path, frame, rows, schema, name):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -81,3 +81,12 @@ def test_globs(spark):
     assert value(spark, F.col("x").rlike(paths.glob_regex("[a]*")), x="a") is False
     assert value(spark, F.rlike(F.col("x"), paths.glob_column(F.col("g"))), x="a.b+c", g="a.?+*") is True
     assert value(spark, paths.is_under(F.col("x"), F.lit("/a/b")), x="/a/bc") is False
+
+
+def test_marks_words_and_snippets(spark):
+    row = spark.createDataFrame([("Ệrable Łódź e\u0301t the Éclair of the OTHER thé",)], "t string").select(
+        strings.unaccent(F.col("t")).alias("u"), strings.tokens(F.col("t"), stop=["the"]).alias("w"), strings.snippet(F.col("t"), ["éclair", "zzz"], before=3, length=9).alias("s"), strings.snippet(F.col("t"), ["he"], before=0, length=4).alias("n")
+    ).first()
+    assert row.u == "erable łodz et the eclair of the other the"
+    assert row.w == ["erable", "łodz", "et", "eclair", "of", "other"]
+    assert "Éclair"[:3] in row.s and row.n == "Ệrab"  # not inside other words
