@@ -3,6 +3,12 @@
 Each stage reads what the one before kept, written as Parquet.  All but the
 last return the columns of documents; the last returns ``doc_id``, the piece
 numbers and the n best alternatives of every document that is left.
+
+Null texts count as empty ones in every stage: they score 0 for toxicity, are
+copies of each other, hold no benchmark item and have no pieces.  A document
+without an id is a document like others.  Repeated rows are copies, so one
+stays; empty tables give empty results; columns beside those of documents are
+carried through to the last stage.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id`` and the piece numbers, score and alternatives of every document that is left."""
     return pieces.encode_pieces(docs)
 
 
@@ -49,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result but the last is written and read again."""
+    """Applies the stages to documents; each result but the last is written to the shared folder and read again."""
     docs = load(spark, sf_dir, "documents")
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
