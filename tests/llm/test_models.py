@@ -193,3 +193,24 @@ def test_pipeline(spark):
             assert left.join(before.select("doc_id"), "doc_id", "left_anti").isEmpty()
     assert docs.count() > seen[0] > seen[1] >= seen[2] > seen[3] == seen[4]
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == {r.doc_id for r in left.select("doc_id").collect()}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, extra columns and empty tables, against what each stage must do by hand."""
+    text = "the quick brown fox jumps over the lazy dog while seven wizards brew ample potions near the quiet river bank at dawn"
+    more = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text), (2, text), (3, None), (4, ""), (None, more), (5, more + " end"), (6, "a scoundrel. " * 3), (7, "plain words here"), (8, "x y z " * 50_000)]
+    columns = "doc_id long, text string"
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 1) for r in rows], columns + ", lang string, source string, n_chars long, label int")
+    labels = [(100 + i, int(i % 2 == 0)) for i in range(200)]
+    teach = spark.createDataFrame([(i, f"{'a scoundrel' if y else 'a friend'} said word{i}.", "en", "s", 9, 1) for i, y in labels], docs.schema)
+    docs.unionByName(teach).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "seven wizards brew ample potions near the quiet river bank"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id is None or r.doc_id < 100}
+    # 1 and 2 hold an item, 3 is a copy of 4, the document without an id a near copy of 5, and 6 is toxic.
+    assert left == {4, 5, 7, 8}
+    empty = corpus_pipeline.STAGES[0][1](spark, docs.limit(0), str(tmp_path))
+    for _, step in corpus_pipeline.STAGES[1:]:
+        empty = step(spark, empty, str(tmp_path))
+    assert empty.count() == 0
