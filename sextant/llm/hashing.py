@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Odd multipliers; two hashes with different ones are independent.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Texts are hashed together up to this many bytes; a longer text stands alone.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 #: ASCII letters, digits and _, and all bytes of other characters, make words.
 IN_WORD = np.zeros(256, bool)

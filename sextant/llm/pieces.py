@@ -39,9 +39,9 @@ PENALTY = 10.0
 #: Words of more characters go through the lattice one by one.
 LONG = 48
 #: Words remembered from one batch of texts to the next.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Texts encoded together.
-TEXTS = 1024
+TEXTS = 512
 
 
 @dataclass
