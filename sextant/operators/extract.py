@@ -15,6 +15,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sextant.functions.paths import base_name, glob_regex
+
 #: Bytes of text kept of a file, and bytes read of an audio file and a page description.
 TEXT_BYTES, AUDIO_BYTES, PS_BYTES = 1 << 20, 5 << 20, 20 << 20
 PLAYLIST_ROWS = 1000
@@ -169,6 +172,13 @@ def read_gif(data: bytes) -> Found:
     return ["nfo:Image", "nmm:Photo"], props, None
 
 
+def read_bmp(data: bytes) -> Found:
+    if data[:2] != b"BM":
+        raise ValueError("not a BMP file")
+    width, height = struct.unpack_from("<II", data, 18)
+    return ["nfo:Image", "nmm:Photo"], {"nfo:width": str(width), "nfo:height": str(height)}, None
+
+
 def read_jpeg(data: bytes) -> Found:
     """Size from the frame header, the comment segment, and EXIF strings."""
     if data[:2] != b"\xff\xd8":
@@ -347,6 +357,7 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"image/vnd\.microsoft\.icon", "Pictures", read_icon, "icon1"),
     (r"image/png", "Pictures", read_png, "png1"),
     (r"image/gif", "Pictures", read_gif, "gif1"),
+    (r"image/(x-ms-)?bmp", "Pictures", read_bmp, "bmp1"),
     (r"image/jpeg", "Pictures", read_jpeg, "jpeg1"),
     (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp31"),
     (r"text/.*", "Documents", read_text, "text1"),
@@ -375,6 +386,13 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "mime", "content").mapInArrow(run, SCHEMA)
 
 
+def allowed_text(found: DataFrame, globs: list[str]) -> DataFrame:
+    """Plain texts keep their text only if a glob allows the file's name; it is empty otherwise."""
+    plain = F.col("mime").isin("text/plain", "text/markdown") & F.col("error").isNull()
+    fine = reduce(lambda a, g: a | base_name(F.col("path")).rlike(glob_regex(g)), globs, F.lit(False))
+    return found.withColumn("text", F.when(plain & ~fine, F.lit("")).otherwise(F.col("text")))
+
+
 # Formats that need no Python.
 
 
