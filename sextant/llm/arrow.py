@@ -11,6 +11,17 @@ from pyspark.sql.types import StructType
 
 #: Rows turned into Arrow at a time; texts are long, so this stays small.
 ROWS = 512
+#: Bytes of rows that go to a worker at once, where the session sets no bound of its own.
+BATCH_BYTES = 4 << 20
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH_BYTES, so that long texts fill neither the worker nor the executor's buffers."""
+    conf = df.sparkSession.conf
+    if conf.get(SETTING, None) is None:
+        conf.set(SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
 
 
 def map_rows(df: DataFrame, each: Callable[..., Iterable[tuple]], schema: StructType | str) -> DataFrame:
@@ -37,4 +48,4 @@ def map_rows(df: DataFrame, each: Callable[..., Iterable[tuple]], schema: Struct
         if out:
             yield flush()
 
-    return df.mapInArrow(run, kind)
+    return map_batches(df, run, kind)

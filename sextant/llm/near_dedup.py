@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrow import map_batches
 from .components import merge_labels
 from .hashing import batches, mix, shingle_hashes
 from .staging import load, small, stage, text_hash, without_unkept
@@ -101,7 +102,7 @@ def sketch_table(docs: DataFrame, words: int, count: int, picks: int) -> DataFra
             signed = found.view(np.int64)
             yield _rows(schema, [*[[k[i] for k in keys] for i in range(3)], n, list(digests(hashes, bounds).view(np.int64)), [s if h else [] for s, h in zip(signed, have, strict=True)]])
 
-    return docs.mapInArrow(run, "doc_id long, row long, text_hash long, n long, same array<long>, sketches array<long>")
+    return map_batches(docs, run, "doc_id long, row long, text_hash long, n long, same array<long>, sketches array<long>")
 
 
 def digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -125,7 +126,7 @@ def sequence_table(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), lists], names=["node", "seq"]).filter(pa.array(fits))
 
-    return docs.mapInArrow(run, "node long, seq array<long>")
+    return map_batches(docs, run, "node long, seq array<long>")
 
 
 def common_in_order(a: list[int], b: list[int], band: int) -> int:
@@ -190,7 +191,7 @@ def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("left")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return map_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
 def near_groups(

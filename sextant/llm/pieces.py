@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .arrow import map_batches
 from .hashing import mix
 from .staging import load
 
@@ -389,7 +390,7 @@ def encode_pieces(
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     more = ", decoded_sha256 string" if check else ""
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>, score double, ids_sha256 string, alternatives {CHANGES}{more}")
+    return map_batches(docs.select(id_col, text_col), run, f"doc_id {id_type.simpleString()}, ids array<int>, score double, ids_sha256 string, alternatives {CHANGES}{more}")
 
 
 def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -408,7 +409,7 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "id
             texts = [decode(ids or [], spelling) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow_id), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, text string")
+    return map_batches(encoded.select(id_col, ids_col), run, f"doc_id {id_type.simpleString()}, text string")
 
 
 def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

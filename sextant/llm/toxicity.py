@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import map_rows
+from .arrow import map_batches, map_rows
 from .staging import load, stage
 
 SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+(?=\s|\Z)|[.!?]+|\n|\Z)")
@@ -178,7 +178,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             kept = [score(t or "", model, 2.0)[0] < threshold for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
