@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sextant.functions.paths import base_name, glob_regex
+from sextant.operators import overlays
 
 #: Bytes of text kept of a file, and bytes read of an audio file and a page description.
 TEXT_BYTES, AUDIO_BYTES, PS_BYTES = 1 << 20, 5 << 20, 20 << 20
@@ -180,10 +181,11 @@ def read_bmp(data: bytes) -> Found:
 
 
 def read_jpeg(data: bytes) -> Found:
-    """Size from the frame header, the comment segment, and EXIF strings."""
+    """Size from the frame header; the comment segment, EXIF, XMP and IPTC by their ranks."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    props, at = {}, 2
+    props, comment, at = {}, None, 2
+    e, i, x = {}, {}, {}
     while at + 4 <= len(data) and data[at] == 0xFF:
         mark, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
@@ -191,30 +193,27 @@ def read_jpeg(data: bytes) -> Found:
             height, width = struct.unpack_from(">HH", body, 1)
             props |= {"nfo:width": str(width), "nfo:height": str(height)}
         elif mark == 0xFE:
-            props["nie:comment"] = valid_prefix(body)
+            comment = valid_prefix(body)
         elif mark == 0xE1 and body[:6] == b"Exif\0\0":
-            props |= _exif(body[6:])
+            e = overlays.exif(body[6:])
+        elif mark == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
+            x = overlays.xmp(body.partition(b"\0")[2])
+        elif mark == 0xED and body.startswith(b"Photoshop 3.0\0"):
+            i = overlays.photoshop(body)
         elif mark == 0xDA:
             break
         at += 2 + size
-    return ["nfo:Image", "nmm:Photo"], props, None
+    return ["nfo:Image", "nmm:Photo"], overlays.image_properties(e, i, x, comment) | props, None
 
 
-def _exif(tiff: bytes) -> dict[str, str]:
-    """Strings and orientation of the first directory."""
-    order = "<" if tiff[:2] == b"II" else ">"
-    names = {0x010E: "nie:description", 0x010F: "nfo:manufacturer", 0x0110: "nfo:model", 0x013B: "nco:creator", 0x8298: "nie:copyright", 0x0132: "nie:contentCreated"}
-    out: dict[str, str] = {}
-    at = struct.unpack_from(order + "I", tiff, 4)[0]
-    for i in range(struct.unpack_from(order + "H", tiff, at)[0]):
-        tag, kind, count, value = struct.unpack_from(order + "HHI4s", tiff, at + 2 + 12 * i)
-        if tag in names and kind == 2:
-            start = struct.unpack(order + "I", value)[0]
-            text = value[:count] if count <= 4 else tiff[start : start + count]
-            out[names[tag]] = text.rstrip(b"\0 ").decode("utf-8", "replace")
-        elif tag == 0x0112 and kind == 3:
-            out["nfo:orientation"] = str(struct.unpack_from(order + "H", value)[0])
-    return out
+def read_tiff(data: bytes) -> Found:
+    """Size from the first directory; EXIF, IPTC and XMP from their tags."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        raise ValueError("not a TIFF file")
+    main = overlays.directory(data, struct.unpack_from("<I" if data[:2] == b"II" else ">I", data, 4)[0])
+    size = {p: str(int(n[0])) for p, t in (("nfo:width", 0x0100), ("nfo:height", 0x0101)) if (n := overlays.numbers(data, main.get(t)))}
+    i, x = (main.get(t, (7, b""))[1] for t in (overlays.IPTC_TAG, overlays.XMP_TAG))
+    return ["nfo:Image", "nmm:Photo"], overlays.image_properties(overlays.exif(data), overlays.iptc(i), overlays.xmp(x)) | size, None
 
 
 # ID3 frames and the properties they are.
@@ -224,13 +223,14 @@ ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
 def read_mp3(data: bytes) -> Found:
-    """ID3v2 frames first, then what ID3v1 adds."""
+    """ID3v2 frames first, then what ID3v1 adds; rates and seconds from the audio frames."""
     props: dict[str, str] = {}
+    whole, start = len(data), 0
     tail = data[-128:] if data[-128:][:3] == b"TAG" else b""
     data = data[:AUDIO_BYTES]
     if data[:3] == b"ID3":
         version, size = data[3], sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[6:10]))
-        at, name_size = 10, 3 if version == 2 else 4
+        at, name_size, start = 10, 3 if version == 2 else 4, 10 + size
         while at + name_size < 10 + size and data[at]:
             name = data[at : at + name_size].decode("latin-1")
             if version == 2:
@@ -249,6 +249,11 @@ def read_mp3(data: bytes) -> Found:
                 props.setdefault(prop, value)
         if tail[125] == 0 and tail[126]:
             props.setdefault("nmm:trackNumber", str(tail[126]))
+        if tail[127] < len(overlays.GENRES):
+            props.setdefault("nfo:genre", overlays.GENRES[tail[127]])
+    if "nfo:genre" in props:
+        props["nfo:genre"] = overlays.genre(props["nfo:genre"])
+    props |= overlays.audio_properties(data, start, whole)
     return ["nfo:Audio", "nmm:MusicPiece"], {k: v for k, v in props.items() if v}, None
 
 
@@ -358,8 +363,9 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"image/png", "Pictures", read_png, "png1"),
     (r"image/gif", "Pictures", read_gif, "gif1"),
     (r"image/(x-ms-)?bmp", "Pictures", read_bmp, "bmp1"),
-    (r"image/jpeg", "Pictures", read_jpeg, "jpeg1"),
-    (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp31"),
+    (r"image/jpeg", "Pictures", read_jpeg, "jpeg2"),
+    (r"image/tiff", "Pictures", read_tiff, "tiff1"),
+    (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp32"),
     (r"text/.*", "Documents", read_text, "text1"),
     (r".*", "FileSystem", read_nothing, "none1"),
 ]
@@ -421,6 +427,11 @@ def cue_tracks(files: DataFrame) -> DataFrame:
     return rows.join(nxt, ["path", "track"], "left").select("path", "track", "title", "start", (F.col("next") - F.col("start")).alias("duration"))
 
 
+def cue_track_count(files: DataFrame) -> DataFrame:
+    """``path, tracks`` of cue sheets (path, text)."""
+    return files.select("path", (F.size(F.split("text", r"\n\s*TRACK ")) - 1).cast("long").alias("tracks"))
+
+
 def _little(content: Column, at: int) -> Column:
     return F.conv(F.concat(*[F.hex(F.substring(content, at + k, 1)) for k in (3, 2, 1, 0)]), 16, 10).cast("long")
 

@@ -23,6 +23,23 @@ def crawl_needed(interval: Column, clean_stop: Column, days_since: Column) -> Co
     return F.when(interval == -2, False).when(interval == -1, ~clean_stop).when(interval == 0, True).otherwise(days_since >= interval)
 
 
+def over_limit(folders: DataFrame, limit: int) -> DataFrame:
+    """``root, folders, over``: whether a root has more folders than can be watched, so that it is crawled first (root, folder)."""
+    return folders.groupBy("root").agg(F.count_distinct("folder").alias("folders")).withColumn("over", F.col("folders") > limit)
+
+
+def stale(removable: Column, unmounted: Column, now: Column, days: int) -> Column:
+    """Whether a removable volume has been away for more than so many days; 0: never."""
+    if days == 0:
+        return F.lit(False)
+    return F.coalesce(removable & (unmounted < now - F.make_dt_interval(F.lit(days))), F.lit(False))
+
+
+def network_allows(kind: Column) -> Column:
+    """Feeds are fetched over a local network only; an unknown one doesn't count as such."""
+    return F.coalesce(F.lower(kind) == "lan", F.lit(False))
+
+
 def order_roots(roots: DataFrame) -> DataFrame:
     """``root, place`` of roots (root, priority, added): priority roots come first, the last added of them at the front."""
     once = roots.groupBy("root").agg(F.max("priority").alias("priority"), F.min("added").alias("added"))

@@ -639,6 +639,26 @@ def _(s, d):
     return policy.order_roots(n.select(F.concat(F.lit("/"), F.col("n_name")).alias("root"), (F.col("n_regionkey") == 2).alias("priority"), F.col("n_nationkey").alias("added")))
 
 
+@query("a4_monitor_limit")
+def _(s, d):
+    t = store.tree(s, d)
+    return policy.over_limit(t.select(F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))).alias("root"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")), 4)
+
+
+@query("d24_stale_volumes")
+def _(s, d):
+    v, now = store.volumes(s, d), F.lit("2024-01-15 00:00:00").cast("timestamp")
+    away = lambda days: policy.stale(F.col("is_removable"), F.col("unmount_date"), now, days)
+    return v.select("urn", away(3).alias("after_3_days"), away(10).alias("after_10_days"), away(0).alias("never"))
+
+
+@query("d33_network_gate")
+def _(s, d):
+    n = store.table(s, d, "nation")
+    kind = F.element_at(F.array(F.lit("LAN"), F.lit("gprs"), F.lit(None), F.lit("lan")), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return n.select("n_name", policy.network_allows(kind).alias("fetch"))
+
+
 @query("q26_edit_roots")
 def _(s, d):
     r = store.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))

@@ -152,6 +152,10 @@ SQL = {
     "s7_channel_scan": _with(FEEDS) + "SELECT urn, title, greatest(update_interval, 1) AS minutes FROM channels WHERE urn IN ('urn:channel:1', 'urn:channel:2')",
     "s8_volumes": _with(VOLUMES) + "SELECT * FROM vol",
     "s11_sidecars": _with(ELEMENTS) + "SELECT url, regexp_replace(url, '[.]txt$', '.xmp') AS sidecar FROM el WHERE doc_id % 3 = 0",
+    "a4_monitor_limit": _with(TREE) + "SELECT '/' || r_name AS root, count(DISTINCT n_name) AS folders, count(DISTINCT n_name) > 4 AS over FROM tree GROUP BY r_name",
+    "d24_stale_volumes": _with(VOLUMES)
+    + """SELECT urn, coalesce(is_removable AND unmount_date < TIMESTAMP '2024-01-12', false) AS after_3_days, coalesce(is_removable AND unmount_date < TIMESTAMP '2024-01-05', false) AS after_10_days, false AS never FROM vol""",
+    "d33_network_gate": "SELECT n_name, n_nationkey % 4 IN (0, 3) AS fetch FROM nation",
     "s12_cue_lookup": _with(ELEMENTS)
     + f"""SELECT url, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(url, '[.]txt$', '.cue') ELSE min(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(url, '[.]txt$', '.cue') END) OVER (PARTITION BY container) END AS cue
           FROM el WHERE class = '{CLASSES[2]}'""",
