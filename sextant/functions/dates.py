@@ -99,3 +99,33 @@ def page_description(c: Column) -> Column:
 def remaining(elapsed: Column, done: Column, left: Column) -> Column:
     """Estimated seconds left, 0 if unknown."""
     return F.when((elapsed > 0) & (done > 0) & (left > 0), F.floor(elapsed / done * left)).otherwise(F.lit(0)).cast("long")
+
+
+def completed(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column, offset: Column) -> Column:
+    """ISO form of a date known in part; null without a year.
+
+    Missing parts are the least ones; hour, minute and zone only count
+    together.  The zone is written in whole hours.
+    """
+    timed = hour.isNotNull() & minute.isNotNull()
+    zone = F.when(timed, F.coalesce(offset, F.lit(0))).otherwise(F.lit(0))
+    two = lambda c, least=0: F.lpad(F.coalesce(c.cast("int"), F.lit(least)).cast("string"), 2, "0")
+    date = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(month, 1), F.lit("-"), two(day, 1), F.lit("T"))
+    clock = F.concat(two(F.when(timed, hour)), F.lit(":"), two(F.when(timed, minute)), F.lit(":"), two(second))
+    return F.concat(date, clock, F.when(zone < 0, "-").otherwise("+"), two(F.abs(zone)), F.lit(":00"))
+
+
+def formatted(c: Column, form: str, zone: str = "UTC") -> Column:
+    """ISO form with the offset of ``zone`` at that time, of a text by a pattern without a zone; null if it doesn't fit."""
+    local = F.try_to_timestamp(c, F.lit(form))
+    minutes = (F.unix_seconds(local) - F.unix_seconds(F.to_utc_timestamp(local, zone))) / 60
+    two = lambda v: F.lpad(F.floor(v).cast("string"), 2, "0")
+    return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.when(minutes < 0, "-").otherwise("+"), two(F.abs(minutes) / 60), two(F.abs(minutes) % 60))
+
+
+def rfc1123(c: Column) -> Column:
+    """ISO form of ``Tue, 22 May 2007 18:07:10 GMT`` or with a numeric zone; null for others."""
+    form = r"^\w{3}, (\d{1,2}) (\w{3}) (\d{4}) (\d\d:\d\d:\d\d) (GMT|[+-]\d{4})$"
+    part = lambda k: F.regexp_extract(c, form, k)
+    zone = F.when(part(5) == "GMT", "+0000").otherwise(part(5))
+    return F.when(c.rlike(form), F.concat(part(3), F.lit("-"), _month(part(2)), F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), zone))

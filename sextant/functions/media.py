@@ -94,3 +94,21 @@ def synchsafe(b: Column) -> Column:
     """Four bytes of seven bits each."""
     byte = lambda k: F.conv(F.hex(F.substring(b, k, 1)), 16, 10).cast("long")
     return byte(1) * 2097152 + byte(2) * 16384 + byte(3) * 128 + byte(4)
+
+
+def region_index(path: Column) -> Column:
+    """Which region of its list a property path belongs to, from 1 on; -1 for none."""
+    return F.coalesce(F.regexp_extract(path, r"RegionList\[(\d+)\]", 1).try_cast("int"), F.lit(-1))
+
+
+# Media server profiles of JPEG images by greatest width and height.
+JPEG_PROFILES = (("JPEG_SM", 640, 480), ("JPEG_MED", 1024, 768), ("JPEG_LRG", 4096, 4096))
+
+
+def image_profile(mime: Column, width: Column, height: Column, depth: Column) -> Column:
+    """Media server profile of a JPEG or PNG image; null beyond all of them."""
+    within = lambda w, h: (width <= w) & (height <= h)
+    jpeg = F.coalesce(*[F.when(within(w, h), F.lit(name)) for name, w, h in JPEG_PROFILES])
+    icon = lambda size: (width == size) & (height == size)
+    png = F.when(icon(120), "PNG_LRG_ICO").when(icon(48), "PNG_SM_ICO").when(within(160, 160), "PNG_TN").when((depth <= 32) & within(4096, 4096), "PNG_LRG")
+    return F.when(mime == "image/jpeg", jpeg).when(mime == "image/png", png)

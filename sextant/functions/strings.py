@@ -132,3 +132,17 @@ def snippet(c: Column, terms: list[str], before: int = 20, length: int = 60) ->
 
 def urn_escape(c: Column) -> Column:
     return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
+def octal_triplets(c: Column) -> Column:
+    r"""Bytes written as ``\303\230`` put back; what isn't UTF-8 then becomes U+FFFD."""
+    digit = lambda t, k: F.substring(t, k, 1).try_cast("int")
+    byte = lambda t: F.lpad(F.hex(digit(t, 2) * 64 + digit(t, 3) * 8 + digit(t, 4)), 2, "0")
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)\\[0-3][0-7][0-7]|[^\\]+|\\"), F.lit(0))
+    hexed = F.transform(parts, lambda t: F.when(t.rlike(r"^\\[0-3]"), byte(t)).otherwise(F.hex(t)))
+    return F.make_valid_utf8(F.unhex(F.array_join(hexed, "")).cast("string"))
+
+
+def index_in(c: Column, values: list[str]) -> Column:
+    """Place of a string in a list, in any case, from 0 on; -1 if it isn't there."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(v.lower()) for v in values]), F.lower(c)) - 1, F.lit(-1)).cast("long")

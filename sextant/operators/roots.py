@@ -75,3 +75,23 @@ def dispatch(mimes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     allowed = F.expr("mime RLIKE allow_regex AND NOT coalesce(mime RLIKE block_regex, false)")
     return mimes.select("mime").distinct().join(few(rules), allowed).groupBy("mime").agg(F.min_by("module", "rule_order").alias("module"))
+
+
+def to_visit(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """``root, path`` of the folders that a crawl lists; folders: path, mount; roots: root, recursive, ignored.
+
+    The root itself, and the folders of a recursive one down to the mount
+    points in it; what lies below another root belongs to that root.
+    """
+    held = longest_root(folders, roots).join(roots.where("NOT ignored").select("root", "recursive"), "root")
+    mounts = folders.where("mount").select(F.col("path").alias("up"))
+    up = held.select("root", "path", F.explode(ancestors(F.col("path"))).alias("up")).where(is_under(F.col("up"), F.col("root")))
+    barred = up.join(mounts, "up", "left_semi").select("path").distinct()
+    return held.where((F.col("path") == F.col("root")) | F.col("recursive")).join(barred, "path", "left_anti").select("root", "path")
+
+
+def without_ignored(stored: DataFrame, roots: DataFrame) -> DataFrame:
+    """``stored`` (path, ...) without all that lies in ignored roots; preserved ones stay as they are (root, ignored, preserved)."""
+    gone = roots.where("ignored AND NOT preserved").select(F.col("root").alias("_up"))
+    below = stored.select("path", F.explode(ancestors(F.col("path"))).alias("_up")).join(gone, "_up", "left_semi").select("path").distinct()
+    return stored.join(below, "path", "left_anti").select(stored.columns)

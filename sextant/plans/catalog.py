@@ -698,6 +698,63 @@ def _(s, d):
     return policy.ranked(values, ranks)
 
 
+@query("f_partial_dates")
+def _(s, d):
+    at, known = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    part = lambda k, f: F.when(known >= k, f(at))
+    offset = F.element_at(F.array(F.lit(2.0), F.lit(-5.5), F.lit(0.0)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    text = dates.completed(F.when(F.col("o_orderkey") % 11 != 0, F.year(at)), part(1, F.month), part(2, F.dayofmonth), part(3, F.hour), part(3, F.minute), part(4, F.second), offset)
+    return store.table(s, d, "orders").select("o_orderkey", text.alias("date"))
+
+
+@query("f_formatted_dates")
+def _(s, d):
+    at = F.col("o_orderdate")
+    form = "dd/MM/yyyy HH:mm:ss"
+    text = F.when(F.col("o_orderkey") % 3 == 0, "no date").otherwise(F.date_format(at, form))
+    mail = F.concat(F.date_format(at, "EEE, d MMM yyyy HH:mm:ss "), F.when(F.col("o_orderkey") % 2 == 0, "GMT").otherwise("-0300"))
+    return store.table(s, d, "orders").select("o_orderkey", dates.formatted(text, form, "Asia/Kolkata").alias("date"), dates.rfc1123(mail).alias("mail_date"))
+
+
+@query("f_octal_triplets")
+def _(s, d):
+    text = F.concat(F.col("c_name"), F.lit("\\303\\230"), F.col("c_mktsegment"), F.lit("\\400\\"))
+    return store.table(s, d, "customer").select("c_custkey", strings.octal_triplets(text).alias("text"))
+
+
+@query("f_list_index")
+def _(s, d):
+    return store.table(s, d, "nation").select("n_name", strings.index_in(F.initcap("n_name"), ["India", "BRAZIL", "france", "india"]).alias("place"))
+
+
+@query("f_image_profiles")
+def _(s, d):
+    p = store.table(s, d, "part")
+    mime = F.when(F.col("p_partkey") % 2 == 0, "image/jpeg").otherwise("image/png")
+    side = F.when(F.col("p_size") == 7, 120).when(F.col("p_size") == 8, 48).otherwise(F.col("p_size") * F.col("p_size") * 2)
+    path = F.concat(F.lit("mwg-rs:Regions/mwg-rs:RegionList"), F.when(F.col("p_size") > 5, F.concat(F.lit("["), F.col("p_size"), F.lit("]"))).otherwise(""), F.lit("/mwg-rs:Area"))
+    return p.select("p_partkey", media.image_profile(mime, side, side, F.lit(24)).alias("profile"), media.region_index(path).cast("long").alias("region"))
+
+
+@query("d4_folders_to_visit")
+def _(s, d):
+    n = store.table(s, d, "nation").join(store.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    top, inner = F.concat(F.lit("/"), F.col("r_name")), F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))
+    deepest = F.explode(F.transform(F.array(F.lit("0"), F.lit("1"), F.lit("2")), lambda k: F.concat(inner, F.lit("/D"), k)))
+    folders = n.select(top.alias("path"), F.lit(False).alias("mount")).distinct().unionByName(n.select(inner.alias("path"), (F.col("n_nationkey") % 4 == 1).alias("mount"))).unionByName(n.select(deepest.alias("path"), F.lit(False).alias("mount")))
+    outer = n.select(top.alias("root"), (F.col("r_regionkey") != 0).alias("recursive"), (F.col("r_regionkey") == 4).alias("ignored")).distinct()
+    nested = n.where("n_nationkey % 7 = 6").select(inner.alias("root"), F.lit(True).alias("recursive"), F.lit(False).alias("ignored"))
+    return roots.to_visit(folders, outer.unionByName(nested))
+
+
+@query("d5_without_ignored")
+def _(s, d):
+    n = store.table(s, d, "nation").join(store.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    stored = n.select(F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name")).alias("path"), "n_nationkey")
+    configured = n.select(F.concat(F.lit("/"), F.col("r_name")).alias("root"), F.col("r_regionkey").isin(1, 2).alias("ignored"), (F.col("r_regionkey") == 2).alias("preserved")).distinct()
+    return roots.without_ignored(stored, configured)
+
+
 def queries() -> dict[str, Query]:
     return QUERIES | extraction.QUERIES
 

@@ -280,4 +280,19 @@ SQL = {
     "d18_not_in_flight": _with(ELEMENTS) + "SELECT url, doc_id FROM el WHERE doc_id % 50 <> 7",
     "g_ranked_sources": """SELECT o_orderkey AS item, module, 'title' AS field, CASE WHEN module = 'png' THEN coalesce(xmp, exif, 'fallback') ELSE coalesce(exif, xmp, 'fallback') END AS value FROM (
         SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'png' ELSE 'jpeg' END AS module, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS xmp, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderstatus END AS exif FROM orders)""",
+    "f_partial_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-') || CASE WHEN k >= 1 THEN strftime(o_orderdate, '%m-') ELSE '01-' END || CASE WHEN k >= 2 THEN strftime(o_orderdate, '%dT') ELSE '01T' END
+        || CASE WHEN k >= 3 THEN strftime(o_orderdate, '%H:%M:') ELSE '00:00:' END || CASE WHEN k >= 4 THEN strftime(o_orderdate, '%S') ELSE '00' END || CASE WHEN k < 3 THEN '+00:00' ELSE (['+02:00', '-05:00', '+00:00'])[o_orderkey % 3 + 1] END END AS date
+        FROM (SELECT *, o_orderkey % 5 AS k FROM orders)""",
+    "f_formatted_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+0530') END AS date,
+        strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN '+0000' ELSE '-0300' END AS mail_date FROM orders""",
+    "f_octal_triplets": "SELECT c_custkey, c_name || 'Ø' || c_mktsegment || '\\400\\' AS text FROM customer",
+    "f_list_index": "SELECT n_name, CAST(CASE n_name WHEN 'INDIA' THEN 0 WHEN 'BRAZIL' THEN 1 WHEN 'FRANCE' THEN 2 ELSE -1 END AS BIGINT) AS place FROM nation",
+    "f_image_profiles": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN side <= 480 THEN 'JPEG_SM' WHEN side <= 768 THEN 'JPEG_MED' WHEN side <= 4096 THEN 'JPEG_LRG' END
+            ELSE CASE WHEN side = 120 THEN 'PNG_LRG_ICO' WHEN side = 48 THEN 'PNG_SM_ICO' WHEN side <= 160 THEN 'PNG_TN' WHEN side <= 4096 THEN 'PNG_LRG' END END AS profile,
+        CAST(CASE WHEN p_size > 5 THEN p_size ELSE -1 END AS BIGINT) AS region FROM (SELECT *, CASE p_size WHEN 7 THEN 120 WHEN 8 THEN 48 ELSE p_size * p_size * 2 END AS side FROM part)""",
+    "d4_folders_to_visit": """WITH n AS (SELECT *, '/' || r_name AS top, '/' || r_name || '/' || n_name AS own, n_nationkey % 7 = 6 AS nested FROM nation JOIN region ON n_regionkey = r_regionkey),
+            f AS (SELECT own, own AS path, n.* EXCLUDE (own) FROM n UNION ALL SELECT own, own || '/D' || k AS path, n.* EXCLUDE (own) FROM n, (VALUES (0), (1), (2)) v(k))
+        SELECT '/' || r_name AS root, '/' || r_name AS path FROM region WHERE r_regionkey <> 4
+        UNION ALL SELECT CASE WHEN nested THEN own ELSE top END AS root, path FROM f WHERE nested OR (n_nationkey % 4 <> 1 AND n_regionkey NOT IN (0, 4))""",
+    "d5_without_ignored": "SELECT '/' || r_name || '/' || n_name AS path, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey <> 1",
 }
