@@ -108,3 +108,9 @@ def without_unkept(docs: DataFrame, id_col: str, text_col: str, groups: DataFram
     keys = stage(groups.groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "kept")
     keys_of = lambda which: keys.where(which).select("doc_id", "text_hash")
     return without_texts(docs, id_col, text_col, keys_of("NOT kept"), keys_of("kept AND n > 1"))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that stage() or a writer made, once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
