@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["html_extract", "secrets", "personal_data", "substring_dedup", "exact_dedup", "toxicity", "near_dedup", "pieces", "pseudo_likelihood", "decontaminate", "filter_audit", "centroids"]
+MODULES = ["html_extract", "secrets", "personal_data", "substring_dedup", "exact_dedup", "toxicity", "near_dedup", "pieces", "pseudo_likelihood", "decontaminate", "filter_audit", "centroids", "curves"]
 
 
 def _gather(name: str) -> dict:

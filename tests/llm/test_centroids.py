@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from hashlib import sha256
 from math import floor, inf, nan
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -76,11 +77,9 @@ def test_rounding_is_conservative():
     assert (up(x).astype(float) > x).all() and (down(x).astype(float) < x).all() and (down(x) >= 0.999 * x).all()
 
 
-def test_old_bounds_are_removed(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        state, _ = elkan(spark.createDataFrame([(k, [k / 7, k / 5]) for k in range(50)], "vec_id long, embedding array<double>"), k=3, rounds=4, dims=2)
-        assert state.count() == 50 and len(list(tmp_path.glob("sextant/bounds-*"))) == 1
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_old_bounds_are_removed(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "sextant"
+    bounds = lambda: set(folder.glob("bounds-*"))
+    before = bounds()
+    state, _ = elkan(spark.createDataFrame([(k, [k / 7, k / 5]) for k in range(50)], "vec_id long, embedding array<double>"), k=3, rounds=4, dims=2)
+    assert state.count() == 50 and len(bounds() - before) == 1
