@@ -17,7 +17,7 @@ gives back every text.
 from __future__ import annotations
 
 import hashlib
-import heapq
+from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -107,65 +107,77 @@ def read_vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """The lattice of one word with its forward Viterbi scores."""
+    """The lattice of one word with its forward Viterbi scores; its edges are numbers in flat lists, by end and start."""
 
     def __init__(self, word: str, vocabulary: Vocabulary):
-        ids, n = vocabulary.ids, len(word)
+        n = len(word)
         self.word, self.size = word, n
-        self.into: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (start, piece), -1: unknown
-        self.forward = [0.0] + [-np.inf] * n
-        self.back = [(0, 0)] * (n + 1)
-        for i in range(n):
-            # A mark that stands in the text is no word's beginning.
-            plain = i == 0 or word[i] != MARK
-            known = False
-            for end in range(i + 1, min(n, i + vocabulary.longest) + 1):
-                piece = ids.get(word[i:end]) if plain else None
-                if piece is not None:
-                    self._add(i, end, piece, vocabulary.scores[piece])
-                    known = known or end == i + 1
-            if not known:
-                self._add(i, i + 1, -1, vocabulary.unknown)
-
-    def _add(self, i: int, end: int, piece: int, score: float) -> None:
-        self.into[end].append((i, piece))
-        if self.forward[i] + score > self.forward[end]:
-            self.forward[end], self.back[end] = self.forward[i] + score, (i, piece)
-
-    def best(self) -> list[tuple[int, int]]:
-        """(start, piece) of the best segmentation, in order."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        # A mark that stands in the text is no word's beginning.
+        alive = np.flatnonzero((np.arange(n) == 0) | (codes != ord(MARK)))
+        h, known, found = np.zeros(len(alive), np.uint64), np.zeros(n, bool), []
+        for length in range(1, min(n, vocabulary.longest) + 1):
+            fits = alive + length <= n
+            alive, h = alive[fits], h[fits]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[alive + length - 1] + np.uint64(1)
+            piece = vocabulary.find(h)
+            hit = piece >= 0
+            if length == 1:
+                known[alive[hit]] = True
+            found.append((alive[hit] + length, alive[hit], piece[hit]))
+            alive, h = alive[piece > -2], h[piece > -2]
+        rest = np.flatnonzero(~known)  # -1: unknown
+        ends, starts, pieces = (np.concatenate(x) for x in zip(*found, (rest + 1, rest, np.full(len(rest), -1)), strict=True))
+        order = np.lexsort((starts, ends))
+        ends, pieces = ends[order], pieces[order]
+        self.first = np.searchsorted(ends, np.arange(n + 2)).tolist()  # of the edges into each place
+        # Views give Python numbers but hold a few bytes an edge.
+        self.ends, self.starts, self.pieces = (memoryview(x.astype(np.int32)) for x in (ends, starts[order], pieces))
+        self.scores = memoryview(vocabulary.score[pieces])
+        forward, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for edge, (start, end, score) in enumerate(zip(self.starts, self.ends, self.scores, strict=True)):
+            if forward[start] + score > forward[end]:
+                forward[end], back[end] = forward[start] + score, edge
+        self.forward, self.back = forward, back
+
+    def path(self) -> list[int]:
+        """Edges of the best segmentation, in order."""
         out, at = [], self.size
         while at:
             out.append(self.back[at])
-            at = self.back[at][0]
+            at = self.starts[out[-1]]
         return out[::-1]
 
-    def second(self, vocabulary: Vocabulary) -> float:
+    def best(self) -> list[tuple[int, int]]:
+        """(start, piece) of the best segmentation, in order."""
+        return [(self.starts[e], self.pieces[e]) for e in self.path()]
+
+    def second(self) -> float:
         """Score of the second best segmentation, -inf if there is one only."""
-        backward = [-np.inf] * self.size + [0.0]
-        for end in range(self.size, 0, -1):
-            for i, piece in self.into[end]:
-                backward[i] = max(backward[i], vocabulary.score[piece] + backward[end])
-        on, at = set(), self.size
-        while at:
-            on.add((self.back[at], at))
-            at = self.back[at][0]
-        rest = [self.forward[i] + vocabulary.score[piece] + backward[end] for end in range(1, self.size + 1) for i, piece in self.into[end] if ((i, piece), end) not in on]
-        return max(rest, default=-np.inf)
+        backward, on, most = [-np.inf] * self.size + [0.0], set(self.path()), -np.inf
+        for edge in range(len(self.ends) - 1, -1, -1):
+            start, after = self.starts[edge], self.scores[edge] + backward[self.ends[edge]]
+            backward[start] = max(backward[start], after)
+            if edge not in on:
+                most = max(most, self.forward[start] + after)
+        return most
 
 
-def n_best(lattices: list[Lattice], vocabulary: Vocabulary, n: int) -> list[tuple[float, list[list[tuple[int, int]]]]]:
+def n_best(lattices: list[Lattice], n: int) -> list[tuple[float, list[list[tuple[int, int]]]]]:
     """The n best segmentations of a chain of words, best first, as (score, (start, piece) of each word).
 
     Backward A*: a state is a place in the chain with the pieces behind it; its
-    forward score is exactly what the rest can still gain.
+    forward score is exactly what the rest can still gain.  So every state is
+    the beginning of a segmentation of just its score, and states after the n
+    first are never needed.  Of equal scores the latest state goes on, so ties
+    cost one step a piece.
     """
-    before = np.concatenate(([0.0], np.cumsum([x.forward[-1] for x in lattices])))
+    before = np.concatenate(([0.0], np.cumsum([x.forward[-1] for x in lattices]))).tolist()
     out: list = []
     tick = 0
-    heap: list = [(-before[-1], 0, 0.0, len(lattices) - 1, lattices[-1].size if lattices else 0, None)]
-    while heap and len(out) < n:
-        f, _, behind, k, at, pieces = heapq.heappop(heap)
+    states: list = [(-before[-1], 0, 0.0, len(lattices) - 1, lattices[-1].size if lattices else 0, None)]
+    while states and len(out) < n:
+        f, _, behind, k, at, pieces = states.pop(0)
         while k >= 0 and at == 0:
             k -= 1
             at = lattices[k].size if k >= 0 else 0
@@ -176,10 +188,16 @@ def n_best(lattices: list[Lattice], vocabulary: Vocabulary, n: int) -> list[tupl
                 path[word].append((start, piece))
             out.append((-f, path))
             continue
-        for start, piece in lattices[k].into[at]:
-            tick += 1
-            score = behind + vocabulary.score[piece]
-            heapq.heappush(heap, (-(score + before[k] + lattices[k].forward[start]), tick, score, k, start, (k, start, piece, pieces)))
+        lattice, room, base = lattices[k], n - len(out), behind + before[k]
+        low, high = lattice.first[at], lattice.first[at + 1]
+        worst = -states[-1][0] if len(states) >= room else -np.inf
+        for edge, (start, score) in enumerate(zip(lattice.starts[low:high], lattice.scores[low:high], strict=True), low):
+            tick -= 1
+            total = base + score + lattice.forward[start]
+            if total >= worst:
+                insort(states, (-total, tick, behind + score, k, start, (k, start, lattice.pieces[edge], pieces)))
+                del states[room:]
+                worst = -states[-1][0] if len(states) >= room else -np.inf
     return out
 
 
@@ -196,17 +214,18 @@ def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()
 
 
-def viterbi(words: list[str], vocabulary: Vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(packed piece numbers, score, cost of the second best) of each word."""
+def viterbi(words: list[str], vocabulary: Vocabulary) -> tuple[list[bytes], np.ndarray, np.ndarray, dict[str, Lattice]]:
+    """(packed piece numbers, score, cost of the second best) of each word, and the lattices of long words."""
     ids: list = [None] * len(words)
     best, cost = np.zeros(len(words)), np.full(len(words), np.inf)
     by_size: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_size.setdefault(len(w) if len(w) <= LONG and MARK not in w[1:] else 0, []).append(k)
+    lattices = {}
     for k in by_size.pop(0, []):
-        lattice = Lattice(words[k], vocabulary)
+        lattice = lattices[words[k]] = Lattice(words[k], vocabulary)
         best[k] = lattice.forward[-1]
-        cost[k] = best[k] - lattice.second(vocabulary)
+        cost[k] = best[k] - lattice.second()
         ids[k] = packed(spelled(lattice.best(), words[k], vocabulary))
     for size, members in by_size.items():
         codes = np.frombuffer("".join(words[k] for k in members).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(members), size).astype(np.uint64)
@@ -265,7 +284,7 @@ def viterbi(words: list[str], vocabulary: Vocabulary) -> tuple[list[bytes], np.n
         for r in np.flatnonzero(odd):
             path = [(int(a), int(b)) for a, b in table[:, r, used[r]].T]
             ids[members[r]] = packed(spelled(path, words[members[r]], vocabulary))
-    return ids, best, cost
+    return ids, best, cost, lattices
 
 
 def words_of(text: str) -> list[str]:
@@ -310,7 +329,8 @@ class Encoder:
         places = [[index.setdefault(w, len(index)) for w in ws] for ws in split]
         fresh = list(index)[before:]
         if fresh:
-            ids, best, cost = viterbi(fresh, self.vocabulary)
+            ids, best, cost, long = viterbi(fresh, self.vocabulary)
+            self.lattices |= {index[w]: lattice for w, lattice in long.items()}
             self.words += fresh
             self.ids += ids
             self.best, self.cost = np.concatenate((self.best, best)), np.concatenate((self.cost, cost))
@@ -327,7 +347,7 @@ class Encoder:
         if not len(few):
             return []
         chain = [self.lattice(int(at[p])) for p in few]
-        (first, own), *rest = n_best(chain, self.vocabulary, self.n)
+        (first, own), *rest = n_best(chain, self.n)
         out = []
         for total, path in rest:
             changes = [(int(few[k]), spelled(path[k], chain[k].word, self.vocabulary)) for k in range(len(chain)) if path[k] != own[k]]

@@ -214,3 +214,19 @@ def test_pipeline_edges(spark, tmp_path):
     for _, step in corpus_pipeline.STAGES[1:]:
         empty = step(spark, empty, str(tmp_path))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("run", ["a", "-", "=", "ab", "▁", "\x01"])
+def test_repeated_characters(vocabulary, run):
+    """Ties of one word: the scores are those of all cuts, and work and memory grow with its length, not with the ties."""
+    for times in range(1, 11):
+        word = (run * times)[:10]
+        scores = sorted((sum(vocabulary.score[p] for p in cut) for cut in all_cuts(pieces.MARK + word, vocabulary)), reverse=True)[:4] if run != "▁" else None
+        _, score, others = next(pieces.Encoder(vocabulary, 4).encode([word]))
+        if scores is not None:
+            found = [score, *[s for s, _ in others]]
+            assert found == pytest.approx(scores)
+    long = pieces.Encoder(vocabulary, 4)
+    ids, score, others = next(long.encode([run * (300_000 // len(run))]))
+    assert pieces.decode(np.frombuffer(ids, "<i4").tolist(), pieces.spellings(vocabulary)) == run * (300_000 // len(run))
+    assert len(others) <= 3 and all(s <= score for s, _ in others)
