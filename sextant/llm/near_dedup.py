@@ -20,6 +20,10 @@ thousands costs about one comparison a member, and no pair of different
 classes that may be linked and shares ``in_common`` sketches stays uncompared.
 A large sketch with many texts outside its main class is divided by the
 further sketches that its texts share, which all those pairs have.
+
+Before any sequence is fetched, a pair must agree in a signature of SIGNATURE
+bits, one for the least shingle hash of each bin: texts of one template that
+differ in many places share sketches, but their signatures tell them apart.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
@@ -42,6 +46,8 @@ from .staging import load, small, stage, text_hash, without_unkept
 PART = 2048
 #: A group with more texts than this outside its main class is divided by further sketches.
 MINORS = 256
+#: Bits of a signature, and standard deviations beyond the expected number of differing bits that a pair may have.
+SIGNATURE, DEVIATIONS = 512, 4.5
 
 
 def occurrence_labels(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -83,6 +89,33 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray, count: int, picks: int) ->
     return out
 
 
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """(texts, SIGNATURE / 64) bits: shingles fall into bins by their labelled hash, and each bin has a bit of its least one."""
+    labelled = mix(occurrence_labels(hashes, bounds) + np.uint64(0x2545F4914F6CDD1D))
+    out = np.empty((len(bounds) - 1, SIGNATURE // 64), np.int64)
+    for start in range(0, len(out), 2048):  # short texts come in large numbers
+        own = bounds[start : start + 2049]
+        values, n = labelled[own[0] : own[-1]], len(own) - 1
+        at = np.repeat(np.arange(n, dtype=np.int64), np.diff(own)) * SIGNATURE + (values % np.uint64(SIGNATURE)).astype(np.int64)
+        least = np.full(n * SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, at, values >> np.uint64(10))
+        bits = (mix(least) & np.uint64(1)).astype(np.uint8)
+        out[start : start + 2048] = np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view("<i8").reshape(n, -1)
+    return out
+
+
+def may_agree(threshold: float) -> Column:
+    """Whether the signatures ``sig`` and ``other_sig`` of texts with n and m shingles may be those of a pair at the threshold.
+
+    A bin that holds a shingle of either has its least one in both texts with
+    a probability of the threshold at least; otherwise its bits differ by chance.
+    """
+    differ = reduce(Column.__add__, [F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("other_sig")[i])) for i in range(SIGNATURE // 64)])
+    bins = SIGNATURE * (1 - F.exp(-(F.col("n") + F.col("m")) / (1 + threshold) / SIGNATURE))
+    chance = (1 - threshold) / 2
+    return differ <= bins * chance + DEVIATIONS * F.sqrt(bins * chance * (1 - chance)) + 1
+
+
 def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -117,16 +150,19 @@ def digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sequence_table(docs: DataFrame, words: int) -> DataFrame:
-    """``node, seq``: the shingle hashes, in order, of those ``docs`` (node, same, text) whose digest is ``same``."""
+    """``node, seq, n, sig``: the shingle hashes in order, their number and the signature of those ``docs`` (node, same, text) whose digest is ``same``."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in batches(rows, lower=True):
             hashes, bounds = shingle_hashes(texts, words)
             fits = (digests(hashes, bounds).view(np.int64) == np.array([k[1] for k in keys])).all(1)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), lists], names=["node", "seq"]).filter(pa.array(fits))
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), lists], names=["node", "seq"])
+            sig = pa.array(list(signatures(hashes, bounds)), pa.list_(pa.int64()))
+            batch = batch.append_column("n", pa.array(np.diff(bounds), pa.int64())).append_column("sig", sig)
+            yield batch.filter(pa.array(fits))
 
-    return map_batches(docs, run, "node long, seq array<long>")
+    return map_batches(docs, run, "node long, seq array<long>, n long, sig array<long>")
 
 
 def common_in_order(a: list[int], b: list[int], band: int) -> int:
@@ -180,7 +216,7 @@ def similarity(a: list[int], b: list[int], threshold: float) -> float:
 
 
 def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` that are similar."""
+    """The rows (a, b) of ``pairs`` that are similar; only pairs whose signatures agree are aligned."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -190,6 +226,8 @@ def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
 
+    of = lambda side, n, sig: seqs.select(F.col("node").alias(side), F.col("n").alias(n), F.col("sig").alias(sig))
+    pairs = pairs.join(of("a", "n", "sig"), "a").join(of("b", "m", "other_sig"), "b").where(may_agree(threshold)).select("a", "b")
     both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("left")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("right")), "b")
     return map_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 

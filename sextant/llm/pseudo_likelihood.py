@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .arrow import map_batches
 from .hashing import batches, word_hashes
 from .staging import load, stage
 
@@ -96,7 +97,7 @@ def vocabulary(docs: DataFrame, text_col: str) -> tuple[Vocabulary, DataFrame]:
         for a in range(0, len(words), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 100_000].view(np.int64)), pa.array(counts[a : a + 100_000])], names=["word", "n"])
 
-    counted = docs.select(F.lit(0).alias("k"), text_col).mapInArrow(run, "word long, n long")
+    counted = map_batches(docs.select(F.lit(0).alias("k"), text_col), run, "word long, n long")
     counts = stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     known = top.collect()  # at most KNOWN rows
@@ -246,7 +247,7 @@ def train(docs: DataFrame, text_col: str, words: Vocabulary, rate: float, seed:
         if trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([pack(trainer.model)], pa.binary())], names=["n", "model"])
 
-    copies = docs.select(F.lit(0).alias("k"), text_col).mapInArrow(run, "n long, model binary")
+    copies = map_batches(docs.select(F.lit(0).alias("k"), text_col), run, "n long, model binary")
     copies = stage(copies.select(F.monotonically_increasing_id().alias("copy"), "n", "model"), "copies")
 
     def average(some: pd.DataFrame) -> pd.DataFrame:
@@ -302,7 +303,7 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, words: Vocabulary, coun
             lists = pa.ListArray.from_arrays(bounds, pa.array(hashes[order[fresh]].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], arrow_id), pa.array(n, pa.int64()), pa.array(total), *lists], names=["doc_id", "n_tokens", "total", "words", "times"])
 
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type.simpleString()}, n_tokens long, total double, words array<long>, times array<int>")
+    scored = map_batches(docs.select(id_col, text_col), run, f"doc_id {id_type.simpleString()}, n_tokens long, total double, words array<long>, times array<int>")
     scored = stage(scored.select(F.monotonically_increasing_id().alias("row"), "*"), "scored")
     # A word outside the KNOWN most frequent ones is no hot key.
     each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .arrow import map_batches
 from .hashing import BATCH, Prefixes, batches, joined
 from .staging import heavy_keys, load, split_by, spread_join, stage
 
@@ -218,7 +219,7 @@ def search_shards(spans: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return spans.select(*SPAN, "n", "parts", "part", "bytes").mapInArrow(run, SHARD)
+    return map_batches(spans.select(*SPAN, "n", "parts", "part", "bytes"), run, SHARD)
 
 
 def twice(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def merge_shards(windows: DataFrame) -> DataFrame:
     heavy = heavy_keys(windows.groupBy(*digest).agg(F.count("*").alias("times")), digest, "times")
     known = F.broadcast(heavy.select(*digest))  # bounded: heavy digests need no search
     others = windows.join(known, digest, "left_anti").select(windows.columns).repartition(*digest).sortWithinPartitions(*digest)
-    return windows.join(known, digest, "left_semi").select(*WINDOW).unionByName(others.mapInArrow(lambda rows: twice(b for b in rows if b.num_rows), SHARD).select(*WINDOW))
+    return windows.join(known, digest, "left_semi").select(*WINDOW).unionByName(map_batches(others, lambda rows: twice(b for b in rows if b.num_rows), SHARD).select(*WINDOW))
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -266,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                     names=["t1", "t2", "lo", "n", "anchor", "s1", "s2"],
                 )
 
-    spans = stage(docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 int, lo int, n int, anchor long, s1 long, s2 long"), "spans")
+    spans = stage(map_batches(docs.select("t1", "t2", "text"), run, "t1 long, t2 int, lo int, n int, anchor long, s1 long, s2 long"), "spans")
     anchors = stage(spans.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"), "anchors")
     # Copies of a text have equal rows, so the partition tells them apart.
     shared = spread_join(spans, anchors.select("anchor"), ["anchor"], heavy_keys(anchors, ["anchor"], "times"), [F.spark_partition_id(), F.col("lo")])
@@ -294,7 +295,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     # One copy of each text; they are first thrown together where they are.
     holders = split_by(docs.select("t1", "t2", "text"), wanted.select("t1", "t2"), ["t1", "t2"])[0].groupBy("t1", "t2").agg(F.first("text").alias("text"))
     source = holders.join(per_text.hint("merge"), ["t1", "t2"]).select("wanted", "text")
-    pieces = source.mapInArrow(cut, "anchor long, s1 long, s2 long, n int, parts int, bytes binary")
+    pieces = map_batches(source, cut, "anchor long, s1 long, s2 long, n int, parts int, bytes binary")
     pieces = pieces.withColumn("part", F.pmod(F.col("s1"), F.col("parts").cast("long")))
     sharded = pieces.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
     in_shards = stage(search_shards(sharded, length), "repeated_in_shards")
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = spread_join(some, runs, ["t1", "t2"], heavy_keys(copies, ["t1", "t2"], "copies"), [F.col("doc_id")], "left")
     removed = "array<struct<start:long,stop:long>>"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    cut = both.select("doc_id", "spans", "text").mapInArrow(_cutter(), f"doc_id {id_type}, n_bytes long, removed {removed}, kept binary")
+    cut = map_batches(both.select("doc_id", "spans", "text"), _cutter(), f"doc_id {id_type}, n_bytes long, removed {removed}, kept binary")
     whole = others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(removed).alias("removed"), F.col("text").cast("binary").alias("kept"))
     return cut.unionByName(whole)
 

@@ -1,6 +1,7 @@
 """Exact, near and substring dedup, decontamination."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -180,6 +181,47 @@ def test_near_pairs_across_parts(table, monkeypatch):
     assert {(a, b) for b in range(24) for a in range(b) if (s[a] == s[b]).sum() >= 5} <= compared
 
 
+def test_signatures():
+    """Pairs at the threshold agree, pairs well below it don't, and short texts are never told apart wrongly."""
+    rng = np.random.default_rng(2)
+    passed = {}
+    for n in (8, 60, 400, 5000):
+        for kept in (0.889, 0.6):  # of both texts' shingles: similarities 0.8 and 0.43
+            ok = 0
+            for _ in range(60):
+                a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+                b = np.where(rng.permutation(n) < round(kept * n), a, rng.integers(0, 1 << 63, n, dtype=np.uint64))
+                s = near_dedup.signatures(np.concatenate((a, b)), np.array([0, n, 2 * n]))
+                differ = sum(int(x).bit_count() for x in (s[0] ^ s[1]).view(np.uint64))
+                bins = near_dedup.SIGNATURE * (1 - math.exp(-2 * n / 1.8 / near_dedup.SIGNATURE))
+                ok += differ <= bins * 0.1 + near_dedup.DEVIATIONS * math.sqrt(bins * 0.09) + 1
+            passed[n, kept] = ok
+    assert all(passed[n, 0.889] == 60 for n in (8, 60, 400, 5000))
+    assert passed[400, 0.6] == 0 and passed[5000, 0.6] == 0
+
+
+def test_template_pairs(spark, table, monkeypatch):
+    """Texts of 40 paragraphs in one of two wordings each, hardly any of them linked: only pairs near the threshold are aligned."""
+    aligned, map_batches = spark.sparkContext.accumulator(0), near_dedup.map_batches
+
+    def counted(df, run, schema):
+        def counting(rows):
+            for batch in rows:
+                aligned.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return map_batches(df, counting if "left" in df.columns else run, schema)
+
+    monkeypatch.setattr(near_dedup, "map_batches", counted)
+    rng = random.Random(4)
+    wordings = [[" ".join(f"p{i}v{v}w{k}" for k in range(12)) for v in range(2)] for i in range(40)]
+    n = 300
+    rows = [(i, " ".join(w[rng.random() < 0.2] for w in wordings)) for i in range(n)]
+    assert near_dedup.near_groups(table(rows)).count() == n
+    # About 20 % of all pairs share enough sketches; similarities are 0.52 on average, 0.7 and more in 3 %.
+    assert aligned.value <= 0.03 * n * (n - 1) / 2
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(60):
