@@ -17,7 +17,7 @@ gives back every text.
 from __future__ import annotations
 
 import hashlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -112,8 +112,36 @@ class Lattice:
     def __init__(self, word: str, vocabulary: Vocabulary):
         n = len(word)
         self.word, self.size = word, n
+        ends, self.starts, self.pieces, self.scores = self._few(word, vocabulary) if n <= LONG else self._many(word, vocabulary)
+        self.ends = ends
+        self.first = [bisect_left(ends, at) for at in range(n + 2)]  # of the edges into each place
+        forward, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for edge, (start, end, score) in enumerate(zip(self.starts, self.ends, self.scores, strict=True)):
+            if forward[start] + score > forward[end]:
+                forward[end], back[end] = forward[start] + score, edge
+        self.forward, self.back = forward, back
+
+    @staticmethod
+    def _few(word: str, vocabulary: Vocabulary) -> tuple:
+        """Ends, starts, pieces and scores of the edges, piece by piece."""
+        ids, n, edges = vocabulary.ids, len(word), []
+        for i in range(n):
+            # A mark that stands in the text is no word's beginning.
+            plain, known = i == 0 or word[i] != MARK, False
+            for end in range(i + 1, min(n, i + vocabulary.longest) + 1) if plain else ():
+                piece = ids.get(word[i:end])
+                if piece is not None:
+                    edges.append((end, i, piece, vocabulary.scores[piece]))
+                    known = known or end == i + 1
+            if not known:
+                edges.append((i + 1, i, -1, vocabulary.unknown))
+        return tuple(zip(*sorted(edges), strict=True)) or ((), (), (), ())
+
+    @staticmethod
+    def _many(word: str, vocabulary: Vocabulary) -> tuple:
+        """The same for long words, length by length; views give Python numbers but hold a few bytes an edge."""
+        n = len(word)
         codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        # A mark that stands in the text is no word's beginning.
         alive = np.flatnonzero((np.arange(n) == 0) | (codes != ord(MARK)))
         h, known, found = np.zeros(len(alive), np.uint64), np.zeros(n, bool), []
         for length in range(1, min(n, vocabulary.longest) + 1):
@@ -129,16 +157,8 @@ class Lattice:
         rest = np.flatnonzero(~known)  # -1: unknown
         ends, starts, pieces = (np.concatenate(x) for x in zip(*found, (rest + 1, rest, np.full(len(rest), -1)), strict=True))
         order = np.lexsort((starts, ends))
-        ends, pieces = ends[order], pieces[order]
-        self.first = np.searchsorted(ends, np.arange(n + 2)).tolist()  # of the edges into each place
-        # Views give Python numbers but hold a few bytes an edge.
-        self.ends, self.starts, self.pieces = (memoryview(x.astype(np.int32)) for x in (ends, starts[order], pieces))
-        self.scores = memoryview(vocabulary.score[pieces])
-        forward, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-        for edge, (start, end, score) in enumerate(zip(self.starts, self.ends, self.scores, strict=True)):
-            if forward[start] + score > forward[end]:
-                forward[end], back[end] = forward[start] + score, edge
-        self.forward, self.back = forward, back
+        pieces = pieces[order]
+        return *(memoryview(x.astype(np.int32)) for x in (ends[order], starts[order], pieces)), memoryview(vocabulary.score[pieces])
 
     def path(self) -> list[int]:
         """Edges of the best segmentation, in order."""
