@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a worker at once, where the session sets no bound of its own.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH_BYTES, so that large contents fill neither the worker nor the executor's buffers."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
 
 def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """To be broadcast if it has at most so many rows; else Spark joins it as it sees fit."""

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from sextant.functions import charsets
 from sextant.functions.paths import base_name, glob_regex
-from sextant.operators import overlays
+from sextant.functions.tables import map_batches
+from sextant.operators import deadlines, overlays
 
 #: Bytes of text kept of a file, and bytes read of an audio file and a page description.
 TEXT_BYTES, AUDIO_BYTES, PS_BYTES = 1 << 20, 5 << 20, 20 << 20
@@ -36,16 +38,16 @@ Found = tuple[list[str], dict[str, str], str | None]
 
 
 def decode_text(data: bytes, longest: int = TEXT_BYTES) -> str | None:
-    """Text by its byte order mark; else UTF-8, less up to three bad bytes at its end; else windows-1252."""
+    """Text by its byte order mark; else UTF-8, less up to three bad bytes at its end; else in the charset that it fits best."""
     data = data[:longest]
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return data[2:].decode("utf-16-le" if data[0] == 0xFF else "utf-16-be", "ignore")
     try:
-        return data.decode("utf-8")
+        return charsets.decode(data) if b"\0" in data else data.decode("utf-8")
     except UnicodeDecodeError as e:
         if len(data) - e.start <= 3:
             return data[: e.start].decode("utf-8")
-        return data.decode("cp1252", "replace")
+        return charsets.decode(data)
 
 
 def valid_prefix(data: bytes) -> str:
@@ -372,24 +374,32 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
 SCHEMA = "path string, mime string, graph string, rdf_types array<string>, props map<string,string>, text string, hash string, error string"
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """``path, mime, graph, rdf_types, props, text, hash, error`` of files (path, mime, content)."""
+Reader = tuple[str, str, Callable[[bytes], Found], str]
+
+
+def extract(files: DataFrame, deadline: float = 30.0, readers: list[Reader] | None = None) -> DataFrame:
+    """``path, mime, graph, rdf_types, props, text, hash, error`` of files (path, mime, content).
 
+    A file that is broken, that kills its reader or that takes longer than
+    ``deadline`` seconds costs its own row, which tells why, and no other.
+    ``readers``: more of them, to be tried before READERS.
+    """
+    known = [*(readers or []), *READERS]
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, mime, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                _, graph, reader, version = next(r for r in READERS if re.fullmatch(r[0], mime or ""))
-                try:
-                    types, props, text = reader(content or b"")
-                    out.append((path, mime, graph, types, list(props.items()), text, version, None))
-                except Exception as e:  # a broken file is a row with an error
-                    out.append((path, mime, graph, [], [], None, version, f"{type(e).__name__}: {e}"[:200]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-    return files.select("path", "mime", "content").mapInArrow(run, SCHEMA)
+        with deadlines.Runner([r[2] for r in known], deadline) as runner:
+            for batch in batches:
+                out = []
+                for path, mime, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    number = next(k for k, r in enumerate(known) if re.fullmatch(r[0], mime or ""))
+                    _, graph, _, version = known[number]
+                    found, error = runner.call(number, content or b"")
+                    types, props, text = found or ([], {}, None)
+                    out.append((path, mime, graph, types, list(props.items()), text, version, error))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+    return map_batches(files.select("path", "mime", "content"), run, SCHEMA)
 
 
 def allowed_text(found: DataFrame, globs: list[str]) -> DataFrame:
