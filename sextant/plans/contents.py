@@ -1,4 +1,4 @@
-"""Queries of charsets and deadlines, over the driver's tables."""
+"""Queries of charsets, deadlines and monitor events, over the driver's tables."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from sextant.functions import charsets
 from sextant.functions.tables import map_batches
 from sextant.operators import extract
 from sextant.plans import store
+from sextant.streaming import moves
 
 # The charsets that documents are written in by their number, and letters of other scripts for those that need them.
 WRITTEN = ("utf_16_le", "utf_16_be", "cp1252", "koi8_r", "cp1251", "iso8859_2", "cp932", "euc_jp", "gb18030", "utf_8")
@@ -66,3 +67,52 @@ SQL = {
     "d17_deadline": """SELECT 'file:///' || source || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 400 = 7 THEN 'endless1' ELSE 'text1' END AS hash, CASE WHEN doc_id % 400 <> 7 THEN md5(text) END AS digest,
         CASE WHEN doc_id % 400 = 7 THEN 'DeadlineExceeded: not done after 0.5 s' END AS error FROM documents""",
 }
+
+
+def monitored(s, d):
+    """Monitor events of the driver's event table: purchases are moves in two halves, some alone or too far apart."""
+    e = store.table(s, d, "events")
+    n, user = F.col("event_id"), F.concat(F.lit("/u"), (F.col("user_id") % 50).cast("string"))
+    path = F.concat(user, F.lit("/f"), (n % 97).cast("string"), F.when(n % 5 == 0, ".md").otherwise(".txt"))
+    to = F.concat(user, F.when(n % 13 == 0, F.lit("/.git/f")).otherwise(F.lit("/g")), (n % 89).cast("string"), F.when(n % 4 == 0, ".md").otherwise(".txt"))
+    name = F.when(n % 31 == 0, F.concat(user, F.lit("/.nomedia"))).otherwise(path)
+    kinds = {"signup": "CREATED", "click": "CHANGED", "view": "ATTRIBUTE_CHANGED", "error": "DELETED"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    plain = F.struct((2 * n).alias("seq"), F.col("ts").alias("ts"), name.alias("path"), kind.alias("kind"), F.lit(None).cast("string").alias("cookie"))
+    half = lambda k, at, p, what: F.struct((2 * n + k).alias("seq"), at.alias("ts"), p.alias("path"), F.lit(what).alias("kind"), n.cast("string").alias("cookie"))
+    out, into = half(0, F.col("ts"), path, "MOVED_OUT"), half(1, F.timestamp_add("SECOND", n % 4, F.col("ts")), to, "MOVED_IN")
+    rows = F.when(F.col("event_type") != "purchase", F.array(plain)).when(n % 7 == 0, F.array(out)).when(n % 11 == 0, F.array(into)).otherwise(F.array(out, into))
+    return e.select(F.explode(rows).alias("e")).select("e.*", F.lit(False).alias("is_dir"))
+
+
+def _shown(path, is_dir):
+    return ~path.contains("/.git/")
+
+
+def d6_paired_moves(s, d):
+    return moves.paired(monitored(s, d), 2000)
+
+
+def d6_notified(s, d):
+    return moves.notified(moves.paired(monitored(s, d), 2000), _shown, [".nomedia"])
+
+
+_MONITORED = """e AS (
+        SELECT *, '/u' || (user_id % 50) || '/f' || (event_id % 97) || CASE WHEN event_id % 5 = 0 THEN '.md' ELSE '.txt' END AS own, '/u' || (user_id % 50) AS folder,
+               '/u' || (user_id % 50) || CASE WHEN event_id % 13 = 0 THEN '/.git/f' ELSE '/g' END || (event_id % 89) || CASE WHEN event_id % 4 = 0 THEN '.md' ELSE '.txt' END AS dest,
+               CASE event_type WHEN 'signup' THEN 'CREATED' WHEN 'click' THEN 'CHANGED' WHEN 'view' THEN 'ATTRIBUTE_CHANGED' WHEN 'error' THEN 'DELETED' END AS plain FROM events),
+    p AS (
+        SELECT 2 * event_id AS seq, plain AS kind, CASE WHEN event_id % 31 = 0 THEN folder || '/.nomedia' ELSE own END AS source, NULL AS destination, folder FROM e WHERE event_type <> 'purchase'
+        UNION ALL SELECT 2 * event_id, 'DELETED', own, NULL, folder FROM e WHERE event_type = 'purchase' AND (event_id % 7 = 0 OR (event_id % 11 <> 0 AND event_id % 4 = 3))
+        UNION ALL SELECT 2 * event_id + 1, 'CREATED', dest, NULL, folder FROM e WHERE event_type = 'purchase' AND event_id % 7 <> 0 AND (event_id % 11 = 0 OR event_id % 4 = 3)
+        UNION ALL SELECT 2 * event_id + 1, 'MOVED', own, dest, folder FROM e WHERE event_type = 'purchase' AND event_id % 7 <> 0 AND event_id % 11 <> 0 AND event_id % 4 <> 3)"""
+
+QUERIES |= {f.__name__: f for f in (d6_paired_moves, d6_notified)}
+SQL |= {
+    "d6_paired_moves": f"WITH {_MONITORED} SELECT seq, kind, source, destination, false AS is_dir FROM p",
+    "d6_notified": f"""WITH {_MONITORED}, q AS (SELECT *, source LIKE '%/.nomedia' AS spoils, source NOT LIKE '%/.git/%' AS there, destination NOT LIKE '%/.git/%' AS stays FROM p)
+        SELECT seq, 0 AS pos, CASE kind WHEN 'CREATED' THEN 'DELETED' ELSE 'CRAWL' END AS kind, folder AS source, NULL AS destination, true AS is_dir FROM q WHERE spoils AND kind IN ('CREATED', 'DELETED')
+        UNION ALL SELECT seq, 0, CASE kind WHEN 'CHANGED' THEN 'UPDATED' WHEN 'ATTRIBUTE_CHANGED' THEN 'ATTRIBUTES' ELSE kind END, source, NULL, false FROM q WHERE kind <> 'MOVED' AND there AND NOT (spoils AND kind IN ('CREATED', 'DELETED'))
+        UNION ALL SELECT seq, 0, CASE WHEN stays THEN 'MOVED' ELSE 'DELETED' END, source, CASE WHEN stays THEN destination END, false FROM q WHERE kind = 'MOVED'
+        UNION ALL SELECT seq, 1, 'UPDATED', destination, NULL, false FROM q WHERE kind = 'MOVED' AND stays AND split_part(source, '.', -1) <> split_part(destination, '.', -1)""",
+}
