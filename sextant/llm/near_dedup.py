@@ -21,7 +21,7 @@ classes that may be linked and shares ``in_common`` sketches stays uncompared.
 A large sketch with many texts outside its main class is divided by the
 further sketches that its texts share, which all those pairs have.
 
-Before any sequence is fetched, a pair must agree in a signature of SIGNATURE
+Before it is aligned, a pair must agree in a signature of SIGNATURE
 bits, one for the least shingle hash of each bin: texts of one template that
 differ in many places share sketches, but their signatures tell them apart.
 """
@@ -226,9 +226,8 @@ def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in kept], pa.int64()) for x in (a, b)], names=["a", "b"])
 
-    of = lambda side, n, sig: seqs.select(F.col("node").alias(side), F.col("n").alias(n), F.col("sig").alias(sig))
-    pairs = pairs.join(of("a", "n", "sig"), "a").join(of("b", "m", "other_sig"), "b").where(may_agree(threshold)).select("a", "b")
-    both = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("left")), "a").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("right")), "b")
+    of = lambda side, n, sig, seq: seqs.select(F.col("node").alias(side), F.col("n").alias(n), F.col("sig").alias(sig), F.col("seq").alias(seq))
+    both = pairs.join(of("a", "n", "sig", "left"), "a").join(of("b", "m", "other_sig", "right"), "b").where(may_agree(threshold))
     return map_batches(both.select("a", "b", "left", "right"), run, "a long, b long")
 
 
