@@ -30,6 +30,7 @@ Half = tuple[int, int, str, str, bool]
 #: seq, kind, source, destination, whether it is a folder
 Event = tuple[int, str, str, str | None, bool]
 OUT = "seq long, kind string, source string, destination string, is_dir boolean"
+TOLD = Row("seq", "kind", "source", "destination", "is_dir")
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,15 +50,20 @@ def pair(waiting: Half | None, half: Half, patience_ms: int) -> tuple[Half | Non
     return None, [(max(out[0], into[0]), "MOVED", out[2], into[2], out[4])]
 
 
+def _is_half() -> Column:
+    """It looks at the time too, so that the filter stays above a watermark and all events move that on."""
+    return F.when(F.col("ts").isNotNull(), F.col("kind").isin(*HALVES) & F.col("cookie").isNotNull()).otherwise(False)
+
+
 def _others(events: DataFrame) -> DataFrame:
-    """Events that are no halves; halves without a cookie are alone."""
-    rest = events.where(~F.col("kind").isin(*HALVES) | F.col("cookie").isNull())
+    """Events that are no halves; halves without a cookie or a time are alone."""
+    rest = events.where(~F.coalesce(_is_half(), F.lit(False)))
     kind = F.when(F.col("kind") == "MOVED_OUT", "DELETED").when(F.col("kind") == "MOVED_IN", "CREATED").otherwise(F.col("kind"))
     return rest.select("seq", kind.alias("kind"), F.col("path").alias("source"), F.lit(None).cast("string").alias("destination"), "is_dir")
 
 
 def _halves(events: DataFrame) -> DataFrame:
-    return events.where(F.col("kind").isin(*HALVES) & F.col("cookie").isNotNull())
+    return events.where(_is_half())
 
 
 def paired(events: DataFrame, patience_ms: int = 2000) -> DataFrame:
@@ -97,7 +103,7 @@ class Pairing(StatefulProcessor):
         for r in sorted(rows, key=lambda r: r.seq):
             waiting, found = pair(waiting, (r.seq, r.ms, r.path, r.kind, r.is_dir), self.patience_ms)
             for e in found:
-                yield Row(*e)
+                yield TOLD(*e)
         self._due()
         if waiting is None:
             self.half.clear()
@@ -108,7 +114,7 @@ class Pairing(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.half.exists():
-            yield Row(*alone(tuple(self.half.get())))
+            yield TOLD(*alone(tuple(self.half.get())))
             self.half.clear()
 
     def close(self) -> None:
