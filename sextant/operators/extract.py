@@ -14,7 +14,9 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from email.utils import parsedate_to_datetime
 from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -28,7 +30,7 @@ from pyspark.sql.types import StructType
 from sextant.functions import charsets
 from sextant.functions.paths import base_name, glob_regex
 from sextant.functions.tables import map_batches
-from sextant.operators import deadlines, overlays
+from sextant.operators import deadlines, overlays, packets
 
 #: Bytes of text kept of a file, and bytes read of an audio file and a page description.
 TEXT_BYTES, AUDIO_BYTES, PS_BYTES = 1 << 20, 5 << 20, 20 << 20
@@ -148,31 +150,114 @@ def read_icon(data: bytes) -> Found:
     return ["nfo:Image", "nfo:Icon"], {"nfo:width": str(max(s[0] for s in sizes)), "nfo:height": str(max(s[1] for s in sizes))}, None
 
 
+# Keywords of PNG texts and the fields they are.
+PNG_TEXTS = {"Title": "title", "Author": "author", "Creator": "creator", "Description": "description", "Copyright": "copyright", "Disclaimer": "disclaimer", "Comment": "comment", "Creation Time": "creation_time"}
+#: Bytes that a compressed text is unpacked to at most.
+UNPACKED_BYTES = 16 << 20
+
+
+def unpacked(data: bytes) -> bytes:
+    return zlib.decompressobj().decompress(data, UNPACKED_BYTES)
+
+
+def png_text(kind: bytes, body: bytes) -> tuple[str, bytes]:
+    """(keyword, UTF-8 text) of a text chunk: plain, compressed or international."""
+    key, _, rest = body.partition(b"\0")
+    if kind == b"zTXt":
+        rest = unpacked(rest[1:]).decode("latin-1").encode()
+    elif kind == b"iTXt":
+        packed, (_, _, text) = rest[:1] == b"\1", (rest[2:].partition(b"\0")[2]).partition(b"\0")
+        rest = unpacked(text) if packed else text
+    else:
+        rest = rest.decode("latin-1").encode()
+    return key.decode("latin-1"), rest
+
+
+def raw_profile(text: bytes) -> bytes:
+    """The bytes of a profile written as name, length and hexadecimal digits."""
+    m = re.match(rb"\s*\S+\s+(\d+)\s+([0-9a-fA-F\s]*)", text)
+    return bytes.fromhex(m[2].decode("ascii"))[: int(m[1])] if m else b""
+
+
+def mail_date(value: str) -> str | None:
+    """A date as in mails in ISO form."""
+    try:
+        return parsedate_to_datetime(value).strftime("%Y-%m-%dT%H:%M:%S%z")
+    except ValueError:
+        return None
+
+
 def read_png(data: bytes) -> Found:
+    """Size from the header; texts, EXIF, IPTC and XMP by their ranks.  A broken chunk costs its own fields only."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
     width, height = struct.unpack_from(">II", data, 16)
-    props, at = {"nfo:width": str(width), "nfo:height": str(height)}, 8
-    names = {"Title": "nie:title", "Author": "nco:creator", "Description": "nie:description", "Copyright": "nie:copyright", "Comment": "nie:comment", "Creation Time": "nie:contentCreated"}
+    own, e, i, x, at = {}, {}, {}, {}, 8
     while at + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
-        if kind == b"tEXt":
-            key, _, value = data[at + 8 : at + 8 + size].partition(b"\0")
-            if key.decode("latin-1") in names:
-                props.setdefault(names[key.decode("latin-1")], value.decode("latin-1"))
-        at += 12 + size
-    return ["nfo:Image", "nmm:Photo"], props, None
+        body, at = data[at + 8 : at + 8 + size], at + 12 + size
+        try:
+            if kind == b"eXIf":
+                e = e or overlays.exif(body)
+            elif kind in (b"tEXt", b"zTXt", b"iTXt"):
+                key, text = png_text(kind, body)
+                if key in PNG_TEXTS:
+                    value = valid_prefix(text)
+                    own.setdefault(PNG_TEXTS[key], (mail_date(value) or "") if key == "Creation Time" else value)
+                elif key == "XML:com.adobe.xmp":
+                    x = x or overlays.xmp(text)
+                elif key == "Raw profile type xmp":
+                    x = x or overlays.xmp(raw_profile(text))
+                elif key in ("Raw profile type exif", "Raw profile type APP1"):
+                    e = e or overlays.exif(raw_profile(text).removeprefix(b"Exif\0\0"))
+                elif key == "Raw profile type iptc":
+                    i = i or overlays.photoshop(raw_profile(text))
+        except (struct.error, zlib.error, ValueError, IndexError):
+            continue
+    return ["nfo:Image", "nmm:Photo"], overlays.image_properties(e, i, x, module="png", own=own) | {"nfo:width": str(width), "nfo:height": str(height)}, None
+
+
+def gif_blocks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(label, data) of the extensions of a GIF file; an application's label includes its name."""
+    at = 13 + (3 << (data[10] & 7) + 1 if data[10] & 0x80 else 0)
+
+    def chain(at: int) -> tuple[bytes, int]:
+        parts = []
+        while at < len(data) and data[at]:
+            parts.append(data[at + 1 : at + 1 + data[at]])
+            at += 1 + data[at]
+        return b"".join(parts), at + 1
+
+    while at < len(data):
+        if data[at] == 0x2C and at + 10 < len(data):
+            table = 3 << (data[at + 9] & 7) + 1 if data[at + 9] & 0x80 else 0
+            _, at = chain(at + 11 + table)
+        elif data[at] == 0x21 and data[at + 1 : at + 2] == b"\xff" and data[at + 3 : at + 14] == b"XMP DataXMP":
+            # The packet stands as it is, before bytes that lead any reader of blocks to the end.
+            end = data.find(b"\x01\xff\xfe\xfd", at)
+            end = len(data) if end < 0 else end
+            yield b"XMP", data[at + 14 : end]
+            at = end + 258
+        elif data[at] == 0x21:
+            label = data[at + 1 : at + 2]
+            body, at = chain(at + 2)
+            yield label, body
+        else:
+            break
 
 
 def read_gif(data: bytes) -> Found:
+    """Size from the header; all comments, and XMP by its ranks."""
     if data[:3] != b"GIF":
         raise ValueError("not a GIF file")
     width, height = struct.unpack_from("<HH", data, 6)
-    props = {"nfo:width": str(width), "nfo:height": str(height)}
-    m = re.search(rb"\x21\xfe((?:[\x01-\xff])(?:[^\0]*))\0", data, re.S)
-    if m:
-        props["nie:comment"] = m[1][1 : 1 + m[1][0]].decode("utf-8", "replace")
-    return ["nfo:Image", "nmm:Photo"], props, None
+    own, x = {}, {}
+    for label, body in gif_blocks(data):
+        if label == b"\xfe":
+            own["comment"] = own.get("comment", "") + valid_prefix(body)
+        elif label == b"XMP":
+            x = x or overlays.xmp(body)
+    return ["nfo:Image", "nmm:Photo"], overlays.image_properties({}, {}, x, module="gif", own=own) | {"nfo:width": str(width), "nfo:height": str(height)}, None
 
 
 def read_bmp(data: bytes) -> Found:
@@ -197,7 +282,10 @@ def read_jpeg(data: bytes) -> Found:
         elif mark == 0xFE:
             comment = valid_prefix(body)
         elif mark == 0xE1 and body[:6] == b"Exif\0\0":
-            e = overlays.exif(body[6:])
+            try:
+                e = overlays.exif(body[6:])
+            except struct.error:  # a broken segment says nothing; the image stands
+                e = {}
         elif mark == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
             x = overlays.xmp(body.partition(b"\0")[2])
         elif mark == 0xED and body.startswith(b"Photoshop 3.0\0"):
@@ -215,7 +303,8 @@ def read_tiff(data: bytes) -> Found:
     main = overlays.directory(data, struct.unpack_from("<I" if data[:2] == b"II" else ">I", data, 4)[0])
     size = {p: str(int(n[0])) for p, t in (("nfo:width", 0x0100), ("nfo:height", 0x0101)) if (n := overlays.numbers(data, main.get(t)))}
     i, x = (main.get(t, (7, b""))[1] for t in (overlays.IPTC_TAG, overlays.XMP_TAG))
-    return ["nfo:Image", "nmm:Photo"], overlays.image_properties(overlays.exif(data), overlays.iptc(i), overlays.xmp(x)) | size, None
+    e = overlays.exif(data)
+    return ["nfo:Image", "nmm:Photo"], overlays.image_properties(e, overlays.iptc(i), overlays.xmp(x), module="tiff", own=e) | size, None
 
 
 # ID3 frames and the properties they are.
@@ -362,11 +451,11 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"application/epub\+zip", "Documents", read_epub, "epub1"),
     (r"application/x-abiword", "Documents", read_abiword, "abw1"),
     (r"image/vnd\.microsoft\.icon", "Pictures", read_icon, "icon1"),
-    (r"image/png", "Pictures", read_png, "png1"),
-    (r"image/gif", "Pictures", read_gif, "gif1"),
+    (r"image/png", "Pictures", read_png, "png2"),
+    (r"image/gif", "Pictures", read_gif, "gif2"),
     (r"image/(x-ms-)?bmp", "Pictures", read_bmp, "bmp1"),
-    (r"image/jpeg", "Pictures", read_jpeg, "jpeg2"),
-    (r"image/tiff", "Pictures", read_tiff, "tiff1"),
+    (r"image/jpeg", "Pictures", read_jpeg, "jpeg3"),
+    (r"image/tiff", "Pictures", read_tiff, "tiff2"),
     (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp32"),
     (r"text/.*", "Documents", read_text, "text1"),
     (r".*", "FileSystem", read_nothing, "none1"),
@@ -409,6 +498,24 @@ def allowed_text(found: DataFrame, globs: list[str]) -> DataFrame:
     return found.withColumn("text", F.when(plain & ~fine, F.lit("")).otherwise(F.col("text")))
 
 
+def image_regions(files: DataFrame) -> DataFrame:
+    """``path, region, title, description, type, x, y, width, height, link``: a row for each region that the packet of an image (path, content) tells of."""
+    names = ("title", "description", "type", "x", "y", "width", "height", "link")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                packet = re.search(rb"<x:xmpmeta.*?</x:xmpmeta>", content or b"", re.S)
+                found = packets.regions(packets.walk(packet[0])) if packet else []
+                out += [(path, k, *map(r.get, names)) for k, r in enumerate(found, 1)]
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * len(names)]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "region", *names])
+
+    return map_batches(files.select("path", "content"), run, "path string, region long, " + ", ".join(f"{n} string" for n in names))
+
+
 # Formats that need no Python.
 
 

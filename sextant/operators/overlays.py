@@ -1,16 +1,16 @@
 """Metadata inside images and audio: EXIF directories, IPTC datasets, XMP packets and MPEG audio frames.
 
 Each function reads bytes and gives properties; what several of them have is
-settled by ``first``, in the order that the format's reader names.
+settled by RANKS.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-from xml.etree import ElementTree
 
 from sextant.functions.media import DARK, METERING, ORIENTATIONS
+from sextant.operators import packets
 
 # Bytes of one value by TIFF type; tags of strings, of numbers and of directories.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
@@ -19,8 +19,6 @@ NUMBER_TAGS = {0x829A: "exposure_time", 0x829D: "fnumber", 0x8827: "iso_speed",
 EXIF_DIRECTORY, GPS_DIRECTORY, IPTC_TAG, XMP_TAG = 0x8769, 0x8825, 0x83BB, 0x02BC
 # IPTC datasets of record 2.
 IPTC_NAMES = {25: "keywords", 55: "date_created", 80: "byline", 85: "byline_title", 90: "city", 92: "sublocation", 95: "state", 101: "country", 110: "credit", 116: "copyright", 118: "contact", 131: "orientation"}
-# XMP names and what they are here.
-XMP_NAMES = {"title": "title", "creator": "creator", "description": "description", "rights": "rights", "subject": "keywords", "date": "date", "DateTimeOriginal": "time_original", "Copyright": "copyright", "Artist": "artist", "contributor": "contributor", "Make": "make", "Model": "model", "City": "city", "State": "state", "Country": "country", "Location": "address", "FNumber": "fnumber", "ExposureTime": "exposure_time", "FocalLength": "focal_length"}
 
 
 def first(*values: str | None) -> str | None:
@@ -99,6 +97,8 @@ def exif(tiff: bytes) -> dict[str, str]:
         if len(found := numbers(tiff, gps.get(tag))) == 3:
             degrees = _single(found[0] + found[1] / 60 + found[2] / 3600)
             out[name] = repr(-degrees if gps.get(ref, (2, b""))[1][:1] in (b"S", b"W") else degrees)
+    if found := numbers(tiff, gps.get(0x11)):
+        out["direction"] = _plain(found[0])
     if found := numbers(tiff, gps.get(6)):
         out["altitude"] = repr(-_single(found[0]) if gps.get(5, (1, b"\0"))[1][:1] == b"\1" else _single(found[0]))
     return out
@@ -139,54 +139,99 @@ def photoshop(data: bytes) -> dict[str, str]:
 
 
 def xmp(packet: bytes) -> dict[str, str]:
-    """Fields of a packet's descriptions, written as elements or attributes; items of a list are joined by commas."""
-    try:
-        root = ElementTree.fromstring(packet.strip(b"\0 \r\n\t"))
-    except ElementTree.ParseError:  # a broken packet says nothing; the image stands
-        return {}
+    """Fields of a packet; none of a broken one."""
+    return packets.fields(packets.walk(packet))
+
+
+# What of several sources counts, in order, by format and property.  own: the format's own fields.
+_CAMERA = """
+nmm:whiteBalance xmp.white_balance exif.white_balance
+nmm:fnumber xmp.fnumber exif.fnumber
+nmm:flash xmp.flash exif.flash
+nmm:focalLength xmp.focal_length exif.focal_length
+nmm:exposureTime xmp.exposure_time exif.exposure_time
+nmm:isoSpeed xmp.iso_speed exif.iso_speed
+nmm:meteringMode xmp.metering_mode exif.metering_mode
+"""
+_PLACE = """
+nco:locality xmp.city iptc.city
+nco:region xmp.state iptc.state
+nco:streetAddress xmp.address iptc.sublocation
+nco:country xmp.country iptc.country
+slo:altitude xmp.altitude exif.altitude
+slo:latitude xmp.latitude exif.latitude
+slo:longitude xmp.longitude exif.longitude
+nfo:heading xmp.direction exif.direction
+nco:creator xmp.creator iptc.byline iptc.credit
+"""
+RANKS = {
+    "jpeg": _CAMERA + _PLACE + """
+nie:title xmp.title exif.document_name xmp.title2 xmp.pdf_title
+nfo:orientation xmp.orientation exif.orientation iptc.orientation
+nie:copyright xmp.copyright xmp.rights exif.copyright iptc.copyright
+nco:contributor xmp.artist exif.artist xmp.contributor
+nie:contentCreated xmp.date xmp.time_original exif.time iptc.date_created exif.time_original
+nie:description xmp.description exif.description
+nie:comment own.comment exif.user_comment
+nfo:manufacturer xmp.make exif.make
+nfo:model xmp.model exif.model
+""",
+    "tiff": _CAMERA + _PLACE + """
+nie:title xmp.title xmp.pdf_title own.document_name exif.document_name xmp.title2
+nfo:orientation xmp.orientation own.orientation exif.orientation iptc.orientation
+nie:copyright xmp.rights own.copyright exif.copyright iptc.copyright
+nco:contributor xmp.artist own.artist exif.artist xmp.contributor
+nie:contentCreated xmp.date xmp.time_original own.time exif.time iptc.date_created exif.time_original
+nie:description xmp.description own.description
+nie:comment exif.user_comment
+nfo:manufacturer xmp.make own.make exif.make
+nfo:model xmp.model own.model exif.model
+""",
+    "png": _CAMERA + """
+nco:creator xmp.creator own.creator own.author
+nie:title xmp.title own.title exif.document_name xmp.title2 xmp.pdf_title
+nfo:orientation xmp.orientation exif.orientation
+nie:copyright xmp.rights own.copyright exif.copyright
+nie:license xmp.license own.disclaimer
+nco:contributor xmp.artist exif.artist xmp.contributor
+nie:contentCreated xmp.date xmp.time_original own.creation_time exif.time exif.time_original
+nie:description xmp.description own.description exif.description
+nie:comment own.comment exif.user_comment
+nfo:manufacturer xmp.make exif.make
+nfo:model xmp.model exif.model
+""",
+    "gif": """
+nco:creator xmp.creator
+nie:title xmp.title xmp.title2 xmp.pdf_title
+nie:copyright xmp.rights
+nie:license xmp.license
+nie:contentCreated xmp.date xmp.time_original
+nie:description xmp.description
+nie:comment own.comment
+nfo:orientation xmp.orientation
+""" + _CAMERA,
+}
+
+
+def rank_rows() -> list[tuple[str, str, str, int]]:
+    """(module, field, source, rank) of all ranks, as ``policy.ranked`` takes them."""
+    return [(module, field, source, k) for module, lines in RANKS.items() for field, *sources in map(str.split, filter(None, lines.splitlines())) for k, source in enumerate(sources)]
+
+
+def settled(module: str, **sources: dict[str, str]) -> dict[str, str]:
+    """The properties of an image of that format by RANKS; keywords are those of all sources."""
     out: dict[str, str] = {}
-    local = lambda tag: tag.rsplit("}", 1)[-1]
-    for about in (e for e in root.iter() if local(e.tag) == "Description"):
-        found = [(k, v) for k, v in about.attrib.items()]
-        for e in about:
-            items = [i.text.strip() for i in e.iter() if local(i.tag) == "li" and i.text and i.text.strip()]
-            found.append((e.tag, ",".join(items) if items else e.text or ""))
-        for tag, value in found:
-            if local(tag) in XMP_NAMES and value.strip():
-                out.setdefault(XMP_NAMES[local(tag)], value.strip())
-    return out
+    for name, field, source, _ in rank_rows():
+        kind, _, key = source.partition(".")
+        if name == module and field not in out and (value := first(sources.get(kind, {}).get(key))):
+            out[field] = value
+    words = ", ".join(w for kind in ("xmp", "iptc") if (w := sources.get(kind, {}).get("keywords")))
+    return out | ({"nie:keyword": words} if words else {})
 
 
-def image_properties(e: dict[str, str], i: dict[str, str], x: dict[str, str], comment: str | None = None) -> dict[str, str]:
-    """What an image's EXIF, IPTC and XMP fields say together; each line is one property's order of sources."""
-    ranked = {
-        "nie:title": first(x.get("title"), e.get("document_name")),
-        "nfo:orientation": first(e.get("orientation"), i.get("orientation")),
-        "nie:copyright": first(x.get("copyright"), x.get("rights"), e.get("copyright"), i.get("copyright")),
-        "nmm:whiteBalance": e.get("white_balance"),
-        "nmm:fnumber": first(x.get("fnumber"), e.get("fnumber")),
-        "nmm:flash": e.get("flash"),
-        "nmm:focalLength": first(x.get("focal_length"), e.get("focal_length")),
-        "nco:contributor": first(x.get("artist"), e.get("artist"), x.get("contributor")),
-        "nmm:exposureTime": first(x.get("exposure_time"), e.get("exposure_time")),
-        "nmm:isoSpeed": e.get("iso_speed"),
-        "nie:contentCreated": first(x.get("date"), x.get("time_original"), e.get("time"), i.get("date_created"), e.get("time_original")),
-        "nie:description": first(x.get("description"), e.get("description")),
-        "nmm:meteringMode": e.get("metering_mode"),
-        "nco:locality": first(x.get("city"), i.get("city")),
-        "nco:region": first(x.get("state"), i.get("state")),
-        "nco:streetAddress": first(x.get("address"), i.get("sublocation")),
-        "nco:country": first(x.get("country"), i.get("country")),
-        "slo:altitude": e.get("altitude"),
-        "slo:latitude": e.get("latitude"),
-        "slo:longitude": e.get("longitude"),
-        "nco:creator": first(x.get("creator"), i.get("byline"), i.get("credit")),
-        "nie:comment": first(comment, e.get("user_comment")),
-        "nfo:manufacturer": first(x.get("make"), e.get("make")),
-        "nfo:model": first(x.get("model"), e.get("model")),
-        "nie:keyword": first(", ".join(k for k in (x.get("keywords"), i.get("keywords")) if k)),
-    }
-    return {k: v for k, v in ranked.items() if v}
+def image_properties(e: dict[str, str], i: dict[str, str], x: dict[str, str], comment: str | None = None, module: str = "jpeg", own: dict[str, str] | None = None) -> dict[str, str]:
+    """What an image's EXIF, IPTC and XMP fields, and its format's own, say together."""
+    return settled(module, exif=e, iptc=i, xmp=x, own=(own or {}) | ({"comment": comment} if comment else {}))
 
 
 # Fixed values of MPEG audio: kbit/s by (version 1, layer), samples/s of version 1, samples a frame.

@@ -1,10 +1,12 @@
 """Image and audio metadata: bytes made here, fields read back."""
 
 import struct
+import zlib
 
 import pytest
 
-from sextant.operators import extract, overlays
+from sextant.operators import extract, overlays, packets
+from sextant.plans import images
 
 
 def tiff(order, entries, at=8):
@@ -92,3 +94,55 @@ def test_audio_frames():
 
 def test_genres():
     assert [overlays.genre(g) for g in ("(17)", "Rock", "(4)Eurodisco", "13", "(255)")] == ["Rock", "Rock", "Disco", "Pop", None]
+
+
+REGIONS = b"""<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:mwg-rs="http://www.metadataworkinggroup.com/schemas/regions/" xmlns:stArea="http://ns.adobe.com/xmp/sType/Area#" xmlns:dc="http://purl.org/dc/elements/1.1/">
+<rdf:RDF><rdf:Description rdf:about="" dc:title="t"><mwg-rs:Regions rdf:parseType="Resource"><mwg-rs:AppliedToDimensions stArea:w="9"/><mwg-rs:RegionList><rdf:Bag>
+<rdf:li><rdf:Description mwg-rs:Name="Ann" mwg-rs:Type="Face"><mwg-rs:Area stArea:x="0.1" stArea:y="0.2" stArea:w="0.3" stArea:h="0.4" stArea:unit="normalized"/><mwg-rs:Extensions rdf:parseType="Resource"><dc:subject rdf:resource="urn:contact:1"/></mwg-rs:Extensions></rdf:Description></rdf:li>
+<rdf:li rdf:parseType="Resource"><mwg-rs:Type>BarCode42</mwg-rs:Type><mwg-rs:Area rdf:parseType="Resource"><stArea:x>0.5</stArea:x></mwg-rs:Area><mwg-rs:Description>code</mwg-rs:Description></rdf:li>
+</rdf:Bag></mwg-rs:RegionList></mwg-rs:Regions></rdf:Description></rdf:RDF></x:xmpmeta>"""
+
+
+def test_walk_and_regions():
+    rows = packets.walk(REGIONS)
+    assert ("mwg-rs:Regions/mwg-rs:RegionList[1]/mwg-rs:Area/stArea:x", "0.1") in rows and ("mwg-rs:Regions/mwg-rs:AppliedToDimensions/stArea:w", "9") in rows and ("dc:title", "t") in rows
+    assert packets.regions(rows) == [
+        {"title": "Ann", "type": "nfo:roi-content-face", "x": "0.1", "y": "0.2", "width": "0.3", "height": "0.4", "link_class": "dc:subject", "link": "urn:contact:1"},
+        {"type": "nfo:roi-content-barcode", "x": "0.5", "description": "code"},
+    ]
+    deep = b'<x:xmpmeta xmlns:x="a" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><rdf:RDF><rdf:Description>' + b"<dc:a rdf:parseType='Resource'>" * 3000 + b"<dc:b>x</dc:b>" + b"</dc:a>" * 3000 + b"</rdf:Description></rdf:RDF></x:xmpmeta>"
+    assert packets.walk(deep) == [("/".join(["dc:a"] * 3000 + ["dc:b"]), "x")]
+    assert packets.walk(b"<broken") == [] and packets.walk(b"") == []
+
+
+def test_fields_of_packets():
+    inner = "<exif:FNumber>28/10</exif:FNumber><exif:ExposureTime>1/0</exif:ExposureTime><exif:GPSLatitude>41,30.5N</exif:GPSLatitude><exif:GPSLongitude>2,15.0W</exif:GPSLongitude><exif:MeteringMode>5</exif:MeteringMode><exif:WhiteBalance>1</exif:WhiteBalance><exif:Flash>16</exif:Flash><tiff:Orientation>3</tiff:Orientation><exif:GPSAltitude>25/2</exif:GPSAltitude>"
+    assert overlays.xmp(images.packet(inner)) == {
+        "fnumber": "2.8", "latitude": repr(41 + 30.5 / 60), "longitude": "-2.25", "metering_mode": "nmm:metering-mode-pattern", "white_balance": "nmm:white-balance-manual", "flash": "nmm:flash-off", "orientation": "nfo:orientation-bottom", "altitude": "12.5",
+    }
+
+
+def test_png_texts():
+    profile = b"exif\n" + str(len(image("<")) + 6).encode() + b"\n" + (b"Exif\0\0" + image("<")).hex().encode()
+    parts = [images.chunk(b"IHDR", struct.pack(">IIBBBBB", 3, 4, 8, 2, 0, 0, 0)), images.chunk(b"zTXt", b"Raw profile type exif\0\0" + zlib.compress(profile)), images.chunk(b"tEXt", b"Author\0Zo\xeb"), images.chunk(b"iTXt", b"Comment\0\0\0en\0Comment\0caf\xc3\xa9"), images.chunk(b"zTXt", b"Title\0\0broken")]
+    props = extract.read_png(b"\x89PNG\r\n\x1a\n" + b"".join(parts))[1]
+    assert props["nfo:model"] == "Camera" and props["nco:creator"] == "Zoë" and props["nie:comment"] == "café" and props["nfo:width"] == "3" and "nie:title" not in props
+
+
+def test_gif_blocks():
+    long = b"c" * 300
+    comment = b"\x21\xfe\xff" + long[:255] + b"\x2d" + long[255:] + b"\0"
+    trailer = bytes([1, *range(255, -1, -1), 0])
+    packet = b"\x21\xff\x0bXMP DataXMP" + PACKET + trailer
+    picture = b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0"
+    head = b"GIF89a" + struct.pack("<HHBBB", 5, 6, 0x80, 0, 0) + b"\0" * 6
+    props = extract.read_gif(head + packet + picture + comment + b"\x21\xfe\x01!\0;")[1]
+    assert props == {"nfo:width": "5", "nfo:height": "6", "nie:title": "A title", "nie:keyword": "k1,k2", "nie:comment": "c" * 300 + "!"}
+    assert extract.read_gif(head + b";")[1] == {"nfo:width": "5", "nfo:height": "6"}
+
+
+def test_broken_segments_cost_their_own_fields():
+    mark = lambda code, body: b"\xff" + bytes([code]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + mark(0xE1, b"Exif\0\0II") + mark(0xE1, b"http://ns.adobe.com/xap/1.0/\0" + PACKET) + mark(0xC0, struct.pack(">BHHB", 8, 7, 9, 1))
+    props = extract.read_jpeg(jpeg)[1]
+    assert (props["nfo:width"], props["nie:title"]) == ("9", "A title")
