@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from sextant.functions import charsets
 from sextant.functions.paths import base_name, glob_regex
 from sextant.functions.tables import map_batches
-from sextant.operators import deadlines, overlays, packets
+from sextant.operators import deadlines, id3, overlays, packets
 
 #: Bytes of text kept of a file, and bytes read of an audio file and a page description.
 TEXT_BYTES, AUDIO_BYTES, PS_BYTES = 1 << 20, 5 << 20, 20 << 20
@@ -307,12 +307,6 @@ def read_tiff(data: bytes) -> Found:
     return ["nfo:Image", "nmm:Photo"], overlays.image_properties(e, overlays.iptc(i), overlays.xmp(x), module="tiff", own=e) | size, None
 
 
-# ID3 frames and the properties they are.
-FRAMES = {"TIT2": "nie:title", "TPE1": "nmm:performer", "TALB": "nmm:musicAlbum", "TCON": "nfo:genre", "TRCK": "nmm:trackNumber", "TYER": "nie:contentCreated", "TDRC": "nie:contentCreated", "TCOM": "nmm:composer", "TPUB": "nco:publisher", "TCOP": "nie:copyright"}
-OLD_FRAMES = {"TT2": "TIT2", "TP1": "TPE1", "TAL": "TALB", "TCO": "TCON", "TRK": "TRCK", "TYE": "TYER", "TCM": "TCOM", "TPB": "TPUB", "TCR": "TCOP"}
-ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
-
-
 def read_mp3(data: bytes) -> Found:
     """ID3v2 frames first, then what ID3v1 adds; rates and seconds from the audio frames."""
     props: dict[str, str] = {}
@@ -320,20 +314,8 @@ def read_mp3(data: bytes) -> Found:
     tail = data[-128:] if data[-128:][:3] == b"TAG" else b""
     data = data[:AUDIO_BYTES]
     if data[:3] == b"ID3":
-        version, size = data[3], sum((b & 127) << 7 * (3 - i) for i, b in enumerate(data[6:10]))
-        at, name_size, start = 10, 3 if version == 2 else 4, 10 + size
-        while at + name_size < 10 + size and data[at]:
-            name = data[at : at + name_size].decode("latin-1")
-            if version == 2:
-                length, head = int.from_bytes(data[at + 3 : at + 6]), 6
-            else:
-                raw = data[at + 4 : at + 8]
-                length, head = (sum((b & 127) << 7 * (3 - i) for i, b in enumerate(raw)) if version == 4 else int.from_bytes(raw)), 10
-            body = data[at + head : at + head + length]
-            prop = FRAMES.get(OLD_FRAMES.get(name, name))
-            if prop and body and body[0] < 4:
-                props.setdefault(prop, body[1:].decode(ENCODINGS[body[0]], "replace").strip("\0 "))
-            at += head + length
+        start = id3.tag_size(data)
+        props = id3.properties(data)
     if tail:
         for prop, a, b in (("nie:title", 3, 33), ("nmm:performer", 33, 63), ("nmm:musicAlbum", 63, 93), ("nie:contentCreated", 93, 97), ("nie:comment", 97, 127)):
             if value := tail[a:b].split(b"\0")[0].decode("latin-1").strip():
@@ -456,7 +438,7 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"image/(x-ms-)?bmp", "Pictures", read_bmp, "bmp1"),
     (r"image/jpeg", "Pictures", read_jpeg, "jpeg3"),
     (r"image/tiff", "Pictures", read_tiff, "tiff2"),
-    (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp32"),
+    (r"audio/mpeg|audio/x-mp3", "Audio", read_mp3, "mp33"),
     (r"text/.*", "Documents", read_text, "text1"),
     (r".*", "FileSystem", read_nothing, "none1"),
 ]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sextant.functions.tables import map_batches
-from sextant.operators import extract
+from sextant.operators import extract, writers
 from sextant.plans import store
 
 NAMESPACES = 'xmlns:x="adobe:ns:meta/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:exif="http://ns.adobe.com/exif/1.0/" xmlns:pdf="http://ns.adobe.com/pdf/1.3/" xmlns:tiff="http://ns.adobe.com/tiff/1.0/" xmlns:mwg-rs="http://www.metadataworkinggroup.com/schemas/regions/" xmlns:stArea="http://ns.adobe.com/xmp/sType/Area#"'
@@ -122,3 +122,56 @@ SQL = {
     "e_xmp_regions": """SELECT p_partkey, r AS region, p_brand || ' ' || r AS title, CASE WHEN r % 2 = 0 THEN 'nfo:roi-content-face' ELSE 'nfo:roi-content-undefined' END AS type, '0.' || p_size AS x, '0.5' AS y, '0.1' AS width, NULL AS height
         FROM (SELECT p_partkey, p_brand, p_size, unnest(range(1, p_size % 4 + 2)) AS r FROM part)""",
 }
+
+
+def _props(names: dict):
+    """A map of the properties that have a value."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in names.items()])
+    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
+
+
+def k21_write_images(s, d):
+    """Images of three formats, written and read again."""
+    n = F.col("c_nationkey")
+    values = _props({
+        "nie:title": F.concat(F.lit("neu & <"), F.col("c_name"), F.lit(">")), "nie:copyright": F.col("c_mktsegment"), "nie:keyword": F.concat(F.lit("a,"), F.col("c_mktsegment")), "nfo:orientation": F.lit("nfo:orientation-bottom"),
+        "nmm:flash": F.when(n % 2 == 0, "nmm:flash-on").otherwise("nmm:flash-off"), "slo:latitude": F.when(n % 3 == 0, (n - F.lit(12)).cast("string")), "nie:description": F.when(n % 5 == 0, F.lit("")),
+    })
+    c = store.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), values.alias("props"))
+    files = None
+    for form in ("jpeg", "png", "tiff"):
+        part = _files(s, d, form)
+        files = part if files is None else files.unionByName(part)
+    done = writers.write_metadata(files.join(c, "path"))
+    found = extract.extract(done.where("error IS NULL"))
+    p = lambda k: F.element_at("props", k)
+    return found.select(F.col("path").cast("long").alias("k"), "mime", p("nie:title").alias("title"), p("nie:copyright").alias("copyright"), p("nfo:orientation").alias("orientation"), p("nmm:flash").alias("flash"), p("nfo:width").cast("long").alias("width"), "error")
+
+
+def k21_write_audio(s, d):
+    """Audio files with an old tag, written and read again; the audio after the tag stays as it was."""
+    big = lambda c, size: F.lpad(F.hex(c), 2 * size, "0")
+    old = F.concat(F.lit(b"ID3\4\0\0\0\0\x01\x00".hex() + b"TCOM\0\0\0\x05\0\0\3old!".hex()), F.lit("00" * (128 - 15)))
+    audio = F.concat(F.lit("FFFB9000" + "00" * 32 + b"Xing".hex() + "00000001"), big(F.col("c_custkey") * 100, 4), F.lit("00" * 369), F.lit("FFFB9000" + "00" * 413))
+    content = F.unhex(F.concat(F.when(F.col("c_custkey") % 2 == 0, old).otherwise(F.lit("")), audio))
+    values = _props({"nie:title": F.col("c_name"), "nmm:performer": F.concat(F.lit("Ünï "), F.col("c_mktsegment")), "nmm:albumArtist": F.lit("various"), "nmm:trackNumber": F.col("c_nationkey").cast("string"), "nie:comment": F.lit("a comment"), "nmm:lyrics": F.lit("la la"), "nie:keyword": F.lit("k1,k2")})
+    c = store.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit("audio/mpeg").alias("mime"), content.alias("content"), values.alias("props"), F.sha2(F.unhex(audio), 256).alias("audio"))
+    done = writers.write_metadata(c).join(c.select("path", "audio"), "path")
+    size = F.conv(F.concat(*[F.lpad(F.bin(F.conv(F.hex(F.substring("content", k, 1)), 16, 10).cast("long")), 7, "0") for k in (7, 8, 9, 10)]), 2, 10).cast("int")
+    same = F.sha2(F.expr("substring(content, size + 11)"), 256) == F.col("audio")
+    done = done.withColumn("size", size).withColumn("same", same).select("path", "mime", "content", "same")
+    found = extract.extract(done).join(done.select("path", "same"), "path")
+    p = lambda k: F.element_at("props", k)
+    return found.select(
+        F.col("path").cast("long").alias("k"), p("nie:title").alias("title"), p("nmm:performer").alias("performer"), p("nmm:albumArtist").alias("album_artist"), p("nmm:trackNumber").alias("track"), p("nie:comment").alias("comment"),
+        p("nmm:lyrics").alias("lyrics"), p("nie:keyword").alias("keywords"), p("nmm:composer").alias("composer"), p("nfo:duration").cast("long").alias("seconds"), "same", "error",
+    )
+
+
+QUERIES |= {"k21_write_images": k21_write_images, "k21_write_audio": k21_write_audio}
+SQL |= {
+    "k21_write_images": """SELECT c_custkey AS k, mime, 'neu & <' || c_name || '>' AS title, c_mktsegment AS copyright, 'nfo:orientation-bottom' AS orientation,
+        CASE WHEN c_nationkey % 2 = 0 THEN 'nmm:flash-on' ELSE 'nmm:flash-off' END AS flash, CASE mime WHEN 'image/jpeg' THEN c_custkey % 60000 ELSE c_custkey END AS width, NULL AS error FROM customer, (VALUES ('image/jpeg'), ('image/png'), ('image/tiff')) v(mime)""",
+    "k21_write_audio": """SELECT c_custkey AS k, c_name AS title, 'Ünï ' || c_mktsegment AS performer, 'various' AS album_artist, CAST(c_nationkey AS VARCHAR) AS track, 'a comment' AS comment, 'la la' AS lyrics, 'k1,k2' AS keywords,
+        CASE WHEN c_custkey % 2 = 0 THEN 'old!' END AS composer, c_custkey * 100 * 1152 // 44100 AS seconds, true AS same, NULL AS error FROM customer""",
+}
