@@ -84,30 +84,42 @@ def parse(page: str) -> Node:
     """The element tree of a page, however badly its tags are closed."""
     root = Node("#root")
     stack, at, end = [root], 0, len(page)
+    open_tags: dict[str, int] = {}
+    last = page.rfind(">") + 1  # what follows holds no whole tag
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
+        del stack[depth:]
 
     def close(names: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        if not any(map(open_tags.get, names)):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in names:
-                del stack[depth:]
+                cut(depth)
                 return
             if stack[depth].tag in limits:
                 return
 
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None or m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start() if m else end]))
+        m = TOKEN.search(page, at, last)
         if m is None:
+            rest = page.find("<!--", at)
+            if text := page[at:] if rest < 0 else page[at:rest]:
+                stack[-1].children.append(html.unescape(text))
             break
+        if m.start() > at:
+            stack[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if page.startswith("<!--", m.start()) and not page.endswith("-->", m.start() + 4, at):
+                break  # a comment without an end
             continue
         if m[1] or m[4]:
-            if any(n.tag == name for n in stack[1:]):
-                while stack[-1].tag != name:
-                    stack.pop()
-                stack.pop()
+            if open_tags.get(name):
+                cut(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == name))
             continue
         attributes = m[3] or m[6] or ""
         if name in CLOSES_P:
@@ -117,10 +129,11 @@ def parse(page: str) -> Node:
         node = Node(name, attributes)
         stack[-1].children.append(node)
         if name in RAW:
-            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            stop = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at, last)
             at = stop.end() if stop else end
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append(node)
+            open_tags[name] = open_tags.get(name, 0) + 1
     return root
 
 

@@ -292,3 +292,13 @@ def test_personal_table(table):
     assert rows[50] == rows[51] == [] and [s.base for s in rows[None]] == [True]
     assert [s.kind for s in rows[53]] == ["email"]
     assert personal_data.find_personal_data(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<div></b>", "<a ", "<span>", "</b>", "<!--x", "</script", '<a ">x', "<script>", "<p><li></i>", "<td><b>", "<"])
+def test_broken_pages_in_linear_time(part):
+    """A megabyte of broken tags, and the same ones in blocks of one kind."""
+    start = time.monotonic()
+    html_extract.parse(part * (1_000_000 // len(part)))
+    for piece in re.findall(r"<[^<]*", part):
+        html_extract.parse(piece * 100_000 + "<p></p>" * 50_000)
+    assert time.monotonic() - start < 12
