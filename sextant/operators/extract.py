@@ -20,6 +20,7 @@ from email.utils import parsedate_to_datetime
 from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -370,7 +371,52 @@ def read_office(data: bytes) -> Found:
     return [kind], props, "".join(r + " " for r in runs)[:TEXT_BYTES].strip()
 
 
+# Elements whose own text counts, by kind of OpenDocument; a kind's cells and shapes are told apart by blanks.
+WORD_TAGS = frozenset(("text:p", "text:h", "text:a", "text:span", "text:s", "text:tab", "text:line-break", "table:table-cell"))
+KINDS = {"text": WORD_TAGS.__contains__, "presentation": lambda tag: True, "spreadsheet": lambda tag: tag.startswith("text"), "graphics": lambda tag: tag.startswith("text")}
+
+
+class _Enough(Exception):
+    """The limit of a text is reached."""
+
+
+def open_document_text(member: io.BufferedIOBase, kind: str, longest: int = TEXT_BYTES) -> str:
+    """Text of a document's content by its kind, from a stream that is read no further than the limit of UTF-8 bytes.
+
+    In a text document what elements say is joined as it stands, but for table
+    cells; elsewhere a blank follows it.
+    """
+    wanted, stack, parts, left = KINDS[kind], [], [], longest
+
+    def start(name: str, _: dict) -> None:
+        stack.append(name.lower() if wanted(name.lower()) else "")
+
+    def text(data: str) -> None:
+        nonlocal left
+        if not stack or not stack[-1]:
+            return
+        if left <= 0:
+            raise _Enough
+        raw = data.encode()[:left]
+        left -= len(raw)
+        parts.append(raw.decode("utf-8", "ignore"))
+        if (kind != "text" or stack[-1] == "table:table-cell") and not parts[-1].endswith(" "):
+            parts.append(" ")
+
+    parser = expat.ParserCreate()
+    parser.buffer_text, parser.buffer_size = True, 1 << 16
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda name: stack.pop(), text
+    try:
+        while chunk := member.read(1 << 16):
+            parser.Parse(chunk)
+        parser.Parse(b"", True)
+    except _Enough:
+        pass
+    return "".join(parts)
+
+
 def read_open_document(data: bytes) -> Found:
+    """Properties, and the text by the kind that the package names; without one, the text of all text elements."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         meta = ElementTree.fromstring(z.read("meta.xml"))
         props = _dublin(meta)
@@ -379,6 +425,11 @@ def read_open_document(data: bytes) -> Found:
                 for k, v in e.attrib.items():
                     if _local(k) in ("page-count", "word-count"):
                         props["nfo:pageCount" if _local(k) == "page-count" else "nfo:wordCount"] = v
+        named = z.read("mimetype").decode("latin-1").strip().lower() if "mimetype" in z.namelist() else ""
+        kind = named.removeprefix("application/vnd.oasis.opendocument.").removesuffix("-template")
+        if kind in KINDS:
+            with z.open("content.xml") as member:
+                return ["nfo:PaginatedTextDocument"], props, open_document_text(member, kind)
         text = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
         parts = [p for e in ElementTree.fromstring(z.read("content.xml")).iter() if e.tag.startswith("{" + text) for p in (e.text, *(c.tail for c in e)) if p and p.strip()]
     return ["nfo:PaginatedTextDocument"], props, " ".join(parts)[:TEXT_BYTES]
@@ -429,7 +480,7 @@ READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"application/postscript", "Documents", read_ps, "ps1"),
     (r"application/x-desktop", "Software", read_desktop, "desktop1"),
     (r"application/vnd\.openxmlformats.*", "Documents", read_office, "office1"),
-    (r"application/vnd\.oasis\.opendocument.*", "Documents", read_open_document, "odf1"),
+    (r"application/vnd\.oasis\.opendocument.*", "Documents", read_open_document, "odf2"),
     (r"application/epub\+zip", "Documents", read_epub, "epub1"),
     (r"application/x-abiword", "Documents", read_abiword, "abw1"),
     (r"image/vnd\.microsoft\.icon", "Pictures", read_icon, "icon1"),
