@@ -45,6 +45,12 @@ def add_tag(tags: DataFrame, urn: str, label: str, description: str) -> DataFram
     return tags.unionByName(new.join(tags.select("label"), "label", "left_anti").select(tags.columns))
 
 
+def add_tags(tags: DataFrame, new: DataFrame) -> DataFrame:
+    """Many at once, all columns as they are: of new tags with one label the first by urn, unless there is a tag of that label."""
+    first = new.groupBy("label").agg(F.min_by(F.struct(*tags.columns), "urn").alias("t")).select("t.*")
+    return tags.unionByName(first.join(tags.select("label"), "label", "left_anti").select(tags.columns))
+
+
 def tag_resources(edges: DataFrame, resources: DataFrame, tag_urn: str) -> DataFrame:
     return edges.unionByName(resources.select("subject", F.lit(tag_urn).alias("tag_urn"))).distinct()
 

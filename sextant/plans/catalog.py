@@ -148,7 +148,11 @@ def _(s, d):
 
 @query("k14_insert_tag_if_absent")
 def _(s, d):
-    return tags.add_tag(tags.add_tag(store.tags(s), "urn:tag:new", "new", "added"), "urn:tag:x", "unused", "again")
+    p = store.table(s, d, "part")
+    known = p.where("p_size < 5").select(F.concat(F.lit("urn:tag:"), "p_brand").alias("urn"), F.col("p_brand").alias("label"), F.lit("known").alias("description")).distinct()
+    label = F.explode(F.array("p_brand", F.concat("p_brand", F.lit("/"), "p_size")))
+    new = p.select(label.alias("label"), F.concat(F.lit("urn:new:"), F.col("p_partkey").cast("string")).alias("urn"), F.lit("added").alias("description"))
+    return tags.add_tags(known, new)
 
 
 # Status and details.
@@ -461,12 +465,12 @@ def _(s, d):
 @query("k16_keep_predicates")
 def _(s, d):
     q = _quads(s, d)
-    return feeds.keep_predicates(q, q.where("s LIKE 'file:///src5/%'").select("s"), ["nie:interpretedAs"]).groupBy("p").agg(F.count("*").alias("n"))
+    return feeds.keep_predicates(q, q.where("s LIKE 'file:///src5/%'").select("s"), ["nie:interpretedAs"]).select("s", "p", "o")
 
 
 @query("k17_orphans")
 def _(s, d):
-    return feeds.orphans(store.messages(s, d), store.channels(s, d).where("update_interval > 2")).groupBy("channel").agg(F.count("*").alias("n"))
+    return feeds.orphans(store.messages(s, d), store.channels(s, d).where("update_interval > 2")).select("urn", "channel")
 
 
 @query("k17_without_orphans")
@@ -679,7 +683,7 @@ def _(s, d):
 def _(s, d):
     e = store.elements(s, d).select(F.col("ie").alias("resource"), F.array("class", F.lit("nie:InformationElement")).alias("types"))
     modules = s.createDataFrame([("nfo:Image", "xmp"), ("nmm:MusicPiece", "audio"), ("nfo:Video", "audio")], "type string, module string")
-    return policy.writers(e, modules).groupBy("module").agg(F.count("*").alias("n"))
+    return policy.writers(e, modules).select("resource", "module")
 
 
 @query("d18_not_in_flight")

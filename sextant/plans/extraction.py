@@ -28,7 +28,7 @@ def e_errors(s, d):
     docs = store.elements(s, d)
     mime = F.element_at(F.array(F.lit("image/png"), F.lit("application/epub+zip"), F.lit("image/jpeg")), F.col("sn") % 3 + 1)
     found = extract.extract(docs.select(F.col("url").alias("path"), mime.alias("mime"), F.encode("text", "UTF-8").alias("content")))
-    return found.where("error IS NOT NULL").groupBy("mime", "graph").agg(F.count("*").alias("n"))
+    return found.where("error IS NOT NULL").select("path", "mime", "graph", "error")
 
 
 def _playlists(s, d):
@@ -124,8 +124,9 @@ _LISTS = "x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q
 SQL = {
     "e_html": """SELECT url AS path, 'Documents' AS graph, 'nfo:HtmlDocument' AS class, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title, NULL AS error FROM pages""",
     "e_text": "SELECT 'file:///' || source || '/' || doc_id || '.txt' AS path, 'Documents' AS graph, md5(text) AS digest FROM documents",
-    "e_errors": """SELECT mime, CASE mime WHEN 'application/epub+zip' THEN 'Documents' ELSE 'Pictures' END AS graph, count(*) AS n FROM (
-        SELECT (['image/png', 'application/epub+zip', 'image/jpeg'])[CAST(substr(source, 4) AS INT) % 3 + 1] AS mime FROM documents) GROUP BY mime""",
+    "e_errors": """SELECT path, mime, CASE mime WHEN 'application/epub+zip' THEN 'Documents' ELSE 'Pictures' END AS graph,
+        CASE mime WHEN 'image/png' THEN 'ValueError: not a PNG file' WHEN 'image/jpeg' THEN 'ValueError: not a JPEG file' ELSE 'BadZipFile: File is not a zip file' END AS error FROM (
+        SELECT 'file:///' || source || '/' || doc_id || '.txt' AS path, (['image/png', 'application/epub+zip', 'image/jpeg'])[CAST(substr(source, 4) AS INT) % 3 + 1] AS mime FROM documents)""",
     "e_playlist": f"WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, q) AS position, 'http://m/' || l_partkey AS url FROM x",
     "e_playlist_summary": f"WITH {_LISTS} SELECT CAST(l_orderkey AS VARCHAR) AS path, count(*) AS entries, CAST(sum(q) AS BIGINT) AS seconds FROM x GROUP BY 1",
     "k21_write_pls": f"""WITH {_LISTS}, y AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS p FROM x)

@@ -126,7 +126,9 @@ SQL = {
     "q18_tag_resources": _with(ELEMENTS, LABELLED) + f"SELECT subject, tag_urn FROM edges UNION SELECT ie, 'urn:tag:unused' FROM el WHERE class = '{CLASSES[1]}'",
     "q18_untag_resources": _with(ELEMENTS, LABELLED) + "SELECT subject, tag_urn FROM edges WHERE NOT (tag_urn = 'urn:tag:toxic:0' AND subject IN (SELECT ie FROM el WHERE sn < 10))",
     "q18_remove_tag": _with(LABELLED) + "SELECT subject, tag_urn FROM edges WHERE tag_urn <> 'urn:tag:toxic:0'",
-    "k14_insert_tag_if_absent": _with(LABELLED) + "SELECT * FROM tags UNION ALL SELECT 'urn:tag:new', 'new', 'added'",
+    "k14_insert_tag_if_absent": """WITH known AS (SELECT DISTINCT 'urn:tag:' || p_brand AS urn, p_brand AS label, 'known' AS description FROM part WHERE p_size < 5),
+            new AS (SELECT unnest([p_brand, p_brand || '/' || p_size]) AS label, 'urn:new:' || p_partkey AS urn FROM part)
+        SELECT urn, label, description FROM known UNION ALL SELECT min(urn), label, 'added' FROM new WHERE label NOT IN (SELECT label FROM known) GROUP BY label""",
     "q19_class_statistics": _with(ELEMENTS) + "SELECT class, count(*) AS n FROM el GROUP BY class",
     "q19_class_statistics_named": _with(ELEMENTS) + "SELECT class, count(*) AS n FROM el WHERE lower(class) LIKE '%doc%' GROUP BY class",
     "q20_counts": _with(ELEMENTS, VOLUMES) + "SELECT count(*) AS files, count(DISTINCT container) AS folders, count(DISTINCT container) FILTER (WHERE data_source IN (SELECT urn FROM vol WHERE available)) AS available_folders FROM el",
@@ -197,8 +199,8 @@ SQL = {
     "a10_latest_message": _with(FEEDS) + "SELECT url, urn, published FROM messages QUALIFY row_number() OVER (PARTITION BY url ORDER BY published DESC, turn) = 1",
     "d20_feed_reconcile": _with(FEEDS)
     + """SELECT urn, CASE WHEN turn = 1 THEN 'KEEP' WHEN role = 'system' OR turn >= 6 THEN 'INSERT' WHEN role = 'user' THEN 'UPDATE' ELSE 'REFRESH' END AS action FROM messages WHERE turn <> 1 OR role <> 'system'""",
-    "k16_keep_predicates": _with(ELEMENTS, QUADS) + "SELECT p, count(*) AS n FROM quads WHERE NOT s LIKE 'file:///src5/%' OR p = 'nie:interpretedAs' GROUP BY p",
-    "k17_orphans": _with(FEEDS) + "SELECT channel, count(*) AS n FROM messages WHERE channel NOT IN (SELECT urn FROM channels WHERE update_interval > 2) GROUP BY channel",
+    "k16_keep_predicates": _with(ELEMENTS, QUADS) + "SELECT s, p, o FROM quads WHERE NOT s LIKE 'file:///src5/%' OR p = 'nie:interpretedAs'",
+    "k17_orphans": _with(FEEDS) + "SELECT urn, channel FROM messages WHERE channel NOT IN (SELECT urn FROM channels WHERE update_interval > 2)",
     "k17_without_orphans": _with(FEEDS) + "SELECT urn, channel FROM messages WHERE channel IN (SELECT urn FROM channels WHERE update_interval > 2)",
     "q25_feed_list": _with(FEEDS) + "SELECT urn, url, title, greatest(update_interval, 1) AS minutes FROM channels",
     "d21_debounce": """SELECT user_id, max(ts) + INTERVAL 30 MINUTE AS notified, count(*) AS updates FROM (
@@ -276,7 +278,7 @@ SQL = {
         FROM (SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1))""",
     "a13_fallback_types": """SELECT DISTINCT p_type AS mime, CASE WHEN p_type LIKE 'PROMO %' THEN 'A,B' WHEN p_type LIKE '%STEEL' THEN 'C' ELSE 'Z,A' END AS types,
         'A' || CASE WHEN p_type LIKE 'PROMO %' THEN ',B' ELSE '' END || CASE WHEN p_type LIKE '%STEEL' THEN ',C' ELSE '' END || ',Z' AS all_types FROM part""",
-    "p21_writers": _with(ELEMENTS) + "SELECT CASE class WHEN 'nfo:Image' THEN 'xmp' WHEN 'nmm:MusicPiece' THEN 'audio' WHEN 'nfo:Video' THEN 'audio' END AS module, count(*) AS n FROM el GROUP BY 1",
+    "p21_writers": _with(ELEMENTS) + "SELECT ie AS resource, CASE class WHEN 'nfo:Image' THEN 'xmp' WHEN 'nmm:MusicPiece' THEN 'audio' WHEN 'nfo:Video' THEN 'audio' END AS module FROM el",
     "d18_not_in_flight": _with(ELEMENTS) + "SELECT url, doc_id FROM el WHERE doc_id % 50 <> 7",
     "g_ranked_sources": """SELECT o_orderkey AS item, module, 'title' AS field, CASE WHEN module = 'png' THEN coalesce(xmp, exif, 'fallback') ELSE coalesce(exif, xmp, 'fallback') END AS value FROM (
         SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'png' ELSE 'jpeg' END AS module, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS xmp, CASE WHEN o_orderkey % 2 <> 0 THEN o_orderstatus END AS exif FROM orders)""",
