@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sextant.functions.stemming import stem, stems_of
 from sextant.functions.strings import plain, snippet, tokens
 
 
@@ -71,6 +72,20 @@ def inverted_index(elements: DataFrame, key: str = "ie", text: str = "text", onl
     return elements.select(key, F.explode(words).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
 
 
+def stemmed_index(elements: DataFrame, key: str = "ie", text: str = "text", language: str = "lang", ignore_numbers: bool = False) -> DataFrame:
+    """``token, key, n``: postings of the stems of all words, by each text's language (unknown ones are English); numbers may be left out."""
+    stems = stems_of(tokens(F.col(text)), F.col(language), ignore_numbers)
+    return elements.select(key, F.explode(stems).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+
+
+def search_stems(index: DataFrame, terms: list[str], languages: list[str], key: str = "ie") -> DataFrame:
+    """``key, hits`` of the keys that have a form of every term, by the stems that the terms have in any of the languages."""
+    forms = [{stem(plain(t), lang) for lang in languages} for t in terms]
+    pairs = index.sparkSession.createDataFrame([(f, i) for i, each in enumerate(forms) for f in sorted(each)], "token string, term int")
+    hits = index.join(F.broadcast(pairs), "token")  # a few forms of each term
+    return hits.groupBy(key).agg(F.countDistinct("term").alias("k"), F.sum("n").alias("hits")).where(F.col("k") == len(terms)).select(key, "hits")
+
+
 #: Folders of a written index.
 SHELVES = 64
 

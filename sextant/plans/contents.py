@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import charsets
 from sextant.functions.tables import map_batches
-from sextant.operators import extract
+from sextant.operators import extract, search
 from sextant.plans import store
 from sextant.streaming import moves
 
@@ -116,3 +116,27 @@ SQL |= {
         UNION ALL SELECT seq, 0, CASE WHEN stays THEN 'MOVED' ELSE 'DELETED' END, source, CASE WHEN stays THEN destination END, false FROM q WHERE kind = 'MOVED'
         UNION ALL SELECT seq, 1, 'UPDATED', destination, NULL, false FROM q WHERE kind = 'MOVED' AND stays AND split_part(source, '.', -1) <> split_part(destination, '.', -1)""",
 }
+
+# Forms of one word in each language of the documents; the first is searched for.
+FORMS = {"en": ("generously", "generous", "generousness"), "de": ("aufeinanderfolge", "aufeinanderfolgend", "aufeinanderfolgenden"), "fr": ("majestueuse", "majestueusement", "majestueux"), "es": ("torpedearon", "torpedear", "torpedeado")}
+
+
+def fts_stemmed(s, d):
+    """Documents with a form of a word put at their end, every seventh with a number instead, searched by another form."""
+    docs = store.table(s, d, "documents").where("lang IS NOT NULL")
+    form = F.lit(None).cast("string")
+    for lang, forms in FORMS.items():
+        form = F.when(F.col("lang") == lang, F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(form)
+    words = F.when(F.col("doc_id") % 7 == 0, F.lit("2024")).otherwise(form)
+    texts = docs.select("doc_id", "lang", F.concat_ws(" ", "text", words).alias("text"))
+    index = search.stemmed_index(texts, "doc_id", "text", "lang", ignore_numbers=True)
+    found = None
+    for lang, forms in FORMS.items():
+        one = search.search_stems(index, [forms[0]], [lang], "doc_id").withColumn("term", F.lit(forms[0]))
+        found = one if found is None else found.unionByName(one)
+    numbers = search.search_stems(index, ["2024"], ["en"], "doc_id").withColumn("term", F.lit("2024"))  # there is none
+    return found.unionByName(numbers).select("term", "doc_id", "hits")
+
+
+QUERIES["fts_stemmed"] = fts_stemmed
+SQL["fts_stemmed"] = "SELECT CASE lang " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in FORMS.items()) + " END AS term, doc_id, CAST(1 AS BIGINT) AS hits FROM documents WHERE doc_id % 7 <> 0 AND lang IN ('en', 'de', 'fr', 'es')"
