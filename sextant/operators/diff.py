@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.functions.paths import is_under
+from sextant.functions.paths import ancestors, is_under
 from sextant.functions.tables import one_each
 
 
@@ -86,3 +86,21 @@ def work_list(elements: DataFrame, hashed: DataFrame, ranks: dict[str, int], aft
     if after:
         left = left.where((F.col("rank") > after[0]) | ((F.col("rank") == after[0]) & (F.col("ie") > after[1])))
     return left.orderBy("rank", "ie").limit(batch)
+
+
+def move_all(files: DataFrame, moves: DataFrame, key: str = "uri") -> DataFrame:
+    """Many moves (old, new, deep) at once, each with what is below it.
+
+    A file at a destination is deleted first, unless it moves itself.  What is
+    below a folder that isn't ``deep``, as its new place is indexed without
+    what is below, is deleted.  Of several moved folders above a file the
+    deepest counts.
+    """
+    up = files.select(key, F.explode(ancestors(F.col(key))).alias("old")).join(moves, "old")
+    nearest = up.groupBy(key).agg(F.max_by(F.struct("old", "new", "deep"), F.length("old")).alias("m"))
+    both = files.join(nearest, key, "left")
+    stays = F.col("m").isNull() | (F.col(key) == F.col("m.old")) | F.col("m.deep")
+    target = F.when(F.col("m").isNull(), F.col(key)).otherwise(F.concat("m.new", F.expr(f"substring({key}, length(m.old) + 1)")))
+    there = both.where(F.col("m").isNull()).join(moves.select(F.col("new").alias(key)).distinct(), key, "left_semi").select(key)
+    left = both.join(there, key, "left_anti").where(stays)
+    return left.select(*[target.alias(key) if c == key else F.col(c) for c in files.columns])

@@ -53,3 +53,27 @@ def debounce(updates: DataFrame, key: str, time: str, gap: str = "2 seconds") ->
     """One notice per key for updates that follow each other within ``gap``."""
     session = F.session_window(time, gap)
     return updates.groupBy(key, session.alias("w")).agg(F.count("*").alias("updates")).select(key, F.col("w.end").alias("notified"), "updates")
+
+
+def add_feeds(channels: DataFrame, new: DataFrame) -> DataFrame:
+    """Channels with those of ``new`` whose url isn't known; of new ones with one url the first by urn."""
+    first = new.groupBy("url").agg(F.min_by(F.struct(*channels.columns), "urn").alias("c")).select("c.*")
+    return channels.unionByName(first.join(channels.select("url"), "url", "left_anti").select(channels.columns))
+
+
+def delete_feeds(channels: DataFrame, messages: DataFrame, enclosures: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Channels, messages and enclosures without the feeds of some urls; what belongs to a feed goes with it."""
+    left = channels.join(urls.select("url"), "url", "left_anti").select(channels.columns)
+    kept = without_orphans(messages, left)
+    return left, kept, without_orphan_enclosures(enclosures, kept)
+
+
+def without_orphan_enclosures(enclosures: DataFrame, messages: DataFrame) -> DataFrame:
+    """Enclosures whose message there is."""
+    return enclosures.join(messages.select(F.col("urn").alias("message")), "message", "left_semi").select(enclosures.columns)
+
+
+def insert_or_replace(quads: DataFrame, new: DataFrame) -> DataFrame:
+    """What ``new`` says of a graph, subject and predicate takes the place of all that was said before; repeated quads are one."""
+    said = new.select("g", "s", "p").distinct()
+    return quads.join(said, ["g", "s", "p"], "left_anti").select(quads.columns).unionByName(new.select(quads.columns)).distinct()

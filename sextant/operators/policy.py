@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.tables import few
+from sextant.operators.roots import longest_root
 
 
 def out_of_space(free: Column, total: Column, limit_percent: Column) -> Column:
@@ -81,3 +82,24 @@ def ranked(values: DataFrame, ranks: DataFrame) -> DataFrame:
     """
     known = values.where(F.trim("value") != "").join(few(ranks), ["module", "field", "source"])
     return known.groupBy("item", "module", "field").agg(F.min_by(F.trim("value"), "rank").alias("value"))
+
+
+def pause_on_battery(on_battery: Column, low: Column, allowed: Column, first_time_allowed: Column, first_done: Column) -> Column:
+    """Whether indexing pauses: never on mains; on battery if it is low, or if it isn't allowed, but for a first run that is allowed and not done."""
+    on_battery, low, allowed, first_time_allowed, first_done = (F.coalesce(c, F.lit(False)) for c in (on_battery, low, allowed, first_time_allowed, first_done))
+    return on_battery & (low | (~allowed & (~first_time_allowed | first_done)))
+
+
+def queue_order(events: DataFrame, roots: DataFrame) -> DataFrame:
+    """Events (path, ...) with ``root`` and ``priority``: 0 below a root that comes first, 1 below others; null outside of all roots (root, priority)."""
+    held = longest_root(events.select("path").distinct(), roots)
+    flagged = held.join(roots.select("root", F.when(F.col("priority"), 0).otherwise(1).alias("priority")), "root")
+    return events.join(flagged, "path", "left")
+
+
+def root_counters(entries: DataFrame, roots: DataFrame, ignored: Column) -> DataFrame:
+    """``root, folders, files, folders_ignored, files_ignored`` of entries (path, is_dir); each counts for the deepest root that holds it, and roots without any have zeros."""
+    held = entries.join(longest_root(entries.select("path").distinct(), roots), "path")
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counted = held.withColumn("_ignored", ignored).groupBy("root").agg(n(F.col("is_dir") & ~F.col("_ignored")).alias("folders"), n(~F.col("is_dir") & ~F.col("_ignored")).alias("files"), n(F.col("is_dir") & F.col("_ignored")).alias("folders_ignored"), n(~F.col("is_dir") & F.col("_ignored")).alias("files_ignored"))
+    return roots.select("root").distinct().join(counted, "root", "left").fillna(0)

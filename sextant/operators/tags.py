@@ -63,3 +63,8 @@ def untag_resources(edges: DataFrame, resources: DataFrame, tag_urn: str) -> Dat
 def remove_tag(tags: DataFrame, edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     urns = tags.where(F.col("label") == label).select(F.col("urn").alias("tag_urn"))
     return tags.where(F.col("label") != label), edges.join(urns, "tag_urn", "left_anti").select(edges.columns)
+
+
+def limit_reached(listed: DataFrame, limit: int = 512) -> DataFrame:
+    """``shown, reached``: how many tags a list has, and whether there may be more than its limit let through."""
+    return listed.agg(F.count("*").alias("shown")).select("shown", (F.col("shown") >= limit).alias("reached"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.functions import dates, media, paths, strings, urns
 from sextant.model import CLASSES
 from sextant.operators import diff, feeds, policy, roots, search, status, tags
-from sextant.plans import contents, extraction, images, oracle, packages, store
+from sextant.plans import contents, extraction, images, oracle, packages, store, upkeep
 from sextant.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -760,8 +760,8 @@ def _(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | extraction.QUERIES | contents.QUERIES | images.QUERIES | packages.QUERIES
+    return QUERIES | extraction.QUERIES | contents.QUERIES | images.QUERIES | packages.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | extraction.SQL | contents.SQL | images.SQL | packages.SQL
+    return oracle.SQL | extraction.SQL | contents.SQL | images.SQL | packages.SQL | upkeep.SQL
