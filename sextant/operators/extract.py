@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from sextant.functions import charsets
+from sextant.functions.dates import MONTHS
 from sextant.functions.paths import base_name, glob_regex
 from sextant.functions.tables import map_batches
 from sextant.operators import deadlines, id3, overlays, packets
@@ -107,8 +108,38 @@ def read_text(data: bytes) -> Found:
     return ["nfo:PlainTextDocument"], {}, decode_text(data)
 
 
+# Forms of dates in page descriptions.
+PS_DATES = (
+    r"\((?P<h>\d{1,2}):(?P<mi>\d\d) \w+ (?P<d>\d{1,2}) (?P<mo>\w+) (?P<y>\d{4})\)",
+    r"[A-Za-z]+ (?P<mo>\w+) +(?P<d>\d{1,2}) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d) (?P<y>\d{4})",
+    r"(?P<d>\d{1,2}) (?P<mo>\w+) (?P<y>\d{4}) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d) (?P<z>[+-]\d{4})",
+    r"(?P<h>\d{1,2}):(?P<mi>\d\d) (?P<pm>[AP]M) (?P<mo>\w+) (?P<d>\d{1,2}), (?P<y>\d{4})",
+)
+
+
+def ps_date(value: str) -> str | None:
+    """ISO form of a page description's date, with its zone or UTC; none of other forms."""
+    for form in PS_DATES:
+        if m := re.match(form, value.strip()):
+            part = m.groupdict()
+            place = MONTHS.find(part["mo"][:3])
+            if place < 0 or place % 3:
+                return None
+            hour = int(part["h"]) if "pm" not in part else int(part["h"]) % 12 + 12 * (part["pm"] == "PM")
+            return f"{part['y']}-{place // 3 + 1:02d}-{int(part['d']):02d}T{hour:02d}:{part['mi']}:{part.get('s', '00')}{part.get('z', '+0000')}"
+    return None
+
+
+def octal_text(value: str) -> str:
+    """Bytes written as three octal digits after a backslash put back."""
+    raw = re.sub(rb"\\([0-3][0-7][0-7])", lambda m: bytes([int(m[1], 8)]), value.encode("latin-1", "replace"))
+    return raw.decode("utf-8", "replace") if raw != value.encode("latin-1", "replace") else value
+
+
 def read_ps(data: bytes) -> Found:
-    """Document comments up to their end; the number of pages may only come with the trailer."""
+    """Document comments up to their end, of packed files too; the number of pages may only come with the trailer."""
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompressobj(31).decompress(data, PS_BYTES)
     keys = {"Title": "nie:title", "Copyright": "nie:copyright", "Creator": "nco:creator", "CreationDate": "nie:contentCreated", "Pages": "nfo:pageCount"}
     props: dict[str, str] = {}
     head, late = True, False
@@ -123,7 +154,9 @@ def read_ps(data: bytes) -> Found:
             if value == "atend" or m[2].strip() == "(atend)":
                 late = True
             else:
-                props[keys[m[1]]] = value
+                told = ps_date(m[2]) if m[1] == "CreationDate" else octal_text(value)
+                if told:
+                    props[keys[m[1]]] = told
                 if not head:
                     break
     return ["nfo:PaginatedTextDocument"], props, None
@@ -147,7 +180,7 @@ def read_desktop(data: bytes) -> Found:
 def read_icon(data: bytes) -> Found:
     """Greatest width and height of all images; 0 stands for 256."""
     kind, n = struct.unpack_from("<HH", data, 2)
-    sizes = [(data[6 + 16 * i] or 256, data[7 + 16 * i] or 256) for i in range(min(n, 32))]
+    sizes = [(data[6 + 16 * i] or 256, data[7 + 16 * i] or 256) for i in range(min(n, (len(data) - 6) // 16))]
     return ["nfo:Image", "nfo:Icon"], {"nfo:width": str(max(s[0] for s in sizes)), "nfo:height": str(max(s[1] for s in sizes))}, None
 
 
@@ -477,7 +510,7 @@ def read_nothing(data: bytes) -> Found:
 #: First match of a mime type: pattern, graph, reader, version (a change of it calls for reading again).
 READERS: list[tuple[str, str, Callable[[bytes], Found], str]] = [
     (r"text/html|application/xhtml\+xml", "Documents", read_html, "html1"),
-    (r"application/postscript", "Documents", read_ps, "ps1"),
+    (r"application/(postscript|x-gzpostscript)", "Documents", read_ps, "ps2"),
     (r"application/x-desktop", "Software", read_desktop, "desktop1"),
     (r"application/vnd\.openxmlformats.*", "Documents", read_office, "office1"),
     (r"application/vnd\.oasis\.opendocument.*", "Documents", read_open_document, "odf2"),

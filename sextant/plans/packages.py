@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 import zipfile
@@ -121,3 +122,64 @@ SQL = {
     "p20_shipped_rules": f"SELECT mime, {_case(_MODULES)} AS module, count(*) AS n FROM {_TYPED} GROUP BY ALL",
     "a13_shipped_types": f"SELECT p_partkey, mime, {_case(_TYPES)} AS types FROM {_TYPED} WHERE mime <> 'x/unknown'",
 }
+
+
+def e_ps(s, d):
+    """Page descriptions, every third packed, with dates of four forms and escaped bytes."""
+    o = store.table(s, d, "orders")
+    forms = ("'('HH:mm EEEE d MMMM yyyy')'", "EEE MMM d HH:mm:ss yyyy", "d MMM yyyy HH:mm:ss '-0600'", "'about' yyyy")
+    n = F.col("o_orderkey")
+    date = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in forms]), (n % 4 + 1).cast("int"))
+    text = F.concat(F.lit("%!PS-Adobe-1.0\n%%Title: (order \\303\\230 "), n.cast("string"), F.lit(")\n%%Creator: "), F.col("o_orderpriority"), F.lit("\n%%CreationDate: "), date, F.lit("\n%%Pages: (atend)\n%%EndComments\n%%Title: no\nshowpage\n%%Trailer\n%%Pages: "), (n % 9).cast("string"), F.lit("\n"))
+    rows = o.select(n.alias("k"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(str(k), "application/x-gzpostscript" if k % 3 == 0 else "application/postscript", gzip.compress(t.encode(), 1, mtime=0) if k % 3 == 0 else t.encode()) for k, t in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            kinds = (pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, kinds, strict=True)], names=["path", "mime", "content"])
+
+    found = extract.extract(map_batches(rows, run, "path string, mime string, content binary"))
+    p = lambda k: F.element_at("props", k)
+    return found.select(F.col("path").cast("long").alias("k"), p("nie:title").alias("title"), p("nco:creator").alias("creator"), p("nie:contentCreated").alias("created"), p("nfo:pageCount").alias("pages"), "error")
+
+
+def e_desktop(s, d):
+    """Desktop entries of applications and links, and broken ones."""
+    p = store.table(s, d, "part")
+    kind = F.col("p_partkey") % 3
+    app = F.concat(F.lit("[Desktop Entry]\nType=Application\nName= "), "p_name", F.lit(" \nName[de]=x\nExec=run %f\nCategories="), "p_type", F.lit(";B;\n"))
+    link = F.concat(F.lit("# a link\n[Desktop Entry]\nName="), "p_name", F.lit("\nType=Link\nURL=http://p/"), F.col("p_partkey").cast("string"), F.lit("\n"))
+    text = F.when(kind == 0, app).when(kind == 1, link).otherwise("no entry")
+    found = extract.extract(p.select(F.col("p_partkey").cast("string").alias("path"), F.lit("application/x-desktop").alias("mime"), F.encode(text, "UTF-8").alias("content")))
+    v = lambda k: F.element_at("props", k)
+    return found.select(F.col("path").cast("long").alias("k"), F.try_element_at("rdf_types", F.lit(1)).alias("class"), v("nie:title").alias("title"), v("nie:url").alias("url"), v("nfo:softwareCmdLine").alias("command"), v("nie:isLogicalPartOf").alias("categories"), F.col("error").isNotNull().alias("broken"))
+
+
+def e_icon(s, d):
+    """Icons of some images each; 0 stands for 256."""
+    byte = lambda c: F.lpad(F.hex(c % 256), 2, "0")
+    c = F.col("p_size")
+    entry = lambda k: F.concat(byte(c + k), byte(c * k), F.lit("00" * 14))
+    content = F.unhex(F.concat(F.lit("000001000300"), entry(1), entry(2), entry(3)))
+    found = extract.extract(store.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("image/vnd.microsoft.icon").alias("mime"), content.alias("content")))
+    return found.select(F.col("path").cast("long").alias("k"), F.element_at("props", "nfo:width").cast("long").alias("width"), F.element_at("props", "nfo:height").cast("long").alias("height"), "error")
+
+
+def e_abiword(s, d):
+    """Word processor files with keywords and sections, and broken ones."""
+    p = store.table(s, d, "part")
+    text = F.concat(F.lit('<abiword><metadata><m key="dc.title">'), "p_name", F.lit('</m><m key="abiword.keywords">'), "p_type", F.lit('</m></metadata><section><p>'), "p_brand", F.lit("<c>!</c></p><p>"), F.col("p_size").cast("string"), F.lit("</p></section>"), F.when(F.col("p_partkey") % 5 == 0, "").otherwise("</abiword>"))
+    found = extract.extract(p.select(F.col("p_partkey").cast("string").alias("path"), F.lit("application/x-abiword").alias("mime"), F.encode(text, "UTF-8").alias("content")))
+    return found.select(F.col("path").cast("long").alias("k"), F.element_at("props", "nie:title").alias("title"), F.element_at("props", "nie:keyword").alias("keywords"), "text", F.col("error").isNotNull().alias("broken"))
+
+
+QUERIES |= {f.__name__: f for f in (e_ps, e_desktop, e_icon, e_abiword)}
+SQL |= {
+    "e_ps": """SELECT o_orderkey AS k, 'order Ø ' || o_orderkey AS title, o_orderpriority AS creator, CAST(o_orderkey % 9 AS VARCHAR) AS pages, NULL AS error,
+        CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:00+0000') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+0000') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S-0600') END AS created FROM orders""",
+    "e_desktop": """SELECT k, CASE m WHEN 0 THEN 'nfo:SoftwareApplication' WHEN 1 THEN 'nfo:Bookmark' END AS class, CASE WHEN m < 2 THEN p_name END AS title, CASE WHEN m = 1 THEN 'http://p/' || k END AS url,
+        CASE WHEN m = 0 THEN 'run %f' END AS command, CASE WHEN m = 0 THEN p_type || ';B' END AS categories, m = 2 AS broken FROM (SELECT *, p_partkey AS k, p_partkey % 3 AS m FROM part)""",
+    "e_icon": """SELECT p_partkey AS k, list_max([CASE WHEN (p_size + i) % 256 = 0 THEN 256 ELSE (p_size + i) % 256 END FOR i IN [1, 2, 3]])::BIGINT AS width, list_max([CASE WHEN p_size * i % 256 = 0 THEN 256 ELSE p_size * i % 256 END FOR i IN [1, 2, 3]])::BIGINT AS height, NULL AS error FROM part""",
+    "e_abiword": """SELECT p_partkey AS k, CASE WHEN ok THEN p_name END AS title, CASE WHEN ok THEN replace(p_type, ' ', ',') END AS keywords, CASE WHEN ok THEN p_brand || ' ! ' || p_size END AS text, NOT ok AS broken FROM (SELECT *, p_partkey % 5 <> 0 AS ok FROM part)""",
+}
