@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -230,3 +231,50 @@ def test_repeated_characters(vocabulary, run):
     ids, score, others = next(long.encode([run * (300_000 // len(run))]))
     assert pieces.decode(np.frombuffer(ids, "<i4").tolist(), pieces.spellings(vocabulary)) == run * (300_000 // len(run))
     assert len(others) <= 3 and all(s <= score for s, _ in others)
+
+
+def noisy_or(theta, bags, n, weight, ridge):
+    """The penalised log-likelihood, bag by bag."""
+    total = -0.5 * ridge * (theta[:-1] ** 2).sum()
+    for (y, each, others), w in zip(bags, weight, strict=True):
+        quiet = others * np.log1p(-1 / (1 + np.exp(-theta[-1])))
+        quiet += sum(np.log1p(-1 / (1 + np.exp(-(theta[-1] + sum(theta[f] for f in s))))) for s in each)
+        total += w * (np.log(-np.expm1(quiet)) if y else quiet)
+    return total
+
+
+def test_noisy_or_gradient():
+    """Where the ascent ends, differences in every direction are flat: its gradient is that of the likelihood."""
+    rng = np.random.default_rng(3)
+    bags = [(int(rng.random() < 0.5), [sorted(rng.choice(4, rng.integers(1, 4), replace=False).tolist()) for _ in range(rng.integers(1, 4))], int(rng.integers(0, 3))) for _ in range(40)]
+    y = np.array([b[0] for b in bags])
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y) * 0.5 + 0.5
+    bias, weights = toxicity.fit(bags, 4, steps=6000, ridge=0.02)
+    theta = np.append(weights, bias)
+    best = noisy_or(theta, bags, 4, weight, 0.02)
+    for k in range(5):
+        step = np.zeros(5)
+        step[k] = 1e-4
+        slope = (noisy_or(theta + step, bags, 4, weight, 0.02) - noisy_or(theta - step, bags, 4, weight, 0.02)) / 2e-4
+        far = np.zeros(5)
+        far[k] = 0.3
+        assert abs(slope) < 0.05 and noisy_or(theta + far, bags, 4, weight, 0.02) < best and noisy_or(theta - far, bags, 4, weight, 0.02) < best
+
+
+def test_toxicity_query_by_hand(spark, tmp_path):
+    """The query's rows from its model sentence by sentence; held-out labels change nothing."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    out = {r.doc_id: r for r in toxicity.op7_toxicity(spark, d).collect()}
+    assert len(out) == docs.count()
+    for r in docs.collect():
+        none = 1.0
+        for _, _, words in toxicity.sentences(r.text or ""):
+            none *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(w, 0.0) for w in words))))
+        held = zlib.crc32(str(r.doc_id).encode()) % 4 == 2
+        assert out[r.doc_id].score == pytest.approx(1 - none, abs=1e-9) and out[r.doc_id].held_out == held and out[r.doc_id].predicted == (out[r.doc_id].score >= 0.3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic"))).write.parquet(f"{tmp_path}/labels.parquet")
+    again = {r.doc_id: r.score for r in toxicity.op7_toxicity(spark, str(tmp_path)).collect()}
+    assert again == pytest.approx({k: r.score for k, r in out.items()})
