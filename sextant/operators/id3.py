@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 # Text frames and the properties they are; names of version 2.2.
@@ -162,6 +161,6 @@ def written(data: bytes, values: dict[str, str | bytes | None]) -> bytes:
 
 
 def check(data: bytes) -> None:
+    """An error unless the file begins with a tag or an audio frame."""
     if data[:3] != b"ID3" and not (len(data) > 1 and data[0] == 0xFF and data[1] & 0xE0 == 0xE0):
         raise ValueError("not an MPEG audio file")
-    struct.pack(">I", tag_size(data))

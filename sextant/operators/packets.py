@@ -59,9 +59,8 @@ def walk(packet: bytes) -> list[tuple[str, str]]:
     except ElementTree.ParseError:  # a broken packet says nothing; the image stands
         return []
     out: list[tuple[str, str]] = []
+    tops = [e for rdf in root.iter(RDF + "RDF") for e in rdf if e.tag == RDF + "Description"] or list(root.iter(RDF + "Description"))[:1]
     # Structures may be nested as deeply as a packet is long, so the walk keeps its own stack.
-    todo = [("", e) for e in root.iter(RDF + "Description")][:1]
-    tops = [e for parent in root.iter(RDF + "RDF") for e in parent if e.tag == RDF + "Description"] or [e for _, e in todo]
     todo = [("", e) for e in reversed(tops)]
     while todo:
         path, node = todo.pop()
