@@ -65,5 +65,13 @@ def test_games(spark):
     assert sorted(map(tuple, found.select("path", "image", "system").collect())) == [("/g/a.cue", "/g/a.bin", "psx"), ("/g/b.cue", "/g/a.bin", "psx"), ("/g/d.cue", "/g/t.bin", "tg"), ("/g/e.cue", "/g/t.bin", "tg"), ("/g/i.cue", "/g/t.bin", "tg")]
 
 
+def test_games_move_no_contents(spark):
+    """Contents of images are in no exchange and no broadcast."""
+    sheets = spark.createDataFrame([("/g/a.cue", "")], "path string, text string")
+    images = spark.range(9).selectExpr("concat('/g/', id) AS path", "binary('x') AS content")
+    plan = discs.games(sheets, images)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.rindex("Join ") < plan.index("MapInArrow")
+
+
 def test_rules():
     assert len(RULES) == 33 and [r[0] for r in RULES] == sorted(r[0] for r in RULES)
