@@ -45,7 +45,7 @@ _class_search("q10_files", None, ["with", "from"], limit=60)
 @query("q5_artists")
 def _(s, d):
     artists = store.table(s, d, "supplier").select(F.concat(F.lit("urn:artist:"), strings.urn_escape(F.col("s_name"))).alias("ie"), F.col("s_name").alias("title"), F.lit("nmm:Artist").alias("class"), F.col("s_name").alias("text"))
-    return search.search_class(artists, None, "nmm:Artist", ["supplier"], order="title", columns=("ie", "title"), volume_check=False)
+    return search.search_class(artists, None, "nmm:Artist", ["supplier"], order="title", columns=("ie", "title"), volume_check=False, limit=-1)
 
 
 @query("q6_albums")

@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
     names = [c[0] for c in cursor.description]
     assert sorted(names) == columns
     assert rows == sorted([plain(r[names.index(c)]) for c in columns] for r in cursor.fetchall())
+
+
+def test_all_artists(spark, tmp_path):
+    """More artists than one page of a search has."""
+    spark.range(700).selectExpr("id AS s_suppkey", "concat('Supplier#', id) AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert catalog.queries()["q5_artists"](spark, str(tmp_path)).count() == 700
