@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sextant.functions.tables import map_batches
+from sextant.functions.tables import map_batches, spread
 from sextant.operators import extract, writers
 from sextant.plans import store
 
@@ -72,7 +72,7 @@ def build(form: str, k: int, name: str, segment: str, nation: int) -> bytes:
 
 
 def _files(s, d, form: str):
-    c = store.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    c = spread(store.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -48,3 +48,18 @@ def test_all_artists(spark, tmp_path):
     """More artists than one page of a search has."""
     spark.range(700).selectExpr("id AS s_suppkey", "concat('Supplier#', id) AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
     assert catalog.queries()["q5_artists"](spark, str(tmp_path)).count() == 700
+
+
+DEALT = "e_png_ranks e_tiff_ranks e_jpeg_ranks e_iptc e_xmp_regions e_open_document e_charsets e_desktop k21_write_images k21_write_audio e_tiff fts_stemmed e_ps e_abiword e_mp3 e_icon e_playlist_summary e_html e_text".split()
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_rows_are_dealt(spark, name):
+    """Queries that take long for each row deal them over tasks, however few tasks read the file."""
+    plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
+def test_events_of_a_hot_folder_are_dealt(spark):
+    plan = catalog.queries()["d8_purge"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan and plan.count("Join ") == 2

@@ -72,3 +72,25 @@ def test_files_that_hang_or_kill(spark):
     found = {r.path: r for r in extract.extract(files, 0.3, readers).collect()}
     assert len(found) == 20 and all(found[str(k)].text == "text" and found[str(k)].error is None for k in range(3, 20, 5))
     assert [found[str(k)].error.split(":")[0] for k in range(3)] == ["DeadlineExceeded", "ReaderDied", "ValueError"] and found["4"].error is None
+
+
+def test_many_calls_at_once():
+    def reader(data):
+        if data == b"hang":
+            time.sleep(60)
+        if data == b"die":
+            os._exit(3)
+        return data * 2
+
+    with deadlines.Runner([reader], 0.3) as runner:
+        found = list(runner.calls([(0, d) for d in (b"a", b"hang", b"b", b"die", b"die", b"c", None)]))
+        assert found[0] == (b"aa", None) and found[2] == (b"bb", None) and found[5] == (b"cc", None)
+        assert found[1][1].startswith("DeadlineExceeded") and found[3][1] == found[4][1] == "ReaderDied: exit code 3" and found[6][1].startswith("TypeError")
+        assert list(runner.calls([])) == [] and runner.call(0, b"x") == (b"xx", None)
+
+
+def test_few_charsets_are_looked_at_in_full(monkeypatch):
+    seen, own = [], charsets._pair_cost
+    monkeypatch.setattr(charsets, "_pair_cost", lambda text: seen.append(1) or own(text))
+    text = "\u3042\u3046\u304f\u3067\u3044 \u4e00\u3064\u306e\u6587\u3002\n" * 50
+    assert charsets.decode(text.encode("euc_jp")) == text and len(seen) < 6
