@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sextant.functions.tables import spread
 from sextant.operators import extract
 from sextant.plans import store
 
@@ -104,7 +105,7 @@ def e_mp3(s, d):
 
 def e_iptc(s, d):
     value = lambda tag, c: F.concat(F.lit("1C02" + tag), _big(F.octet_length(c), 2), F.hex(c))
-    c = store.table(s, d, "customer")
+    c = spread(store.table(s, d, "customer"), "c_custkey")
     data = F.concat(value("50", F.col("c_name")), value("19", F.col("c_mktsegment")), value("19", F.lit("city")), value("37", F.lit("20070415")), value("83", F.when(F.col("c_nationkey") % 2 == 0, "P").otherwise("L")))
     size = lambda h: F.length(h) / 2
     body = F.concat(F.lit(b"Photoshop 3.0\0".hex() + b"8BIM".hex() + "04040000"), _big(size(data).cast("long"), 4), data)
