@@ -100,7 +100,7 @@ def xmp_regions(s, d):
     items = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 4 + 1), area), "")
     head, tail = packet("<mwg-rs:Regions rdf:parseType='Resource'><mwg-rs:RegionList><rdf:Bag>|</rdf:Bag></mwg-rs:RegionList></mwg-rs:Regions>").decode().split("|")
     content = F.encode(F.concat(F.lit("image bytes "), F.lit(head), items, F.lit(tail), F.lit(" more")), "UTF-8")
-    files = store.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
+    files = spread(store.table(s, d, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("path"), content.alias("content"))
     return extract.image_regions(files).select(F.col("path").cast("long").alias("p_partkey"), "region", "title", "type", "x", "y", "width", "height")
 
 
