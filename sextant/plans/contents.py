@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sextant.functions import charsets
-from sextant.functions.tables import map_batches
+from sextant.functions.tables import map_batches, spread
 from sextant.operators import extract, search
 from sextant.plans import store
 from sextant.streaming import moves
@@ -29,7 +29,7 @@ LETTERS = {
 
 def e_charsets(s, d):
     """How many documents written in each charset come back as they were."""
-    docs = store.table(s, d, "documents").select((F.col("doc_id") % len(WRITTEN)).cast("int").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(store.table(s, d, "documents"), "doc_id").select((F.col("doc_id") % len(WRITTEN)).cast("int").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
     for k, charset in enumerate(WRITTEN):
         if charset in LETTERS:
