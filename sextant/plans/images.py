@@ -155,8 +155,8 @@ def k21_write_audio(s, d):
     audio = F.concat(F.lit("FFFB9000" + "00" * 32 + b"Xing".hex() + "00000001"), big(F.col("c_custkey") * 100, 4), F.lit("00" * 369), F.lit("FFFB9000" + "00" * 413))
     content = F.unhex(F.concat(F.when(F.col("c_custkey") % 2 == 0, old).otherwise(F.lit("")), audio))
     values = _props({"nie:title": F.col("c_name"), "nmm:performer": F.concat(F.lit("Ünï "), F.col("c_mktsegment")), "nmm:albumArtist": F.lit("various"), "nmm:trackNumber": F.col("c_nationkey").cast("string"), "nie:comment": F.lit("a comment"), "nmm:lyrics": F.lit("la la"), "nie:keyword": F.lit("k1,k2")})
-    c = store.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit("audio/mpeg").alias("mime"), content.alias("content"), values.alias("props"), F.sha2(F.unhex(audio), 256).alias("audio"))
-    done = writers.write_metadata(c).join(c.select("path", "audio"), "path")
+    c = spread(store.table(s, d, "customer").withColumn("path", F.col("c_custkey").cast("string")), "path").select("path", F.lit("audio/mpeg").alias("mime"), content.alias("content"), values.alias("props"), F.sha2(F.unhex(audio), 256).alias("audio"))
+    done = spread(writers.write_metadata(c), "path").join(c.select("path", "audio"), "path")
     size = F.conv(F.concat(*[F.lpad(F.bin(F.conv(F.hex(F.substring("content", k, 1)), 16, 10).cast("long")), 7, "0") for k in (7, 8, 9, 10)]), 2, 10).cast("int")
     same = F.sha2(F.expr("substring(content, size + 11)"), 256) == F.col("audio")
     done = done.withColumn("size", size).withColumn("same", same).select("path", "mime", "content", "same")
