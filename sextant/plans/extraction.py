@@ -98,7 +98,7 @@ def e_mp3(s, d):
     first = F.concat(F.lit("FFFB9000" + "00" * 32 + b"Xing".hex() + "00000001"), _big(F.col("c_custkey") * 100, 4), F.lit("00" * 369))
     tail = F.concat(F.lit(b"TAG".hex() + "00" * 124), _big(F.col("c_nationkey"), 1))
     content = F.unhex(F.concat(first, F.lit("FFFB9000" + "00" * 413), tail))
-    found = extract.extract(store.table(s, d, "customer").select(F.col("c_name").alias("path"), F.lit("audio/mpeg").alias("mime"), content.alias("content")))
+    found = extract.extract(spread(store.table(s, d, "customer"), "c_custkey").select(F.col("c_name").alias("path"), F.lit("audio/mpeg").alias("mime"), content.alias("content")))
     p = lambda k: F.element_at("props", k)
     return found.select("path", p("nfo:duration").cast("long").alias("seconds"), p("nfo:averageBitrate").cast("long").alias("bits"), p("nfo:sampleRate").cast("long").alias("hertz"), p("nfo:genre").alias("genre"), p("nmm:dlnaProfile").alias("profile"), "error")
 
