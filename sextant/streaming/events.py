@@ -175,11 +175,19 @@ def collapse_stream(events: DataFrame, idle_ms: int = 2000) -> DataFrame:
     return events.groupBy("path").applyInPandasWithState(run, "path string, pos int, kind string", "pending string, pos int", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Parts that the events of one folder are dealt over.
+SALTS = 16
+
+
 def without_purged(events: DataFrame) -> DataFrame:
     """Queued events without those below a folder that a later event deletes or moves."""
     purges = events.where(F.col("kind").isin("DELETED", "MOVED")).groupBy(F.col("source").alias("folder")).agg(F.max("seq").alias("purged"))
-    below = events.select("*", F.explode(ancestors(parent(F.col("source")))).alias("folder")).join(purges, "folder").where("seq < purged").select("seq").distinct()
-    return events.join(below, "seq", "left_anti")
+    folders = events.select(parent(F.col("source")).alias("at")).distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    above = folders.select("at", F.explode(ancestors(F.col("at"))).alias("folder")).join(purges, "folder").groupBy("at").agg(F.max("purged").alias("purged")).select("at", "purged", salts)
+    own = events.withColumns({"at": parent(F.col("source")), "salt": F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int")})
+    kept = own.join(above, ["at", "salt"], "left").where(~F.coalesce(F.col("seq") < F.col("purged"), F.lit(False)))
+    return kept.select(*events.columns)
 
 
 def emitted_moves(source_ok, destination_ok):
