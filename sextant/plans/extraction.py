@@ -33,7 +33,7 @@ def e_errors(s, d):
 
 
 def _playlists(s, d):
-    x = store.table(s, d, "lineitem")
+    x = spread(store.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey")
     line = F.concat(F.lit("#EXTINF:"), F.col("l_quantity").cast("long").cast("string"), F.lit(",x\nhttp://m/"), F.col("l_partkey").cast("string"))
     rows = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("e"))
     return rows.select(F.col("l_orderkey").cast("string").alias("path"), F.concat(F.lit("#EXTM3U\n"), F.array_join("e.line", "\n"), F.lit("\n")).alias("text"))
@@ -60,7 +60,7 @@ def k21_write_xspf(s, d):
 
 
 def _sheets(s, d):
-    x = store.table(s, d, "lineitem")
+    x = spread(store.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
     at = F.col("l_linenumber") * 200 + F.col("l_partkey") % 100
     index = F.format_string("%02d:%02d:%02d", F.floor(at / 60).cast("int"), (at % 60).cast("int"), (F.col("l_partkey") % 75).cast("int"))
     line = F.concat(F.format_string('  TRACK %02d AUDIO\n    TITLE "t', F.col("l_linenumber")), F.col("l_partkey").cast("string"), F.lit('"\n    INDEX 01 '), index)
