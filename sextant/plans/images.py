@@ -142,7 +142,7 @@ def k21_write_images(s, d):
     for form in ("jpeg", "png", "tiff"):
         part = _files(s, d, form)
         files = part if files is None else files.unionByName(part)
-    done = writers.write_metadata(files.join(c, "path"))
+    done = writers.write_metadata(spread(files, "path").join(spread(c, "path"), "path"))
     found = extract.extract(done.where("error IS NULL"))
     p = lambda k: F.element_at("props", k)
     return found.select(F.col("path").cast("long").alias("k"), "mime", p("nie:title").alias("title"), p("nie:copyright").alias("copyright"), p("nfo:orientation").alias("orientation"), p("nmm:flash").alias("flash"), p("nfo:width").cast("long").alias("width"), "error")
