@@ -86,7 +86,7 @@ def _big(c, size):
 def e_tiff(s, d):
     little = lambda c: F.concat(*[F.lpad(F.hex(F.shiftright(c, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)])
     entry = lambda tag, kind, c: F.concat(F.lit(tag + kind + "01000000"), little(c))
-    o = store.table(s, d, "orders")
+    o = spread(store.table(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     entries = [entry("0001", "0400", F.col("o_orderkey")), entry("0101", "0400", F.col("o_custkey")), entry("1201", "0300", F.col("o_orderkey") % 10)]
     content = F.unhex(F.concat(F.lit("49492A00080000000300"), *entries, F.lit("00000000")))
     found = extract.extract(o.select(F.col("o_orderkey").cast("string").alias("path"), F.lit("image/tiff").alias("mime"), content.alias("content")))
