@@ -80,10 +80,17 @@ def stemmed_index(elements: DataFrame, key: str = "ie", text: str = "text", lang
 
 def search_stems(index: DataFrame, terms: list[str], languages: list[str], key: str = "ie") -> DataFrame:
     """``key, hits`` of the keys that have a form of every term, by the stems that the terms have in any of the languages."""
-    forms = [{stem(plain(t), lang) for lang in languages} for t in terms]
-    pairs = index.sparkSession.createDataFrame([(f, i) for i, each in enumerate(forms) for f in sorted(each)], "token string, term int")
-    hits = index.join(F.broadcast(pairs), "token")  # a few forms of each term
-    return hits.groupBy(key).agg(F.countDistinct("term").alias("k"), F.sum("n").alias("hits")).where(F.col("k") == len(terms)).select(key, "hits")
+    return search_stems_each(index, {"": (terms, languages)}, key).select(key, "hits")
+
+
+def search_stems_each(index: DataFrame, searches: dict[str, tuple[list[str], list[str]]], key: str = "ie") -> DataFrame:
+    """``search, key, hits`` of several searches (terms, languages) by their names, in one pass over the index."""
+    forms = [(name, i, {stem(plain(t), lang) for lang in languages}) for name, (terms, languages) in searches.items() for i, t in enumerate(terms)]
+    rows = [(f, name, i, len(searches[name][0])) for name, i, each in forms for f in sorted(each)]
+    pairs = index.sparkSession.createDataFrame(rows, "token string, search string, term int, terms int")
+    wanted = index.where(F.col("token").isin(sorted({r[0] for r in rows})))  # other words aren't even counted
+    hits = wanted.join(F.broadcast(pairs), "token")  # a few forms of each term
+    return hits.groupBy("search", key).agg(F.countDistinct("term").alias("k"), F.sum("n").alias("hits"), F.max("terms").alias("terms")).where("k = terms").select("search", key, "hits")
 
 
 #: Folders of a written index.

@@ -123,19 +123,15 @@ FORMS = {"en": ("generously", "generous", "generousness"), "de": ("aufeinanderfo
 
 def fts_stemmed(s, d):
     """Documents with a form of a word put at their end, every seventh with a number instead, searched by another form."""
-    docs = store.table(s, d, "documents").where("lang IS NOT NULL")
+    docs = spread(store.table(s, d, "documents").where("lang IS NOT NULL"), "doc_id")
     form = F.lit(None).cast("string")
     for lang, forms in FORMS.items():
         form = F.when(F.col("lang") == lang, F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(form)
     words = F.when(F.col("doc_id") % 7 == 0, F.lit("2024")).otherwise(form)
     texts = docs.select("doc_id", "lang", F.concat_ws(" ", "text", words).alias("text"))
     index = search.stemmed_index(texts, "doc_id", "text", "lang", ignore_numbers=True)
-    found = None
-    for lang, forms in FORMS.items():
-        one = search.search_stems(index, [forms[0]], [lang], "doc_id").withColumn("term", F.lit(forms[0]))
-        found = one if found is None else found.unionByName(one)
-    numbers = search.search_stems(index, ["2024"], ["en"], "doc_id").withColumn("term", F.lit("2024"))  # there is none
-    return found.unionByName(numbers).select("term", "doc_id", "hits")
+    searches = {forms[0]: ([forms[0]], [lang]) for lang, forms in FORMS.items()} | {"2024": (["2024"], ["en"])}  # there is no number
+    return search.search_stems_each(index, searches, "doc_id").select(F.col("search").alias("term"), "doc_id", "hits")
 
 
 QUERIES["fts_stemmed"] = fts_stemmed

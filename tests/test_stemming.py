@@ -33,3 +33,10 @@ def test_search(spark):
     ids = lambda *a: sorted(r.ie for r in search.search_stems(index, *a).collect())
     assert ids(["knit"], ["en"]) == [1, 2, 5] and ids(["Katze"], ["de"]) == [3, 4] and ids(["12"], ["en"]) == []
     assert ids(["katzen", "knitting"], ["de"]) == [4]
+
+
+def test_searches_in_one_pass(spark):
+    rows = [(1, "generous people", "en"), (2, "nothing", "en"), (3, "generously given to people", "en")]
+    index = search.stemmed_index(spark.createDataFrame(rows, "ie long, text string, lang string"))
+    found = search.search_stems_each(index, {"a": (["generously"], ["en"]), "b": (["people", "given"], ["en"]), "c": (["2024"], ["en"])})
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 1), ("a", 3, 1), ("b", 3, 2)]
