@@ -10,7 +10,7 @@ from sextant.plans import store
 
 
 def _pages(s, d):
-    p = store.table(s, d, "pages")
+    p = spread(store.table(s, d, "pages"), "page_id")
     return p.select(F.col("url").alias("path"), F.lit("text/html").alias("mime"), F.encode(F.col("html"), "UTF-8").alias("content"), "page_id")
 
 
@@ -20,13 +20,13 @@ def e_html(s, d):
 
 
 def e_text(s, d):
-    docs = store.elements(s, d)
+    docs = spread(store.elements(s, d), "doc_id")
     found = extract.extract(docs.select(F.col("url").alias("path"), F.lit("text/plain").alias("mime"), F.encode("text", "UTF-8").alias("content")))
     return found.select("path", "graph", F.md5("text").alias("digest"))
 
 
 def e_errors(s, d):
-    docs = store.elements(s, d)
+    docs = spread(store.elements(s, d), "doc_id")
     mime = F.element_at(F.array(F.lit("image/png"), F.lit("application/epub+zip"), F.lit("image/jpeg")), F.col("sn") % 3 + 1)
     found = extract.extract(docs.select(F.col("url").alias("path"), mime.alias("mime"), F.encode("text", "UTF-8").alias("content")))
     return found.where("error IS NOT NULL").select("path", "mime", "graph", "error")
