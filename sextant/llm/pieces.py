@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sextant.functions.tables import spread
+
 from .arrow import map_batches
 from .hashing import mix
 from .staging import load
@@ -459,7 +461,7 @@ def op9_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    decoded = decode_pieces(encode_pieces(load(spark, sf_dir, "documents")))
+    decoded = decode_pieces(encode_pieces(spread(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")))
     return decoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
